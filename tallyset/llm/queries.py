@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, pii, simhash
+from . import decontaminate, langid, minhash, mixing, pii, simhash
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), ["doc_id"])
 
 
+@query
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edits(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 @query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
