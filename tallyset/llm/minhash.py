@@ -97,7 +97,7 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - cut), F.substring(following, F.lit(1), cut))
 
 
-def with_next(docs: DataFrame, per_bucket: int = 4096) -> DataFrame:
+def with_next(docs: DataFrame, per_bucket: int = 1024) -> DataFrame:
     """docs (doc_id, text, code) with those of the next row by descending doc_id, nulls last; after the last
     row comes the first. Rows are dealt into ranges of doc_id of about per_bucket rows; only the first row of each range
     is looked at across ranges."""
@@ -111,9 +111,9 @@ def with_next(docs: DataFrame, per_bucket: int = 4096) -> DataFrame:
     near = dealt.withColumn("next", F.lead(F.struct("text", "code")).over(order)).withColumn("at", F.row_number().over(order))
     near = near.withColumn("last", F.lead("at").over(order).isNull())
     # the first row of each range, moved to the range above it
-    tops = dealt.groupBy("bucket").agg(F.max_by(F.struct("text", "code"), F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), -F.xxhash64("text").cast("decimal(20,0)"))).alias("top"))
+    tops = dealt.groupBy("bucket").agg(F.max_by("text", F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), -F.xxhash64("text").cast("decimal(20,0)"))).alias("top"))
     chain = dealt.select("bucket").distinct().withColumn("above", F.coalesce(F.lag("bucket").over(Window.orderBy(F.col("bucket").desc())), F.min("bucket").over(Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    tops = tops.join(chain, "bucket").select(F.col("above").alias("bucket"), F.lit(True).alias("last"), "top")
+    tops = tops.join(chain, "bucket").select(F.col("above").alias("bucket"), F.lit(True).alias("last"), F.struct(F.col("top").alias("text"), codes(F.col("top")).alias("code")).alias("top"))
     return near.join(tops, ["bucket", "last"], "left").withColumn("next", F.when(F.col("last"), F.col("top")).otherwise(F.col("next"))).drop("top", "at", "bucket", "last")
 
 
