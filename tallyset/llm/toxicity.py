@@ -221,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, n_rows: int = 6000) -> Model:
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).cast("double") / float(1 << 31)
     rate = F.when(F.col("toxic") == 1, min(1.0, n_rows / 2 / max(counts.get(1, 0), 1))).otherwise(min(1.0, n_rows / 2 / max(counts.get(0, 0), 1)))
     marks = marks.filter(h < rate)
-    rows = sorted((r.doc_id, r.text or "", r.toxic) for r in docs.join(marks, "doc_id").select("doc_id", "text", "toxic").collect())
+    rows = sorted((r.doc_id, r.text or "", r.toxic) for r in docs.join(F.broadcast(marks), "doc_id").select("doc_id", "text", "toxic").collect())  # n_rows ids, about
     return fit([t for _, t, _ in rows], [int(v > 0) for _, _, v in rows])
 
 
