@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, n_rows: int = 2400) -> Network:
     marks = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     rate = min(1.0, n_rows / max(marks.count(), 1))
     marks = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < F.lit(int(rate * (1 << 31))))
-    rows = sorted((r.doc_id, r.text or "", r.quality) for r in docs.join(marks, "doc_id").select("doc_id", "text", "quality").collect())
+    rows = sorted((r.doc_id, r.text or "", r.quality) for r in docs.join(F.broadcast(marks), "doc_id").select("doc_id", "text", "quality").collect())  # n_rows ids, about
     return fit([t for _, t, _ in rows], [int(v > 0) for _, _, v in rows])
 
 
