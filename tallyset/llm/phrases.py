@@ -7,8 +7,11 @@ is removed; windows are judged on the input.
 1. Anchors. Each window's anchor is the least hash of its `gram`-word runs, so equal windows have equal anchors. All
    documents' anchors are counted, combined before the shuffle. Those seen twice or more set bits in a bitmap of at most
    `most_bits` bits, which is all that is broadcast; a full bitmap costs work, never results.
-2. Confirmation. Windows whose anchor may recur are counted by a 64-bit hash, over all documents.
-3. Automata. Documents are dealt into shards of about `shard_bytes` by their id, with the confirmed windows found there.
+2. Confirmation. Consecutive windows with one anchor are a stretch (32 windows at most). Stretches whose anchor may recur
+   are counted by a 64-bit hash of their words: the windows of one that recurs recur. Where an anchor also has a stretch
+   that does not, the windows of one copy of each of its stretches are counted singly. What recurs is told as a mask for
+   each stretch, so copies cost a row for each stretch and shard.
+3. Automata. Documents are dealt into shards of about `shard_bytes` by their id, with the confirmed stretches found there.
    A shard's confirmed passages (longest runs of confirmed windows, each text once) are compiled into Aho-Corasick
    automata of at most `automaton_chars` characters, and all its documents are streamed through each to locate every
    occurrence; what occurrences cover is removed.
@@ -33,6 +36,8 @@ from .common import small, staged
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Windows of a stretch, at most: the bits of its mask.
+STRETCH = 32
 _P, _Q = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd, so they have inverses modulo 2**64
 
 
@@ -73,12 +78,12 @@ class Reader:
         step = np.diff(inside)
         return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
-    def windows(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The hash and the anchor of each window."""
+    def windows(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The hash and the anchor of each window; the first window of each stretch, and the hash of its words."""
         none = np.zeros(0, np.uint64)
         start, end = self.words(raw)
         if len(start) < self.width:
-            return none, none
+            return none, none, np.zeros(0, np.int64), none
         up, down = self.p.of(len(raw) + 1)
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
@@ -93,7 +98,12 @@ class Reader:
             more = min(span, want - span)
             least = np.minimum(least[: len(least) - more], least[more:])
             span += more
-        return mixed(runs(self.width) ^ np.uint64(_Q)), least
+        new = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+        within = np.arange(len(least)) - np.repeat(new, np.diff(np.r_[new, len(least)]))
+        first = np.flatnonzero(within % STRETCH == 0)
+        last = np.r_[first[1:], len(least)] + self.width - 1  # the end of the stretch's words
+        stretch = mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+        return mixed(runs(self.width) ^ np.uint64(_Q)), least, first, stretch
 
 
 def raw_of(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -111,7 +121,7 @@ def anchors(docs: DataFrame, width: int, gram: int) -> DataFrame:
             for part in small(batch, "text"):
                 found, count = [], []
                 for raw in raw_of(part.column(0)):
-                    w, least = reader.windows(raw)
+                    w, least, _, _ = reader.windows(raw)
                     if not len(w):
                         continue
                     new = least[np.r_[True, least[1:] != least[:-1]]]
@@ -151,37 +161,96 @@ def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def confirmed(docs: DataFrame, n_parts: int, width: int, gram: int, most_bits: int) -> DataFrame:
-    """(part, w): the windows that recur, for each shard that holds them."""
-    often = staged(anchors(docs, width, gram).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(often, often.count(), most_bits))  # at most most_bits / 8 bytes
+def stretches(docs: DataFrame, bits, n_parts: int, width: int, gram: int) -> DataFrame:
+    """(part, ident, s, h, twin, n): the stretches whose anchor may recur, by shard and document. twin: whether one of its
+    windows stands in it twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(width, gram)
+        for batch in batches:
+            for rows in small(batch, "text"):
+                cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+                for raw, part, ident in zip(raw_of(rows.column(2)), rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                    w, least, first, stretch = reader.windows(raw)
+                    if not len(w):
+                        continue
+                    at = np.flatnonzero(marked(bits.value, least[first]))
+                    twin = twins(w, first)[at] if len(at) else np.zeros(0, bool)
+                    for col, v in zip(cols, (np.full(len(at), part, np.int32), np.full(len(at), ident, np.int64), stretch[at].view(np.int64), least[first][at].view(np.int64), twin), strict=True):
+                        col.append(v)
+                if cols[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["part", "ident", "s", "h", "twin"])
+
+    seen = docs.select(part_of(docs, n_parts).alias("part"), ident_of().alias("ident"), "text").mapInArrow(run, "part int, ident long, s long, h long, twin boolean")
+    return seen.groupBy("s", "part").agg(F.count("*").alias("n"), F.first("h").alias("h"), F.max("twin").alias("twin"), F.min("ident").alias("ident"))
+
+
+def twins(w: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each stretch whether a window stands in it twice."""
+    of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(w)]))
+    order = np.lexsort((w, of))
+    same = (w[order[1:]] == w[order[:-1]]) & (of[order[1:]] == of[order[:-1]])
+    out = np.zeros(len(first), bool)
+    out[of[order[1:]][same]] = True
+    return out
+
+
+def windows_of(docs: DataFrame, bits, width: int, gram: int) -> DataFrame:
+    """(s, ident, j, w): the windows of the stretches that the bitmap of (stretch, document) names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(width, gram)
         for batch in batches:
             for rows in small(batch, "text"):
-                w_all, part_all = [], []
-                for raw, part in zip(raw_of(rows.column(1)), rows.column(0).to_pylist(), strict=True):
-                    w, least = reader.windows(raw)
-                    w = w[marked(bits.value, least)] if len(w) else w
-                    w_all.append(w)
-                    part_all.append(np.full(len(w), part, np.int32))
-                table = np.rec.fromarrays([np.concatenate(part_all), np.concatenate(w_all)], names="part,w") if w_all else None
-                if table is not None and len(table):
-                    order = np.lexsort((table.part, table.w))
-                    p, w = table.part[order], table.w[order]
-                    first = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (p[1:] != p[:-1])])
-                    n = np.diff(np.r_[first, len(w)])
-                    for a in range(0, len(first), 1 << 18):
-                        f = first[a : a + (1 << 18)]
-                        yield pa.RecordBatch.from_arrays([pa.array(p[f]), pa.array(w[f].view(np.int64)), pa.array(np.minimum(n[a : a + (1 << 18)], 2).astype(np.int8))], names=["part", "w", "n"])
-
-    seen = docs.select(part_of(docs, n_parts).alias("part"), "text").mapInArrow(run, "part int, w long, n tinyint")
-    twice = seen.groupBy("w").agg(F.sum("n").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).filter("n > 1")
-    # most recurring windows stand in one or two shards, which low and high tell; only the others are joined back
-    few = twice.filter("n <= 2").select(F.explode(F.array_distinct(F.array("low", "high"))).alias("part"), "w")
-    more = seen.join(twice.filter("n > 2").select("w"), "w", "left_semi").select("part", "w").distinct()
-    return few.unionByName(more)
+                cols: list[list[np.ndarray]] = [[] for _ in range(4)]
+                for raw, ident in zip(raw_of(rows.column(1)), rows.column(0).to_pylist(), strict=True):
+                    w, _, first, stretch = reader.windows(raw)
+                    if not len(w):
+                        continue
+                    size = np.diff(np.r_[first, len(w)])
+                    on = np.repeat(marked(bits.value, copy_key(stretch, ident)), size)
+                    j = np.arange(len(w)) - np.repeat(first, size)
+                    for col, v in zip(cols, (np.repeat(stretch, size)[on].view(np.int64), np.full(int(on.sum()), ident, np.int64), j[on].astype(np.int32), w[on].view(np.int64)), strict=True):
+                        col.append(v)
+                if cols[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["s", "ident", "j", "w"])
+
+    return docs.select(ident_of().alias("ident"), "text").mapInArrow(run, "s long, ident long, j int, w long")
+
+
+def copy_key(stretch: np.ndarray, ident: int) -> np.ndarray:
+    return mixed(stretch ^ np.uint64(ident & 0xFFFFFFFFFFFFFFFF))
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s, ident = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(mixed(s ^ ident).view(np.int64))], names=["h"])
+
+    return rows.select("s", "ident").mapInArrow(run, "h long")
+
+
+def confirmed(docs: DataFrame, n_parts: int, width: int, gram: int, most_bits: int) -> DataFrame:
+    """(part, s, mask): the stretches with windows that recur, for each shard that holds them; bit j of the mask is that of
+    the stretch's window j."""
+    context = docs.sparkSession.sparkContext
+    often = staged(anchors(docs, width, gram).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
+    bits = context.broadcast(bitmap(often, often.count(), most_bits))  # at most most_bits / 8 bytes
+    rows = staged(stretches(docs, bits, n_parts, width, gram))
+    texts = staged(rows.groupBy("s").agg(F.sum("n").alias("n"), F.first("h").alias("h"), F.max("twin").alias("twin"), F.min("ident").alias("ident")))
+    open_ = texts.groupBy("h").agg(F.min("n").alias("least"), F.count("*").alias("kinds"), F.max("twin").alias("twin")).filter("least = 1 and (kinds > 1 or twin)").select("h")
+    single = staged(texts.join(open_, "h", "left_semi").select("s", "ident", "n"))
+    copies = context.broadcast(bitmap(keyed(single), single.count(), most_bits))
+    windows = staged(windows_of(docs, copies, width, gram).join(single, ["s", "ident"]).select("s", "j", "w", "n").dropDuplicates(["s", "j"]))
+    recurs = windows.groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1").select("w")
+    some = windows.filter("n = 1").join(recurs, "w", "left_semi").groupBy("s").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
+    masks = texts.filter("n > 1").select("s", F.lit((1 << STRETCH) - 1).cast("long").alias("mask")).unionByName(some)
+    return rows.select("part", "s").join(masks, "s").select("part", "s", "mask")
+
+
+def ident_of():
+    return F.xxhash64(F.lit("ident"), "doc_id")
 
 
 def part_of(docs: DataFrame, n_parts: int):
@@ -191,18 +260,21 @@ def part_of(docs: DataFrame, n_parts: int):
 # ---- automata
 
 
-def passages(reader: Reader, raws: list[np.ndarray], known: np.ndarray) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
-    """The texts of the longest runs of known windows, each once; and each document's words."""
+def passages(reader: Reader, raws: list[np.ndarray], known: np.ndarray, masks: np.ndarray) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+    """The texts of the longest runs of recurring windows, each once; and each document's words. known: stretches, sorted,
+    with their masks."""
     texts: dict[str, None] = {}
     words = []
     for raw in raws:
         start, end = reader.words(raw)
         words.append((start, end))
-        w, _ = reader.windows(raw)
+        w, _, first, stretch = reader.windows(raw)
         if not len(w) or not len(known):
             continue
-        at = np.minimum(np.searchsorted(known, w), len(known) - 1)
-        on = np.diff(np.r_[0, (known[at] == w).astype(np.int8), 0])
+        at = np.minimum(np.searchsorted(known, stretch), len(known) - 1)
+        size = np.diff(np.r_[first, len(w)])
+        mask = np.repeat(np.where(known[at] == stretch, masks[at], 0), size)
+        on = np.diff(np.r_[0, (mask >> (np.arange(len(w)) - np.repeat(first, size)) & 1).astype(np.int8), 0])
         for a, b in zip(np.flatnonzero(on == 1).tolist(), np.flatnonzero(on == -1).tolist(), strict=True):
             texts[joined(raw, start, end, a, b - 1 + reader.width)] = None
     return list(texts), words
@@ -256,9 +328,9 @@ def strip(docs: DataFrame, width: int = 35, gram: int = 4, shard_bytes: int = 3_
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         reader = Reader(width, gram)
-        known = np.unique(right.column("w").to_numpy().view(np.uint64))
+        known, at = np.unique(right.column("s").to_numpy().view(np.uint64), return_index=True)
         raws = list(raw_of(left.column("text").combine_chunks()))
-        texts, words = passages(reader, raws, known)
+        texts, words = passages(reader, raws, known, right.column("mask").to_numpy()[at])
         streams = [joined(raw, s, e, 0, len(s)) if len(s) >= width and texts else "" for raw, (s, e) in zip(raws, words, strict=True)]
         rows = []
         for raw, (start, end), spans in zip(raws, words, located(texts, streams, automaton_chars), strict=True):
