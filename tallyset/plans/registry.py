@@ -8,3 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of a folder, read when they are asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a function of Tables under its name, with the SQL that gives the same rows."""
+
+    def add(fn: Callable[[Tables], DataFrame]) -> Callable:
+        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        if sql is not None:
+            ORACLE[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+from . import analytics, evaluation, text  # noqa: E402, F401  they register their queries
