@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: a signed number with optional thousands commas and decimals, anywhere in a text.
 NUMBER = r"[-+]?(?:\d+(?:,\d{3})*(?:\.\d+)?|\d*\.\d+)"
@@ -63,7 +64,7 @@ def rounded(value: Column, digits: int = 3) -> Column:
     return F.when(~F.isnan(value), F.round(value, digits))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rounded_binary(value: pd.Series) -> pd.Series:
     """Rounded on the binary value, to three decimals, for answers that have to agree with such a source."""
     return value.map(lambda x: None if pd.isna(x) else round(float(x), 3))

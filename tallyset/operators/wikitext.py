@@ -150,8 +150,10 @@ class Expander:
         self.discarded = False
 
     def expand(self, text: str, depth: int = 0) -> str:
-        if depth > MAX_DEPTH or "{{" not in text:
+        if "{{" not in text:
             return text
+        if depth > MAX_DEPTH:
+            return drop_nested(text, "{{", "}}")
         return replace_nested(text, "{{", "}}", lambda body: self.call(body, depth))
 
     def call(self, body: str, depth: int) -> str:

@@ -49,7 +49,7 @@ def doc_blocks(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("lineSep", "</doc>").option("recursiveFileLookup", True).text(path)
     head = r"(?s)<doc\b([^>]*)>\n?(.*)$"
     attr = lambda n: F.regexp_extract(F.regexp_extract("value", head, 1), f'{n}="([^"]*)"', 1)
-    return raw.filter(F.col("value").rlike(r"<doc\b[^>]*>")).select(attr("id").alias("doc_id"), attr("title").alias("title"), F.trim(F.regexp_extract("value", head, 2)).alias("text"))
+    return raw.filter(F.col("value").rlike(r"<doc\b[^>]*>")).select(attr("id").alias("doc_id"), attr("title").alias("title"), F.regexp_replace(F.regexp_extract("value", head, 2), r"^\s+|\s+$", "").alias("text"))
 
 
 def tolerant_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -80,7 +80,7 @@ def document_tree(spark: SparkSession, root: str) -> DataFrame:
     blocks = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "wiki_*").option("lineSep", "</doc>").text(root)
     head = r"(?s)<doc\b([^>]*)>\n?(.*)$"
     attr = lambda n: F.regexp_extract(F.regexp_extract("value", head, 1), f'{n}="([^"]*)"', 1)
-    b = blocks.filter(F.col("value").rlike(r"<doc\b")).select(attr("id").alias("doc_id"), attr("title").alias("title"), F.trim(F.regexp_extract("value", head, 2)).alias("text"))
+    b = blocks.filter(F.col("value").rlike(r"<doc\b")).select(attr("id").alias("doc_id"), attr("title").alias("title"), F.regexp_replace(F.regexp_extract("value", head, 2), r"^\s+|\s+$", "").alias("text"))
     return j.unionByName(b)
 
 
