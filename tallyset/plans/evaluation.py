@@ -132,9 +132,9 @@ def fused_ranking(t):
     return retrieval.fuse(a.unionByName(b).select("qid", "step", "rank", "doc")).select("qid", "doc", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {bm25_sql(DOCS, BENCH, 10)} SELECT qid || ' Q0 ' || doc || ' ' || rank || ' ' || printf('%.4f', score) || ' bm25' AS "value" FROM hits""")
+@query(f"""WITH {bm25_sql(DOCS, BENCH, 10)} SELECT qid || ' Q0 ' || doc || ' ' || rank || ' ' || printf('%.4f', 1.0::DOUBLE / rank) || ' bm25' AS "value" FROM hits""")
 def run_lines(t):
-    return writers.run_lines(document_hits(t).select(F.col("qid").cast("string").alias("qid"), F.col("doc").cast("string").alias("pid"), "rank", "score", F.lit("bm25").alias("run_id")))
+    return writers.run_lines(document_hits(t).select(F.col("qid").cast("string").alias("qid"), F.col("doc").cast("string").alias("pid"), "rank", (F.lit(1.0) / F.col("rank")).alias("score"), F.lit("bm25").alias("run_id")))
 
 
 @query(f"WITH {GOLD} SELECT qid || ' 0 ' || doc_id || ' 1' AS \"value\" FROM gold")
