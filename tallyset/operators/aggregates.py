@@ -148,3 +148,8 @@ def target_item(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     w = Window.partitionBy(*group)
     counts = counts.withColumn("__all", F.sum("n").over(w)).withColumn("__fit", ((F.col("n") >= 2) & (F.col("n") < F.col("__all"))).cast("int"))
     return counts.withColumn("__r", F.row_number().over(w.orderBy(F.desc("__fit"), F.desc("n"), value))).filter("__r = 1").select(*group, value, "n")
+
+
+def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
+    """(bin, n): equal bins from low to high, 0 below and bins + 1 from high on; empty bins are left out."""
+    return rows.filter(F.col(value).isNotNull()).groupBy(F.width_bucket(F.col(value), F.lit(low), F.lit(high), F.lit(bins)).alias("bin")).agg(F.count("*").alias("n"))
