@@ -29,6 +29,8 @@ from .common import WORD, staged, without
 
 #: Weights of the sources by code point, repeating.
 WEIGHTS = (5, 2, 1)
+#: More shards than these would make the driver's table of quotas, a number for each source and shard, too large.
+MOST_SHARDS = 65536
 
 
 def water_fill(words: Sequence[int], weights: Sequence[float], share: float, cap: float) -> list[float]:
@@ -69,15 +71,17 @@ def mix_plan(
     weights: Sequence[float] = WEIGHTS,
     share: float = 1.5,
     cap: float = 2.0,
-    n_blocks: int = 16384,
-    n_shards: int = 32,
+    n_blocks: int | None = None,
+    n_shards: int | None = None,
+    shard_words: int = 8_000_000,
     zone_docs: int = 2000,
     seed: int = 42,
 ) -> DataFrame:
     """A row for each row of docs (doc_id, text, source): doc_id, size, source_size, target, taken, shards.
 
-    shards has the output shard of each time that the document is taken. n_blocks: blocks over all sources, dealt by
-    their words. zone_docs: how many documents, about, may be tried one by one to meet a source's target.
+    shards has the output shard of each time that the document is taken. n_shards: unless given, one for each shard_words
+    that the mix takes, at most MOST_SHARDS. n_blocks: blocks over all sources, dealt by their words; unless given, 16 for
+    each shard and 16,384 at least. zone_docs: how many documents, about, may be tried one by one to meet a source's target.
     """
     spark = docs.sparkSession
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
@@ -86,7 +90,8 @@ def mix_plan(
     sources = sorted(sized.groupBy("skey").agg(F.sum("size").alias("words")).collect(), key=lambda r: (r.skey == "n", r.skey.encode()))
     words = [int(r.words) for r in sources]
     targets = water_fill(words, [weights[i % len(weights)] for i in range(len(words))], share, cap)
-    per = max(1.0, sum(words) / n_blocks)
+    n_shards = n_shards or max(1, min(MOST_SHARDS, -(-int(sum(targets)) // shard_words)))
+    per = max(1.0, sum(words) / (n_blocks or max(16384, 16 * n_shards)))
     head = []
     for r, n, t in zip(sources, words, targets, strict=True):
         passes = min(int(t // n), int(np.ceil(cap))) if n else 0
