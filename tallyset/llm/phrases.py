@@ -24,7 +24,6 @@ Null text has no words: 0 words, nothing removed, the digest of the empty string
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
