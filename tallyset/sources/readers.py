@@ -133,12 +133,13 @@ def run(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("p")[0].alias("qid"), F.col("p")[2].alias("pid"), F.col("p")[3].try_cast("int").alias("rank"), F.coalesce(F.col("p")[4].try_cast("double"), F.lit(0.0)).alias("score"), F.get(F.col("p"), F.lit(5)).alias("run_id"), "pos")
 
 
-def query_set(spark: SparkSession, path: str) -> DataFrame:
-    """Questions by id, the last of each: id, question and gold answer under any of their names."""
-    schema = "qid string, id string, query string, question string, total_recall_query string, answer string, total_recall_answer double, src string"
-    raw = spark.read.schema(schema).json(path).withColumn("pos", F.monotonically_increasing_id())
-    gold = F.coalesce("total_recall_answer", F.get_json_object("answer", "$.value").try_cast("double"), F.col("answer").try_cast("double"))
-    rows = raw.select(F.coalesce("qid", "id").alias("qid"), F.coalesce("total_recall_query", "query", "question").alias("question"), gold.alias("answer"), F.coalesce(F.get_json_object("answer", "$.type"), F.lit(None)).alias("answer_type"), "src", "pos")
+def query_set(spark: SparkSession, path: str, questions: tuple[str, ...] = ("query", "question"), golds: tuple[str, ...] = ()) -> DataFrame:
+    """Questions by id, the last of each: id, question and gold answer. questions and golds name the fields that may hold
+    the question and, as a plain number, the gold answer, the first of them first; the field answer comes last."""
+    own = [f"{n} string" for n in dict.fromkeys(("qid", "id", *questions, *golds, "answer", "src"))]
+    raw = spark.read.schema(", ".join(own)).json(path).withColumn("pos", F.monotonically_increasing_id())
+    gold = F.coalesce(*[F.col(g).try_cast("double") for g in golds], F.get_json_object("answer", "$.value").try_cast("double"), F.col("answer").try_cast("double"))
+    rows = raw.select(F.coalesce("qid", "id").alias("qid"), F.coalesce(*questions).alias("question"), gold.alias("answer"), F.get_json_object("answer", "$.type").alias("answer_type"), "src", "pos")
     return last_of(rows, "qid", "pos").drop("pos")
 
 

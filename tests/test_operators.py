@@ -224,6 +224,12 @@ def test_document_readers(spark, tmp_path):
     assert [r.doc_id for r in readers.documents(spark, str(tmp_path / "x.jsonl")).collect()] == ["3"]
 
 
+def test_query_set(spark, tmp_path):
+    (tmp_path / "q.jsonl").write_text('{"id": "1", "question": "a", "answer": {"type": "n", "value": 2.5}}\n{"qid": "2", "query": "b", "answer": 7}\n{"qid": "2", "ask": "c", "best": 9, "answer": 7}\n')
+    got = sorted((r.qid, r.question, r.answer, r.answer_type) for r in readers.query_set(spark, str(tmp_path / "q.jsonl"), ("ask", "query", "question"), ("best",)).collect())
+    assert got == [("1", "a", 2.5, "n"), ("2", "c", 9.0, None)]
+
+
 def test_dump_reader(spark, tmp_path):
     page = "<page><title>{t}</title><ns>{n}</ns><id>{i}</id>{r}<revision><id>9</id><text>{x}</text></revision></page>"
     body = page.format(t="A", n=0, i=1, r="", x="text a") + page.format(t="B", n=0, i=2, r='<redirect title="A"/>', x="#R") + page.format(t="Template:T", n=10, i=3, r="", x="x&lt;noinclude&gt;doc&lt;/noinclude&gt;y") + page.format(t="A", n=0, i=1, r="", x="text a")
