@@ -1,0 +1,160 @@
+"""Near-duplicates by the exact Jaccard similarity of 5-word shingles.
+
+Texts link if the sets of their 5-word shingles, after A-Z is lower-cased, have a Jaccard similarity of 0.8 or more; a
+component is what links connect. Fewer than 5 words: the whole sequence is the one shingle. Shingles and sets are told
+apart by XXH64 (seed 42).
+
+Equal sets are one node from the start. Candidates come from prefixes: under one order of all shingles, two sets of this
+similarity share a shingle among the first n - ceil(0.8 n) + 1 of each, so no pair is lost whatever the order. The order
+puts shingles that a bounded sample of texts has often last, so that common lines seldom are in a prefix. Of prefix
+shingles with the same nodes one stands for all. Each is a bucket, in which every pair of nodes that links do not connect
+yet is compared whole; it gives back a spanning forest of its links, never its pairs. A bucket of more than `block`
+shingles is cut into blocks, and each pair of blocks is a task of its own.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import map_text, staged
+from .phrases import bitmap, marked
+from .simhash import components, first_of_each, lowered
+
+WIDTH = 5
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The hashes of a text's shingles, distinct and in order."""
+    import xxhash
+
+    words = lowered(text).split()
+    digest, n = xxhash.xxh64_intdigest, len(words)
+    found = {digest(b" ".join(words[i : i + WIDTH]), 42) for i in range(max(1, n - WIDTH + 1))} if words else ()
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def node_of(found: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.array([xxhash.xxh64_intdigest(found.tobytes(), 42)], np.uint64).view(np.int64)[0])
+
+
+def prefix(found: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The shingles that any set of similarity 0.8 or more shares one of: the first under (often, hash)."""
+    n = len(found)
+    if not n:
+        return found
+    at = np.minimum(np.searchsorted(common, found), max(len(common) - 1, 0))
+    weight = np.where(common[at] == found, often[at], 0) if len(common) else np.zeros(n, np.int64)
+    return found[np.lexsort((found, weight))[: n - -(-4 * n // 5) + 1]]
+
+
+def frequent(docs: DataFrame, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that about `sample` texts, chosen by hash, have three times or more: hashes in order and counts, `most` at most."""
+    n = docs.count()
+    some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(max(1, n // sample))) == 0).distinct()
+    rows = map_text(some, lambda: lambda texts: [[shingles(t).view(np.int64) for t in texts]], [T.StructField("s", T.ArrayType(T.LongType()))], [])
+    counts = rows.select(F.explode("s").alias("s")).groupBy("s").count().filter("count > 2").orderBy(F.desc("count"), "s").limit(most).toArrow()
+    hashes = counts.column("s").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], counts.column("count").to_numpy()[order]
+
+
+def bucket_forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, own: bool) -> list[tuple[int, int]]:
+    """Pairs of ids that form a spanning forest of the links among these sets, or between the two sides."""
+    size = np.array([len(s) for s in sets])
+    start = np.r_[0, np.cumsum(size)[:-1]]
+    distinct, all_ = np.unique(np.concatenate(sets), return_inverse=True)
+    label, seen, edges = np.arange(len(sets)), np.zeros(len(distinct), dtype=bool), []
+    for r in range(len(sets) - 1):
+        open_ = (label != label[r]) & (5 * np.minimum(size, size[r]) >= 4 * np.maximum(size, size[r]))
+        open_[: r + 1] = False
+        if not own:
+            open_ &= side != side[r]
+        if not open_.any():
+            continue
+        mine = all_[start[r] : start[r] + size[r]]
+        seen[mine] = True
+        if open_.sum() * 4 < len(sets):
+            at = np.flatnonzero(open_)
+            shared = np.array([np.count_nonzero(seen[all_[start[j] : start[j] + size[j]]]) for j in at])
+        else:
+            at, shared = np.arange(len(sets)), np.add.reduceat(seen[all_], start, dtype=np.int64)
+        seen[mine] = False
+        hit = at[open_[at] & (9 * shared >= 4 * (size[at] + size[r]))]  # shared / (a + b - shared) >= 4 / 5
+        others, first = np.unique(label[hit], return_index=True)
+        edges += [(int(ids[r]), int(ids[hit[f]])) for f in first]
+        label[np.isin(label, others)] = label[r]
+    return edges
+
+
+def links(docs: DataFrame, keyed: DataFrame, block: int = 2_000_000, most_bits: int = 1 << 27) -> DataFrame:
+    """keyed (node, n, keys; node distinct) of docs (text) -> edges (a, b) of nodes that connect all that are 0.8 or more alike."""
+    rows = keyed.select("node", "n", F.explode("keys").alias("k"))
+    twice = rows.groupBy("k").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("m > 1")
+    buckets = twice.groupBy("m", "x", "y").agg(F.min("k").alias("k"), F.ceil(F.max("total") / block).cast("int").alias("cuts")).select("k", "cuts")
+    held = staged(rows.join(buckets, "k"))
+    named = held.select(F.col("node").alias("h")).distinct()
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(named, named.count(), most_bits))  # at most most_bits / 8 bytes
+
+    def make():
+        def of(texts: list[str | None]) -> list[list]:
+            found = [shingles(t) for t in texts]
+            nodes = np.array([node_of(s) for s in found], np.int64)
+            return [nodes.tolist(), [s.tobytes() for s in found], marked(bits.value, nodes.view(np.uint64)).tolist()]
+
+        return of
+
+    sets = map_text(docs.select("text"), make, [T.StructField("node", T.LongType()), T.StructField("s", T.BinaryType()), T.StructField("in", T.BooleanType())], [], where=2)
+    mine = F.pmod(F.xxhash64("node"), "cuts").cast("int")
+    cut = held.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    cut = cut.select("k", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "node")
+    whole = cut.join(sets.dropDuplicates(["node"]), "node").select("k", "x", "y", "side", "node", "s")
+    dealt = whole.repartition(F.col("k"), F.col("x"), F.col("y")).sortWithinPartitions("k", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group = None, []
+        for batch in batches:
+            at = [batch.column(c).to_pylist() for c in ("k", "x", "y")]
+            for key, side, node, s in zip(zip(*at), batch.column("side").to_pylist(), batch.column("node").to_pylist(), batch.column("s"), strict=True):
+                if key != now:
+                    yield from linked(now, group)
+                    now, group = key, []
+                group.append((side, node, s.as_py()))
+        yield from linked(now, group)
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def linked(key: tuple[int, int, int] | None, group: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    if len(group) > 1:
+        sides, nodes, sets = zip(*group)
+        edges = bucket_forest(np.array(nodes), [np.frombuffer(s, np.uint64) for s in sets], np.array(sides), key[1] == key[2])
+        if edges:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], names=["a", "b"])
+
+
+def keep_one(docs: DataFrame, sample: int = 2000, most: int = 200_000) -> DataFrame:
+    """One row of docs (doc_id, text) of each component: that with the least doc_id. Rows with the same doc_id and the same
+    set count as one; rows without a doc_id stay, as nothing tells them apart."""
+    common, often = frequent(docs, sample, most)
+    context = docs.sparkSession.sparkContext
+    order = context.broadcast((common, often))
+
+    def make():
+        def of(texts: list[str | None]) -> list[list]:
+            found = [shingles(t) for t in texts]
+            return [[node_of(s) for s in found], [len(s) for s in found], [prefix(s, *order.value).view(np.int64) for s in found]]
+
+        return of
+
+    fields = [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    rows = staged(map_text(docs.select("doc_id", "text"), make, fields, ["doc_id"]))
+    roots = components(links(docs, rows.select("node", "n", "keys").dropDuplicates(["node"])))
+    return first_of_each(docs, lambda t: node_of(shingles(t)), rows.select("doc_id", "node"), roots)

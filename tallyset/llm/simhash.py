@@ -21,7 +21,7 @@ the one shingle. Rows with equal doc_id are one document; a component of rows wi
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ def fingerprint(text: str | None) -> int:
     """The fingerprint as a signed 64-bit number."""
     import xxhash
 
-    words = (text or "").encode().translate(_LOWER).split()
+    words = lowered(text).split()
     if not words:
         return 0
     joined, n = b" ".join(words), len(words)
@@ -61,6 +61,10 @@ def fingerprint(text: str | None) -> int:
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def lowered(text: str | None) -> bytes:
+    return (text or "").encode().translate(_LOWER)
+
+
 def fingerprints(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """docs (kept columns) with fp, the signed fingerprint of text."""
     return map_text(docs, lambda: lambda texts: [[fingerprint(t) for t in texts]], [T.StructField("fp", T.LongType())], keep)
@@ -320,9 +324,20 @@ def near_duplicates(docs: DataFrame, threshold: int = 4) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: int = 4) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its component. Rows with equal doc_id count as one; rows without a
-    doc_id stay, as nothing tells them apart."""
-    near = near_duplicates(docs, threshold)
-    chosen = near.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of docs of each component: that with the least doc_id. Rows with the same doc_id and fingerprint count as
+    one; rows without a doc_id stay, as nothing tells them apart."""
+    rows = staged(fingerprints(docs.select("doc_id", "text"), ["doc_id"])).withColumnRenamed("fp", "node")
+    roots = components(links(rows.select(F.col("node").alias("fp"), F.col("node").alias("id")).distinct(), threshold))
+    return first_of_each(docs, fingerprint, rows, roots)
+
+
+def first_of_each(docs: DataFrame, node_of: Callable[[str | None], int], rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of each component the row of docs with the least doc_id, and all rows without one. node_of: the node of a text;
+    rows (doc_id, node): the same of docs; roots (id, root): the component of each node that has links."""
+    nodes = rows.filter("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    near = nodes.join(roots.select(F.col("id").alias("node"), "root"), "node", "left")
+    # a doc_id may be in several components, so a row is known by doc_id and node
+    chosen = near.groupBy(F.coalesce("root", "node")).agg(F.min(F.struct("doc_id", "node")).alias("c")).select(F.col("c.doc_id").alias("doc_id"), F.col("c.node").alias("__node"))
+    named = map_text(docs.filter("doc_id is not null"), lambda: lambda texts: [[node_of(t) for t in texts]], [T.StructField("__node", T.LongType())])
+    kept = named.join(chosen, ["doc_id", "__node"], "left_semi").dropDuplicates(["doc_id", "__node"]).select(*[F.col(f"`{c}`") for c in docs.columns])
     return kept.unionByName(docs.filter("doc_id is null"))

@@ -1,0 +1,66 @@
+"""The near-duplicate stage against brute force, and rows that share a doc_id."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from tallyset.llm import nearsets, simhash
+
+
+def sets(t):
+    w = [x.lower() for x in (t or "").split()]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def plain_kept(texts):
+    found, label = [sets(t) for t in texts], list(range(len(texts)))
+    for i, x in enumerate(found):
+        for j, y in enumerate(found[:i]):
+            if 5 * len(x & y) >= 4 * len(x | y) and label[i] != label[j]:
+                a, b = sorted((label[i], label[j]))
+                label = [a if v == b else v for v in label]
+    return sorted(set(label))
+
+
+def texts_of(seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    line = [rng.choice(words) for _ in range(14)]
+    out = [None, "", "one", "One", "one two three four five", " ".join(words * 3)]
+    for _ in range(25):
+        base = [rng.choice(words) for _ in range(rng.randint(8, 150))] + (line if rng.random() < 0.5 else [])
+        out.append(" ".join(base))
+        for _ in range(rng.randint(0, 4)):
+            t = list(base)
+            for _ in range(rng.randint(0, 1 + len(t) // 30)):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            out.append(" ".join(t).title() if rng.random() < 0.3 else " ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_stage_keeps_one_of_all_within_similarity(spark, seed):
+    texts = texts_of(seed)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in got.collect()) == plain_kept(texts)
+    assert got.columns == docs.columns
+
+
+def test_blocks_lose_no_pair(spark):
+    texts = [t for t in dict.fromkeys(t.lower() for t in texts_of(3) if t) if t]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [nearsets.shingles(t) for t in texts]
+    none = (nearsets.np.zeros(0, nearsets.np.uint64), nearsets.np.zeros(0, int))
+    rows = [(nearsets.node_of(s), len(s), nearsets.prefix(s, *none).view("int64").tolist()) for s in found]
+    keyed = spark.createDataFrame(rows, "node long, n long, keys array<long>")
+    roots = {r.id: r.root for r in simhash.components(nearsets.links(docs, keyed, block=60)).collect()}
+    assert len({roots.get(r[0], r[0]) for r in rows}) == len(plain_kept(texts))
+
+
+@pytest.mark.parametrize("keep_one", [nearsets.keep_one, simhash.keep_one])
+def test_rows_with_one_id_and_unrelated_texts_stay(spark, keep_one):
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    docs = spark.createDataFrame([(1, one), (1, two), (1, two), (2, one), (None, one)], "doc_id long, text string")
+    assert sorted(((r.doc_id or 0), r.text[0]) for r in keep_one(docs).collect()) == [(0, "a"), (1, "a"), (1, "b")]
