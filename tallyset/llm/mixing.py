@@ -2,8 +2,8 @@
 
 A document's size is its number of words. The target of a source is its share, by weight, of `share` times all words,
 at most `cap` times its own words; what a cap cuts off goes to the others by weight. Each source is cut into blocks by
-a hash of doc_id; whole passes over its blocks, then a permuted prefix of blocks, make up the target, and the block in
-which the target falls is filled document by document. The blocks so drawn are the source's quota. A binary tree over
+a hash of doc_id; whole passes over its blocks, then its blocks in permuted order, each that still fits, make up the
+target, and of the others documents are taken one by one until none fits any more. The blocks so drawn are the source's quota. A binary tree over
 the output shards splits the vector of quotas: at each node the left half takes a multivariate-hypergeometric draw, so
 every shard gets an exact number of blocks, and all draws are disjoint. Within a shard rows are ordered by a hash.
 
@@ -17,6 +17,7 @@ Reruns give the same rows: all choices come from `seed` and the rows.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 import numpy as np
@@ -81,7 +82,7 @@ def mix_plan(
 
     shards has the output shard of each time that the document is taken. n_shards: unless given, one for each shard_words
     that the mix takes, at most MOST_SHARDS. n_blocks: blocks over all sources, dealt by their words; unless given, 16 for
-    each shard and 16,384 at least. zone_docs: how many documents, about, may be tried one by one to meet a source's target.
+    each shard and 16,384 at least. zone_docs: how many documents, about, are tried one by one in each round to meet a source's target.
     """
     spark = docs.sparkSession
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
@@ -99,16 +100,11 @@ def mix_plan(
     heads = spark.createDataFrame(head, "skey string, source_size long, target double, passes int, rest double, n_blocks int")
 
     dealt = sized.join(heads, "skey").withColumn("block", F.pmod("h", "n_blocks").cast("int"))
-    blocks = dealt.groupBy("skey", "block").agg(F.sum("size").alias("words"), F.count("*").alias("docs"), F.max("passes").alias("passes"), F.max("rest").alias("rest"))
-    order = Window.partitionBy("skey").orderBy(F.xxhash64(F.lit(seed + 1), "skey", "block"), "block")
-    blocks = (
-        blocks.withColumn("whole", (F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)) <= F.col("rest")).cast("int"))
-        .withColumn("at", F.row_number().over(order))
-        .withColumn("past", F.sum(F.when(F.col("whole") == 0, F.col("docs")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("zone", ((F.col("whole") == 0) & (F.coalesce("past", F.lit(0)) < zone_docs)).cast("int"))
-        .select("skey", "block", "at", "passes", "whole", "zone")
-    )
-    blocks = staged(blocks)
+    blocks = dealt.groupBy("skey", "block").agg(F.sum("size").alias("words"), F.max("passes").alias("passes"), F.max("rest").alias("rest"))
+    blocks = blocks.withColumn("order", F.xxhash64(F.lit(seed + 1), "skey", "block"))
+    blocks = staged(blocks.groupBy("skey").applyInPandas(fitting_blocks, "skey string, block int, at int, passes int, whole int, left double"))
+    zones = zone_blocks(dealt, blocks, zone_docs)
+    blocks = staged(blocks.join(zones, ["skey", "block"], "left").withColumn("zone", F.col("round").isNotNull().cast("int")))
     # quotas, in blocks drawn: whole passes, then the prefix with its zone
     quota = {r.skey: r for r in blocks.groupBy("skey").agg(F.sum("passes").alias("p"), F.sum(F.col("whole") + F.col("zone")).alias("q")).collect()}
     keys = [r.skey for r in sources]
@@ -121,22 +117,56 @@ def mix_plan(
     shards = drawn.join(spans, ["skey", "unit"]).groupBy("skey", "block").agg(
         F.array_sort(F.collect_list(F.when(F.col("pass") < F.col("passes"), F.struct("pass", "shard")))).alias("full"), F.max(F.when(F.col("pass") == F.col("passes"), F.col("shard"))).alias("last")
     )
-    plan = blocks.join(shards, ["skey", "block"], "left").select("skey", "block", "at", "whole", "zone", F.coalesce(F.transform("full", lambda x: x["shard"]), F.array().cast("array<int>")).alias("full"), "last")
-    all_ = dealt.select("skey", "block", "doc_id", "size", "h", "source_size", "target", "rest").join(plan, ["skey", "block"])
-    # left: what the whole blocks leave of the target, for the zone
-    left = dealt.join(blocks.filter("whole = 1"), ["skey", "block"], "left_semi").groupBy("skey").agg(F.sum("size").alias("whole_words"))
-    zone = all_.filter("zone = 1").join(left, "skey", "left").withColumn("rest", F.col("rest") - F.coalesce("whole_words", F.lit(0))).drop("whole_words")
+    plan = blocks.join(shards, ["skey", "block"], "left").select("skey", "block", "at", "whole", "left", "zone", "round", F.coalesce(F.transform("full", lambda x: x["shard"]), F.array().cast("array<int>")).alias("full"), "last")
+    all_ = dealt.select("skey", "block", "doc_id", "size", "h", "source_size", "target").join(plan, ["skey", "block"])
+    tried = (F.col("zone") == 1) & (F.col("size") <= F.col("left"))
+    zone = all_.filter(tried)
     zone = zone.groupBy("skey").applyInPandas(first_fit, "doc_id long, size long, source_size long, target double, full array<int>, last int, extra int")
-    calm = all_.filter("zone = 0").select("doc_id", "size", "source_size", "target", "full", "last", F.col("whole").alias("extra"))
+    calm = all_.filter(~tried).select("doc_id", "size", "source_size", "target", "full", "last", F.col("whole").alias("extra"))
     return calm.unionByName(zone.select(*calm.columns)).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * (F.size("full") + F.col("extra"))).alias("taken"), F.when(F.col("extra") == 1, F.concat("full", F.array("last"))).otherwise(F.col("full")).alias("shards")
     )
 
 
+def fitting_blocks(blocks: pd.DataFrame) -> pd.DataFrame:
+    """Takes a source's blocks in permuted order, each if it still fits; left: what they leave of the target."""
+    blocks = blocks.sort_values(["order", "block"], kind="stable")
+    left, whole = float(blocks["rest"].iloc[0]), []
+    for words in blocks["words"]:
+        whole.append(int(words <= left))
+        left -= words if words <= left else 0
+    return blocks.assign(at=np.arange(1, len(blocks) + 1), whole=whole, left=left)[["skey", "block", "at", "passes", "whole", "left"]]
+
+
+def zone_blocks(dealt: DataFrame, blocks: DataFrame, zone_docs: int) -> DataFrame:
+    """(skey, block, round) of the blocks whose documents are tried one by one: in each round the next that hold about
+    zone_docs documents that fit, until none fits any more. A round leaves less than any document that it tried and did not
+    take, so rounds are few."""
+    rest = blocks.filter("whole = 0").select("skey", "block", "at", F.col("left").alias("fits"))
+    docs = staged(dealt.join(rest, ["skey", "block"]).filter("size > 0 and size <= fits").select("skey", "block", "at", "h", "doc_id", "size", "fits"))
+    order = Window.partitionBy("skey").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    rounds = docs.sparkSession.createDataFrame([], "skey string, block int, round int")
+    for k in itertools.count():
+        counts = docs.groupBy("skey", "block", "at").agg(F.count("*").alias("docs")).withColumn("past", F.coalesce(F.sum("docs").over(order), F.lit(0)))
+        now = staged(counts.filter(F.col("past") < zone_docs).select("skey", "block", F.lit(k).alias("round")))
+        if now.isEmpty():
+            return rounds
+        rounds = rounds.unionByName(now)
+        left = docs.join(now, ["skey", "block"]).groupBy("skey").applyInPandas(what_is_left, "skey string, left double")
+        docs = staged(docs.join(now, ["skey", "block"], "left_anti").join(left, "skey").filter("size <= left").select("skey", "block", "at", "h", "doc_id", "size", F.col("left").alias("fits")))
+
+
+def what_is_left(zone: pd.DataFrame) -> pd.DataFrame:
+    left = float(zone["fits"].iloc[0])
+    for size in zone.sort_values(["at", "h", "doc_id", "size"], kind="stable")["size"]:
+        left -= size if size <= left else 0
+    return pd.DataFrame({"skey": zone["skey"].iloc[:1].to_numpy(), "left": [left]})
+
+
 def first_fit(zone: pd.DataFrame) -> pd.DataFrame:
-    """Takes a source's last documents in permuted order, each if it still fits the target."""
-    zone = zone.sort_values(["at", "h", "doc_id", "size"], kind="stable")
-    left, extra = float(zone["rest"].iloc[0]), []
+    """Takes a source's last documents in the order of their round, each if it still fits the target."""
+    zone = zone.sort_values(["round", "at", "h", "doc_id", "size"], kind="stable")
+    left, extra = float(zone["left"].iloc[0]), []
     for size in zone["size"]:
         extra.append(int(size <= left))
         left -= size if size <= left else 0

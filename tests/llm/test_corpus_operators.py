@@ -212,6 +212,14 @@ def test_mixing(spark):
     assert mixing.mix_plan(frame(spark, []).limit(0)).count() == 0
 
 
+def test_mixing_goes_on_after_a_document_that_does_not_fit(spark):
+    texts = ["w " * 9] * 3000 + ["long " * 20_000, "w", "w w"]
+    for seed in range(3):
+        got = mixing.mix_plan(frame(spark, texts), share=0.55, n_blocks=32, n_shards=3, zone_docs=5, seed=seed).collect()
+        left = got[0].target - sum(r.taken for r in got)
+        assert 0 <= left < min((r.size for r in got if not r.shards), default=1e9)
+
+
 # ---- preference pairs
 
 
