@@ -2,7 +2,7 @@
 
 A document's size is its number of words. The target of a source is its share, by weight, of `share` times all words,
 at most `cap` times its own words; what a cap cuts off goes to the others by weight. Each source is cut into blocks by
-a hash of doc_id; whole passes over its blocks, then its blocks in permuted order, each that still fits, make up the
+a hash of doc_id, or of text where it is null; whole passes over its blocks, then its blocks in permuted order, each that still fits, make up the
 target, and of the others documents are taken one by one until none fits any more. The blocks so drawn are the source's quota. A binary tree over
 the output shards splits the vector of quotas: at each node the left half takes a multivariate-hypergeometric draw, so
 every shard gets an exact number of blocks, and all draws are disjoint. Within a shard rows are ordered by a hash.
@@ -10,7 +10,7 @@ every shard gets an exact number of blocks, and all draws are disjoint. Within a
 The driver holds a row for each source and `n_shards` numbers for each source; all else stays distributed. A source
 that holds most rows has most of the blocks, so no task gets it whole.
 
-Nulls: a null text has size 0, a null source is a source of its own and comes last, a null doc_id is hashed as null.
+Nulls: a null text has size 0, a null source is a source of its own and comes last, of a row with a null doc_id the text is hashed.
 Equal rows get equal hashes and are taken one by one. No rows: no rows. A source without words has target 0.
 Reruns give the same rows: all choices come from `seed` and the rows.
 """
@@ -18,11 +18,11 @@ Reruns give the same rows: all choices come from `seed` and the rows.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -77,16 +77,19 @@ def mix_plan(
     shard_words: int = 8_000_000,
     zone_docs: int = 2000,
     seed: int = 42,
+    row: str | None = None,
 ) -> DataFrame:
     """A row for each row of docs (doc_id, text, source): doc_id, size, source_size, target, taken, shards.
 
     shards has the output shard of each time that the document is taken. n_shards: unless given, one for each shard_words
     that the mix takes, at most MOST_SHARDS. n_blocks: blocks over all sources, dealt by their words; unless given, 16 for
     each shard and 16,384 at least. zone_docs: how many documents, about, are tried one by one in each round to meet a source's target.
+    row: a column of longs that tells the rows of docs apart; the plan has it too.
     """
     spark = docs.sparkSession
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
-    sized = staged(docs.select("doc_id", key.alias("skey"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("h")))
+    own = [row] if row else []
+    sized = staged(docs.select(*own, "doc_id", key.alias("skey"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hashed(seed).alias("h")))
     # one row for each source; "s..." < "n" is undone so that null comes last
     sources = sorted(sized.groupBy("skey").agg(F.sum("size").alias("words")).collect(), key=lambda r: (r.skey == "n", r.skey.encode()))
     words = [int(r.words) for r in sources]
@@ -118,13 +121,13 @@ def mix_plan(
         F.array_sort(F.collect_list(F.when(F.col("pass") < F.col("passes"), F.struct("pass", "shard")))).alias("full"), F.max(F.when(F.col("pass") == F.col("passes"), F.col("shard"))).alias("last")
     )
     plan = blocks.join(shards, ["skey", "block"], "left").select("skey", "block", "at", "whole", "left", "zone", "round", F.coalesce(F.transform("full", lambda x: x["shard"]), F.array().cast("array<int>")).alias("full"), "last")
-    all_ = dealt.select("skey", "block", "doc_id", "size", "h", "source_size", "target").join(plan, ["skey", "block"])
+    all_ = dealt.select(*own, "skey", "block", "doc_id", "size", "h", "source_size", "target").join(plan, ["skey", "block"])
     tried = (F.col("zone") == 1) & (F.col("size") <= F.col("left"))
     zone = all_.filter(tried)
-    zone = zone.groupBy("skey").applyInPandas(first_fit, "doc_id long, size long, source_size long, target double, full array<int>, last int, extra int")
-    calm = all_.filter(~tried).select("doc_id", "size", "source_size", "target", "full", "last", F.col("whole").alias("extra"))
+    zone = zone.groupBy("skey").applyInPandas(first_fit(own), "".join(f"`{c}` long, " for c in own) + "doc_id long, size long, source_size long, target double, full array<int>, last int, extra int")
+    calm = all_.filter(~tried).select(*own, "doc_id", "size", "source_size", "target", "full", "last", F.col("whole").alias("extra"))
     return calm.unionByName(zone.select(*calm.columns)).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * (F.size("full") + F.col("extra"))).alias("taken"), F.when(F.col("extra") == 1, F.concat("full", F.array("last"))).otherwise(F.col("full")).alias("shards")
+        *own, "doc_id", "size", "source_size", "target", (F.col("size") * (F.size("full") + F.col("extra"))).alias("taken"), F.when(F.col("extra") == 1, F.concat("full", F.array("last"))).otherwise(F.col("full")).alias("shards")
     )
 
 
@@ -163,19 +166,29 @@ def what_is_left(zone: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"skey": zone["skey"].iloc[:1].to_numpy(), "left": [left]})
 
 
-def first_fit(zone: pd.DataFrame) -> pd.DataFrame:
-    """Takes a source's last documents in the order of their round, each if it still fits the target."""
-    zone = zone.sort_values(["round", "at", "h", "doc_id", "size"], kind="stable")
-    left, extra = float(zone["left"].iloc[0]), []
-    for size in zone["size"]:
-        extra.append(int(size <= left))
-        left -= size if size <= left else 0
-    return zone.assign(extra=extra)[["doc_id", "size", "source_size", "target", "full", "last", "extra"]]
+def first_fit(own: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Takes a source's last documents in the order of their round, each if it still fits the target. own: columns that stay."""
+
+    def fit(zone: pd.DataFrame) -> pd.DataFrame:
+        zone = zone.sort_values(["round", "at", "h", "doc_id", "size", *own], kind="stable")
+        left, extra = float(zone["left"].iloc[0]), []
+        for size in zone["size"]:
+            extra.append(int(size <= left))
+            left -= size if size <= left else 0
+        return zone.assign(extra=extra)[[*own, "doc_id", "size", "source_size", "target", "full", "last", "extra"]]
+
+    return fit
+
+
+def hashed(seed: int, *more: str) -> Column:
+    """Of doc_id, or of text where that is null."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "text", *more)).otherwise(F.xxhash64(F.lit(seed), "doc_id", *more))
 
 
 def mix(docs: DataFrame, seed: int = 42, **how) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with shard and copy added, one partition a shard, in
-    permuted order. Rows that share a doc_id share its plan; rows without a doc_id are not drawn."""
-    plan = mix_plan(docs, seed=seed, **how).filter(F.size("shards") > 0).groupBy("doc_id").agg(F.max("shards").alias("shards"))
-    out = without(docs, "shard", "copy").join(plan, "doc_id").select("*", F.posexplode("shards").alias("copy", "shard")).drop("shards")
-    return out.repartition(F.col("shard")).sortWithinPartitions("shard", F.xxhash64(F.lit(seed + 3), "doc_id", "copy"), "doc_id", "copy")
+    permuted order. Each row has its own plan, whether or not it shares its doc_id or has none."""
+    rows = staged(without(docs, "shard", "copy").withColumn("__row", F.monotonically_increasing_id()))  # staged, so that ids last
+    plan = mix_plan(rows, seed=seed, row="__row", **how).filter(F.size("shards") > 0).select("__row", "shards")
+    out = rows.join(plan, "__row").select("*", F.posexplode("shards").alias("copy", "shard")).drop("shards", "__row")
+    return out.repartition(F.col("shard")).sortWithinPartitions("shard", hashed(seed + 3, "copy"), "doc_id", "copy")

@@ -220,6 +220,15 @@ def test_mixing_goes_on_after_a_document_that_does_not_fit(spark):
         assert 0 <= left < min((r.size for r in got if not r.shards), default=1e9)
 
 
+def test_mix_has_rows_without_id_and_with_one_id(spark):
+    rows = [(None, f"n{i} x", "s") for i in range(40)] + [(1, f"a{i} x", "s") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(docs, share=2.0, n_shards=2, n_blocks=8)
+    assert Counter(r.text for r in mixed.collect()) == Counter({t: 2 for _, t, _ in rows})
+    some = Counter(r.text for r in mixing.mix(docs, share=0.5, n_shards=2, n_blocks=8).collect())
+    assert sum(some.values()) == 40 and set(some.values()) == {1}
+
+
 # ---- preference pairs
 
 
