@@ -5,8 +5,8 @@ leftmost, non-overlapping matches of each kind; a match that fails its check is
 text's disguises into a normalised text that keeps, for each character, where in the source it comes from:
 homoglyphs and full-width forms become ASCII, zero-width characters go, runs of spelled digits become digits, and
 bracketed or spelled at/dot signs become @ and a dot. The same detectors run on it, and what they find is mapped back
-to source characters. A span found so is added if it holds a rewritten character and overlaps no base span of its
-kind. Base spans always stay.
+to source characters. A span found so is added if it holds a rewritten character and each base span of its kind that it
+overlaps lies in it and is shorter. Base spans always stay.
 
 Offsets are code points, the end exclusive. Null text is empty text: no spans. Rows are read one by one and whole.
 """
@@ -211,7 +211,7 @@ def spans(text: str | None) -> tuple[list[Span], list[Span]]:
     for a, kind, b in detect(tape.text):
         if any(tape.made[a:b]):
             start, end = tape.start[a], max(tape.end[a:b])
-            if not overlaps(taken[kind], start, end):
+            if not overlaps(taken[kind], start, end) or widens(taken[kind], start, end):
                 added.append((start, kind, end))
     return base, sorted(base + added)
 
@@ -221,6 +221,12 @@ def overlaps(taken: list[tuple[int, int]], start: int, end: int) -> bool:
     return i > 0 and taken[i - 1][1] > start
 
 
+def widens(taken: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether the span contains all those that it overlaps, and is none of them."""
+    met = [(a, b) for a, b in taken if a < end and b > start]
+    return all(start <= a and b <= end for a, b in met) and (start, end) not in met
+
+
 def told(found: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in found)
 

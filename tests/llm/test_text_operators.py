@@ -214,3 +214,11 @@ def test_pii_columns(spark):
     out = masked.orderBy("doc_id").collect()
     assert out[0].text is None and out[9].text == "[EMAIL] and [IP]" and out[9].n_chars == 16 and out[6].text == ODD[6]
     assert pii.find(docs.limit(0)).count() == 0
+
+
+def test_pii_disguise_after_a_valid_prefix():
+    text = "write to john@mail.exаmple.com now"  # a Cyrillic letter
+    base, every = pii.spans(text)
+    assert [text[a:b] for a, _, b in base] == ["john@mail.ex"]
+    assert [text[a:b] for a, _, b in every] == ["john@mail.ex", "john@mail.exаmple.com"]
+    assert pii.mask_text(text) == "write to [EMAIL] now"
