@@ -7,14 +7,16 @@ apart by XXH64 (seed 42).
 Equal sets are one node from the start. Candidates come from prefixes: under one order of all shingles, two sets of this
 similarity share a shingle among the first n - ceil(0.8 n) + 1 of each, so no pair is lost whatever the order. The order
 puts shingles that a bounded sample of texts has often last, so that common lines seldom are in a prefix. Of prefix
-shingles with the same nodes one stands for all. Each is a bucket, in which every pair of nodes that links do not connect
-yet is compared whole; it gives back a spanning forest of its links, never its pairs. A bucket of more than `block`
-shingles is cut into blocks, and each pair of blocks is a task of its own.
+shingles with the same nodes one stands for all. Each is a bucket. A node's sketch has the parity of its shingles in about
+n classes; as many shingles at least tell two sets apart as their sketches differ in bits, so nodes whose sketches are too
+far from all others of the bucket leave it, which loses no pair. Then every pair of nodes that links do not connect yet is
+compared whole; a bucket gives back a spanning forest of its links, never its pairs. A bucket of more than `block` shingles
+is cut into blocks, and each pair of blocks is a task of its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,31 @@ def prefix(found: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarr
     return found[np.lexsort((found, weight))[: n - -(-4 * n // 5) + 1]]
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """The parity of how many shingles fall in each of 2^k classes, 64 at least and n at least, as bits of 64-bit words."""
+    classes = max(64, 1 << int(len(found) - 1).bit_length()) if len(found) else 64
+    odd = np.bincount((found & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def with_partner(size: np.ndarray, sketches: list[np.ndarray], side: np.ndarray, own: bool) -> np.ndarray:
+    """Which sets have another (of the other side, unless own) that may be 0.8 or more alike, by size and sketch."""
+    width, found = np.array([len(s) for s in sketches]), np.zeros(len(size), dtype=bool)
+    for w in np.unique(width):
+        # sets of sizes that fit have the same number of classes or twice as many, which fold
+        at = np.flatnonzero((width == w) | (width == 2 * w))
+        folded = np.stack([sketches[j] if width[j] == w else sketches[j][:w] ^ sketches[j][w:] for j in at])
+        for i in np.flatnonzero(width[at] == w):
+            r, total = at[i], size[at] + size[at[i]]
+            ok = 5 * np.minimum(size[at], size[r]) >= 4 * np.maximum(size[at], size[r])
+            ok &= (at != r) & (own | (side[at] != side[r]))
+            near = np.flatnonzero(ok)
+            near = near[9 * np.bitwise_count(folded[near] ^ folded[i]).sum(axis=1, dtype=np.int64) <= total[near]]
+            found[at[near]] = True
+            found[r] |= len(near) > 0
+    return found
+
+
 def frequent(docs: DataFrame, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that about `sample` texts, chosen by hash, have three times or more: hashes in order and counts, `most` at most."""
     n = docs.count()
@@ -95,12 +122,19 @@ def bucket_forest(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, own
 
 
 def links(docs: DataFrame, keyed: DataFrame, block: int = 2_000_000, most_bits: int = 1 << 27) -> DataFrame:
-    """keyed (node, n, keys; node distinct) of docs (text) -> edges (a, b) of nodes that connect all that are 0.8 or more alike."""
+    """keyed (node, n, keys, sketch; node distinct) of docs (text) -> edges (a, b) of nodes that connect all that are 0.8 or more alike."""
     rows = keyed.select("node", "n", F.explode("keys").alias("k"))
     twice = rows.groupBy("k").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("m > 1")
     buckets = twice.groupBy("m", "x", "y").agg(F.min("k").alias("k"), F.ceil(F.max("total") / block).cast("int").alias("cuts")).select("k", "cuts")
-    held = staged(rows.join(buckets, "k"))
-    named = held.select(F.col("node").alias("h")).distinct()
+    held = rows.join(buckets, "k").select("k", "cuts", "node").join(keyed.select("node", "n", "sketch"), "node")
+    mine = F.pmod(F.xxhash64("node"), "cuts").cast("int")
+    cut = held.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    cut = cut.select("k", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "node", "n", "sketch")
+    alike = staged(in_buckets(cut, possible, "k long, x int, y int, side int, node long"))
+    same = alike.groupBy("k", "x", "y").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node", "side")).alias("u"), F.bit_xor(F.xxhash64("side", "node")).alias("v"))
+    once = same.groupBy("m", "u", "v", (F.col("x") == F.col("y")).alias("own")).agg(F.min(F.struct("k", "x", "y")).alias("c")).select("c.*")
+    alike = alike.join(once, ["k", "x", "y"])
+    named = alike.select(F.col("node").alias("h")).distinct()
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(named, named.count(), most_bits))  # at most most_bits / 8 bytes
 
     def make():
@@ -112,24 +146,34 @@ def links(docs: DataFrame, keyed: DataFrame, block: int = 2_000_000, most_bits:
         return of
 
     sets = map_text(docs.select("text"), make, [T.StructField("node", T.LongType()), T.StructField("s", T.BinaryType()), T.StructField("in", T.BooleanType())], [], where=2)
-    mine = F.pmod(F.xxhash64("node"), "cuts").cast("int")
-    cut = held.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    cut = cut.select("k", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "node")
-    whole = cut.join(sets.dropDuplicates(["node"]), "node").select("k", "x", "y", "side", "node", "s")
-    dealt = whole.repartition(F.col("k"), F.col("x"), F.col("y")).sortWithinPartitions("k", "x", "y")
+    return in_buckets(alike.join(sets.dropDuplicates(["node"]), "node").select("k", "x", "y", "side", "node", "s"), linked, "a long, b long")
+
+
+def in_buckets(rows: DataFrame, of: Callable[[tuple, list[tuple]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What of() makes of each bucket's key (k, x, y) and rows (the other columns)."""
+    dealt = rows.repartition(F.col("k"), F.col("x"), F.col("y")).sortWithinPartitions("k", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, []
         for batch in batches:
-            at = [batch.column(c).to_pylist() for c in ("k", "x", "y")]
-            for key, side, node, s in zip(zip(*at), batch.column("side").to_pylist(), batch.column("node").to_pylist(), batch.column("s"), strict=True):
-                if key != now:
-                    yield from linked(now, group)
-                    now, group = key, []
-                group.append((side, node, s.as_py()))
-        yield from linked(now, group)
+            for row in zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns)), strict=True):
+                if row[:3] != now:
+                    yield from of(now, group)
+                    now, group = row[:3], []
+                group.append(row[3:])
+        yield from of(now, group)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, schema)
+
+
+def possible(key: tuple[int, int, int] | None, group: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    if len(group) > 1:
+        sides, nodes, sizes = map(np.array, zip(*(g[:3] for g in group)))
+        on = with_partner(sizes, [np.frombuffer(s, np.uint64) for *_, s in group], sides, key[1] == key[2])
+        if on.any():
+            m = int(on.sum())
+            columns = [pa.array([key[0]] * m, pa.int64()), *(pa.array([v] * m, pa.int32()) for v in key[1:]), pa.array(sides[on], pa.int32()), pa.array(nodes[on], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "x", "y", "side", "node"])
 
 
 def linked(key: tuple[int, int, int] | None, group: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -150,11 +194,11 @@ def keep_one(docs: DataFrame, sample: int = 2000, most: int = 200_000) -> DataFr
     def make():
         def of(texts: list[str | None]) -> list[list]:
             found = [shingles(t) for t in texts]
-            return [[node_of(s) for s in found], [len(s) for s in found], [prefix(s, *order.value).view(np.int64) for s in found]]
+            return [[node_of(s) for s in found], [len(s) for s in found], [prefix(s, *order.value).view(np.int64) for s in found], [sketch(s).tobytes() for s in found]]
 
         return of
 
-    fields = [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
     rows = staged(map_text(docs.select("doc_id", "text"), make, fields, ["doc_id"]))
-    roots = components(links(docs, rows.select("node", "n", "keys").dropDuplicates(["node"])))
+    roots = components(links(docs, staged(rows.select("node", "n", "keys", "sketch").dropDuplicates(["node"]))))
     return first_of_each(docs, lambda t: node_of(shingles(t)), rows.select("doc_id", "node"), roots)

@@ -53,8 +53,8 @@ def test_blocks_lose_no_pair(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = [nearsets.shingles(t) for t in texts]
     none = (nearsets.np.zeros(0, nearsets.np.uint64), nearsets.np.zeros(0, int))
-    rows = [(nearsets.node_of(s), len(s), nearsets.prefix(s, *none).view("int64").tolist()) for s in found]
-    keyed = spark.createDataFrame(rows, "node long, n long, keys array<long>")
+    rows = [(nearsets.node_of(s), len(s), nearsets.prefix(s, *none).view("int64").tolist(), nearsets.sketch(s).tobytes()) for s in found]
+    keyed = spark.createDataFrame(rows, "node long, n long, keys array<long>, sketch binary")
     roots = {r.id: r.root for r in simhash.components(nearsets.links(docs, keyed, block=60)).collect()}
     assert len({roots.get(r[0], r[0]) for r in rows}) == len(plain_kept(texts))
 
