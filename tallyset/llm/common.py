@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +20,17 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (single machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and all runs in one process, as in
+    tests, a temporary one that goes with the process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="tallyset-"))
+        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
     return f"file://{_own_dir[0]}"
 
 
@@ -44,11 +52,41 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like this that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def fold(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def unit(*names: str) -> Column:
+    """A hash of these columns as a number from 0 to 1, less than 1."""
+    return F.pmod(F.xxhash64(*names), F.lit(1 << 31)).cast("double") / float(1 << 31)
+
+
+def sampled(docs: DataFrame, marks: DataFrame, most_chars: int) -> tuple[list[str], list[int]]:
+    """Texts and marks to learn from, in the order of doc_id: of docs (doc_id, text) one row for each of the few marks
+    (doc_id, mark; doc_id distinct), as far as all of them have most_chars characters, in the order of a hash. A null text
+    counts as the empty one."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(marks), "doc_id")  # a bounded sample
+    rows = staged(rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("mark").alias("mark")))
+    left, fits = most_chars, []
+    for r in rows.select("doc_id", F.length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r.n <= left:
+            left -= r.n
+            fits.append((r.doc_id,))
+    some = docs.sparkSession.createDataFrame(fits, rows.select("doc_id").schema)
+    found = sorted((r.doc_id, r.text, r.mark) for r in rows.join(F.broadcast(some), "doc_id", "left_semi").collect())
+    return [t for _, t, _ in found], [m for *_, m in found]
+
+
 def map_text(
     df: DataFrame,
     make: Callable[[], Callable[[list], list[list]]],
@@ -63,9 +101,9 @@ def map_text(
     of fields. keep: the input columns that stay (all by default); a kept column with the name of a new one gives
     way. where: the index of a Boolean among fields; only rows where it is true stay, and that column goes.
     """
-    new = {f.name.lower() for f in fields}
-    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     stay = [f for i, f in enumerate(fields) if i != where]
+    new = {f.name.lower() for f in stay}
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     schema = T.StructType([*(df.schema[c] for c in keep), *stay])
     types = [to_arrow(f.dataType) for f in fields]
     columns = [c for c in df.columns if c in keep or c == text]
@@ -94,3 +132,28 @@ def to_arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(kind)
+
+
+def bitmap(hashes: DataFrame, n: int, most_bits: int) -> np.ndarray:
+    """Bits of the hashes (h), by their high bits; 32 bits for each of n, at most most_bits. It comes to the driver in
+    blocks that each took one task."""
+    log2 = max(16, min(int(np.log2(most_bits)), int(np.ceil(np.log2(max(32 * n, 2))))))
+    block = min(16, log2)
+    at = F.shiftrightunsigned("h", 64 - log2)
+    spots = hashes.select(F.shiftright(at, block).alias("block"), at.bitwiseAND((1 << block) - 1).cast("int").alias("bit")).distinct()
+
+    def pack(table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << block, dtype=np.uint8)
+        bits[table.column("bit").to_numpy()] = 1
+        return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros((1 << log2) // 8, dtype=np.uint8)
+    size = (1 << block) // 8
+    for r in spots.groupBy("block").applyInArrow(pack, "block long, bits binary").toLocalIterator():
+        out[r.block * size : (r.block + 1) * size] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h >> np.uint64(64 - int(np.log2(len(bits) * 8)))
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1

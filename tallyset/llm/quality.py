@@ -5,8 +5,13 @@ is max-pooled in each chunk, the pooled chunks are averaged, and a logistic unit
 network is trained by the driver, with Adam, on at most about `n_rows` labelled documents chosen by a hash of the id;
 each is read whole, in training as in scoring. Memory is bounded: long texts go through in pieces of chunks.
 
+Filters step by two bytes, so a text of an odd number of bytes, or of fewer than a filter's width, is read with spaces
+after it: no byte of it stays unread.
+
 Null or empty text: no chunk, so the score is that of the bias alone. Null labels are left out; several labels of a
-document count as the lowest. Without labels of both kinds every score is the share of good labels (0.5 without any).
+document count as the lowest; of several rows with a labelled doc_id one is learned from. Without labels of both kinds
+every score is the share of good labels (0.5 without any). Rows are scored one by one, so repeated rows get the same score;
+of columns that clash with a new one the new one stays. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text
+from .common import map_text, sampled, unit
 
 EMBED, WIDTH, FILTERS, STRIDE = 6, 8, 16, 2
 #: Bytes of a chunk, and how far apart chunks start; what two share is more than a filter's width.
@@ -26,6 +31,12 @@ CHUNK, STEP = 1024, 896
 PIECE = 64  # chunks at a time
 
 
+def padded(raw: np.ndarray) -> np.ndarray:
+    """The bytes with spaces after them, up to a filter's width and to an even number, so that filters reach the last one."""
+    more = max(WIDTH - len(raw), (len(raw) - WIDTH) % STRIDE)
+    return np.r_[raw, np.full(more, 32, np.uint8)] if more else raw
+
+
 class Network:
     def __init__(self, seed: int = 42) -> None:
         rng = np.random.default_rng(seed)
@@ -37,14 +48,12 @@ class Network:
 
     def windows(self, raw: np.ndarray) -> np.ndarray:
         """The embedded bytes under each position of the filters, a row each."""
-        if len(raw) < WIDTH:
-            raw = np.r_[raw, np.full(WIDTH - len(raw), 32, np.uint8)]
         x = self.embed[raw]
         view = np.lib.stride_tricks.sliding_window_view(x.reshape(-1), EMBED * WIDTH)[:: EMBED * STRIDE]
         return np.ascontiguousarray(view)
 
     def pooled(self, raw: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """The filters' maxima over each chunk; with `where`, also the bytes at which they start."""
+        """The filters' maxima over each chunk of padded bytes; with `where`, also the bytes at which they start."""
         best, at = [], []
         for a in range(0, max(1, len(raw) - (CHUNK - STEP)), STEP * PIECE):
             part = raw[a : a + STEP * (PIECE - 1) + CHUNK]
@@ -65,6 +74,7 @@ class Network:
         raw = np.frombuffer((text or "").encode(), np.uint8)
         z = float(self.out[-1])
         if len(raw):
+            raw = padded(raw)
             z += float(np.maximum(self.pooled(raw)[0], 0).mean(axis=0) @ self.out[:-1])
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
@@ -75,7 +85,6 @@ class Network:
         grads = [np.zeros_like(p) for p in self.params()]
         span = np.arange(WIDTH)
         for raw, t in zip(raws, y, strict=True):
-            padded = raw if len(raw) >= WIDTH else np.r_[raw, np.full(WIDTH - len(raw), 32, np.uint8)]
             best, at = self.pooled(raw, True)
             mean = np.maximum(best, 0).mean(axis=0)
             z = float(mean @ self.out[:-1] + self.out[-1])
@@ -84,7 +93,7 @@ class Network:
             grads[3][-1] += d
             dbest = (best > 0) * (d * self.out[:-1] / len(best))
             grads[2] += dbest.sum(axis=0)
-            under = padded[np.minimum(at[:, :, None] + span, len(padded) - 1)]  # chunk, filter, offset
+            under = raw[at[:, :, None] + span]  # chunk, filter, offset
             w = dbest[:, :, None].astype(np.float32)
             seen = self.embed[under].reshape(*at.shape, WIDTH * EMBED)
             grads[1] += np.einsum("cf,cfk->kf", dbest, seen)
@@ -98,8 +107,8 @@ def fit(texts: list[str], good: list[int], epochs: int = 6, batch: int = 32, rat
     if len(set(good)) < 2:
         net.constant = float(y.mean()) if len(y) else 0.5
         return net
-    raws = [np.frombuffer(t.encode(), np.uint8) for t in texts]
-    keep = [i for i, r in enumerate(raws) if len(r)]
+    keep = [i for i, t in enumerate(texts) if t]
+    raws = [padded(np.frombuffer(t.encode(), np.uint8)) for t in texts]
     rng, m, v, n = np.random.default_rng(seed), [0.0] * 4, [0.0] * 4, 0
     net.out[-1] = np.log(y.mean() / (1 - y.mean()))
     for epoch in range(epochs):
@@ -114,13 +123,11 @@ def fit(texts: list[str], good: list[int], epochs: int = 6, batch: int = 32, rat
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, n_rows: int = 2400) -> Network:
-    """Learns from docs (doc_id, text) and labels (doc_id, quality); about n_rows rows at most come to the driver."""
-    marks = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    rate = min(1.0, n_rows / max(marks.count(), 1))
-    marks = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < F.lit(int(rate * (1 << 31))))
-    rows = sorted((r.doc_id, r.text or "", r.quality) for r in docs.join(F.broadcast(marks), "doc_id").select("doc_id", "text", "quality").collect())  # n_rows ids, about
-    return fit([t for _, t, _ in rows], [int(v > 0) for _, _, v in rows])
+def train(docs: DataFrame, labels: DataFrame, n_rows: int = 2400, most_chars: int = 64_000_000) -> Network:
+    """Learns from docs (doc_id, text) and labels (doc_id, quality); at most about n_rows rows of most_chars characters come to
+    the driver, by a hash of the id."""
+    marks = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.min("quality") > 0).cast("int").alias("mark"))
+    return fit(*sampled(docs, marks.filter(unit("doc_id") < min(1.0, n_rows / max(marks.count(), 1))), most_chars))
 
 
 def score(docs: DataFrame, net: Network, keep: list[str] | None = None) -> DataFrame:
