@@ -2,12 +2,15 @@
 
 The features of a text are densities of lexicon words, their count, how near they stand to words of the second person,
 rates of capitals, punctuation and repeated signs, and rates of obfuscated spelling (digits or signs in the place of
-letters, letters parted by dots or spaces, stretched letters). The lexicon has fixed words, and words that labelled
-rows show to go with toxicity: the latter are learned from a bounded sample. Trees are boosted on the log loss over
-binned features; the score is an isotonic regression of their margin, fitted on rows that the trees have not seen.
+letters, letters parted by dots or spaces, stretched letters). The lexicon has fixed words, and words and stems (first
+letters of words) that labelled rows show to go with toxicity: the latter are learned from a bounded sample, and the trees
+see each row with what the other folds have taught. Trees are boosted on the log loss over binned features; the score is
+an isotonic regression of their margin, fitted on rows that the trees have not seen.
 
 Null or empty text: all features 0, scored like any other. Null labels are left out; several labels of a document
-count as the highest. Without labels of both kinds every score is the share of toxic labels (0 without labels).
+count as the highest; of several rows with a labelled doc_id one is learned from. Without labels of both kinds every score
+is the share of toxic labels (0 without labels). Rows are scored one by one, so repeated rows get the same score; of
+columns that clash with a new one the new one stays. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text
+from .common import map_text, sampled, unit
 
 # Insults and abuse in English, German, French and Spanish.
 LEXICON = frozenset(
@@ -40,6 +43,8 @@ LEXICON = frozenset(
 SECOND = frozenset("you your yours yourself youre u ur du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros vuestro".split())
 # Signs that stand for letters.
 LEET = str.maketrans("0134578@$!|+", "oieastbasilt")
+#: How many first letters of a word are a stem.
+STEMS = (4, 5, 6, 7)
 
 _WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _ODD = re.compile(r"(?<![^\s])(?=[^\s]*[^\W\d_])[\w@$!|+*.\-]*(?:[\d@$!|+*][^\W\d_]|[^\W\d_][\d@$|+*][^\W\d_])[\w@$!|+*.\-]*")
@@ -49,13 +54,29 @@ _STRONG = re.compile(r"[!?]{2,}")
 NAMES = ("lexicon_share", "lexicon_count", "lexicon_kinds", "learned_share", "learned_count", "near_second", "second_share", "capital_share", "shouted_words", "punctuation_share", "strong_marks", "odd_words", "odd_hits", "parted_hits", "stretched", "digit_share", "words_log")
 
 
-def features(text: str | None, learned: frozenset[str] = frozenset(), dropped: frozenset[str] = frozenset(), near: int = 4) -> list[float]:
-    """The dense features, by NAMES. dropped: lexicon words that do not count."""
+class Words:
+    """What labelled rows add to the lexicon, words and stems, and which of its words they drop."""
+
+    def __init__(self, words: frozenset[str] = frozenset(), stems: frozenset[str] = frozenset(), dropped: frozenset[str] = frozenset()) -> None:
+        self.words, self.stems, self.dropped = words, stems, dropped
+        self.heads, self.lengths = frozenset(s[: STEMS[0]] for s in stems), sorted({len(s) for s in stems})
+
+    def count(self, low: list[str]) -> int:
+        """How many of these words are known, or start with a known stem."""
+        found = 0 if self.words.isdisjoint(low) else sum(map(self.words.__contains__, low))
+        if self.stems:
+            k = STEMS[0]
+            found += sum(1 for w in low if w[:k] in self.heads and w not in self.words and any(w[:n] in self.stems for n in self.lengths))
+        return found
+
+
+def features(text: str | None, learned: Words, near: int = 4) -> list[float]:
+    """The dense features, by NAMES."""
     text = text or ""
     low = _WORDS.findall(text.lower())
     n, chars = max(len(low), 1), max(len(text), 1)
-    hits = [] if LEXICON.isdisjoint(low) else [i for i, w in enumerate(low) if w in LEXICON and w not in dropped]
-    known = 0 if learned.isdisjoint(low) else sum(map(learned.__contains__, low))
+    hits = [] if LEXICON.isdisjoint(low) else [i for i, w in enumerate(low) if w in LEXICON and w not in learned.dropped]
+    known = learned.count(low)
     second = [i for i, w in enumerate(low) if w in SECOND] if hits else []
     close = sum(1 for i in hits if second and min(abs(i - j) for j in near_of(second, i)) <= near)
     seconds = len(second) if hits else sum(map(SECOND.__contains__, low))
@@ -67,7 +88,7 @@ def features(text: str | None, learned: frozenset[str] = frozenset(), dropped: f
     odd_hits = sum(bool(LEXICON.intersection(_WORDS.findall(o.lower().translate(LEET)))) for o in odd)
     parted = sum(_JOINED.sub("", m[0]).lower() in LEXICON for m in _PARTED.finditer(text)) if _PARTED_MAYBE.search(text) else 0
     return [
-        len(hits) / n, float(min(len(hits), 50)), float(len({low[i] for i in hits})), known / n, float(min(known, 50)), close / n, seconds / n, capitals / max(letters, 1),
+        len(hits) / n, float(np.log1p(len(hits))), float(len({low[i] for i in hits})), known / n, float(np.log1p(known)), close / n, seconds / n, capitals / max(letters, 1),
         (len(_SHOUTED.findall(text)) if capitals > 2 else 0) / n, signs / chars, (len(_STRONG.findall(text)) if of[33] + of[63] > 1 else 0) / n, len(odd) / n, float(odd_hits), float(parted), len(_STRETCHED.findall(text)) / n,
         digits / chars, float(np.log1p(len(low))),
     ]
@@ -166,21 +187,22 @@ def isotonic(x: np.ndarray, y: np.ndarray, prior: float = 1.0) -> tuple[np.ndarr
 
 
 class Model:
-    """What is learned: words to add to the lexicon and to drop from it, the trees and the calibration."""
+    """What is learned: the words, the trees and the calibration."""
 
-    def __init__(self, words: tuple[frozenset[str], frozenset[str]], trees: Trees | None, knots: tuple[np.ndarray, np.ndarray] | None, share: float) -> None:
+    def __init__(self, words: Words, trees: Trees | None, knots: tuple[np.ndarray, np.ndarray] | None, share: float) -> None:
         self.words, self.trees, self.knots, self.share = words, trees, knots, share
 
     def score(self, texts: list[str | None]) -> list[float]:
         if self.trees is None:
             return [self.share] * len(texts)
-        x = np.array([features(t, *self.words) for t in texts]).reshape(len(texts), len(NAMES))
+        x = np.array([features(t, self.words) for t in texts]).reshape(len(texts), len(NAMES))
         return np.clip(np.interp(self.trees.margin(x), *self.knots), 0.0, 1.0).tolist()
 
 
-def learn_words(texts: list[str], toxic: list[int], most: int = 200, least: int = 8) -> tuple[frozenset[str], frozenset[str]]:
-    """Words that go with toxicity: in `least` toxic texts or more, each with most of its five-word runs new (copies count
-    once), and over 30 times as often as in others. And lexicon words that do not: as often in other texts."""
+def learn_words(texts: list[str], toxic: list[int], most: int = 200, least: int = 6) -> Words:
+    """Words and stems that go with toxicity: in `least` toxic texts or more, each with most of its five-word runs new (copies
+    count once), and over 30 times as often as in others; a stem of which a shorter one is known adds nothing. And lexicon
+    words that do not: as often in other texts."""
     yes, no, seen = Counter(), Counter(), set()
     n_yes, n_no = 1, 1
     for t, v in zip(texts, toxic, strict=True):
@@ -190,39 +212,44 @@ def learn_words(texts: list[str], toxic: list[int], most: int = 200, least: int
             continue
         seen |= runs
         n_yes, n_no = n_yes + v, n_no + 1 - v
-        (yes if v else no).update(set(low))
-    lift = {w: (c / n_yes) / ((no[w] + 1) / n_no) for w, c in yes.items() if c >= max(least, 0.03 * n_yes)}
-    good = sorted((w for w, v in lift.items() if v > 30 and len(w) > 2), key=lambda w: (-lift[w], w))[:most]
-    return frozenset(good), frozenset(w for w in LEXICON if no[w] >= 3 and no[w] / n_no > 0.2 * yes[w] / n_yes)
-
-
-def fit(texts: list[str], toxic: list[int], seed: int = 42) -> Model:
+        kinds = set(low)
+        (yes if v else no).update(kinds | {f"{w[:k]}*" for w in kinds for k in STEMS if len(w) > k})
+    lift = {w: (c / n_yes) / ((no[w] + 1) / n_no) for w, c in yes.items() if c >= max(least, 0.01 * n_yes)}
+    good = sorted((w for w, v in lift.items() if v > 30 and len(w) > 2), key=lambda w: (-yes[w], -lift[w], w))[:most]
+    stems: set[str] = set()
+    for s in sorted((w[:-1] for w in good if w[-1] == "*"), key=len):
+        if not any(s[:k] in stems for k in STEMS):
+            stems.add(s)
+    words = frozenset(w for w in good if w[-1] != "*")
+    return Words(words, frozenset(stems), frozenset(w for w in LEXICON if no[w] >= 3 and no[w] / n_no > 0.2 * yes[w] / n_yes))
+
+
+def fit(texts: list[str], toxic: list[int], seed: int = 42, folds: int = 4) -> Model:
     y = np.array(toxic)
-    none = (frozenset(), frozenset())
     if len(set(toxic)) < 2 or min(y.sum(), len(y) - y.sum()) < 4:
-        return Model(none, None, None, float(y.mean()) if len(y) else 0.0)
-    draw = np.random.default_rng(seed).random(len(y))
-    held = draw < 0.3
+        return Model(Words(), None, None, float(y.mean()) if len(y) else 0.0)
+    rng = np.random.default_rng(seed)
+    fold, held = rng.integers(0, folds, len(y)), rng.random(len(y)) < 0.3
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(y), dtype=bool)
-    for_words = ~held & (draw < 0.65)
-    words = learn_words([t for t, k in zip(texts, for_words, strict=True) if k], [v for v, k in zip(toxic, for_words, strict=True) if k])
-    x = np.array([features(t, *words) for t in texts])
+    x = np.zeros((len(y), len(NAMES)))
+    for k in range(folds):
+        others = np.flatnonzero(fold != k)
+        words = learn_words([texts[i] for i in others], y[others].tolist())
+        for i in np.flatnonzero(fold == k):
+            x[i] = features(texts[i], words)
     trees = Trees().fit(x[~held], y[~held])
     part = held if held.any() else ~held
-    return Model(words, trees, isotonic(trees.margin(x[part]), y[part]), float(y.mean()))
-
-
-def train(docs: DataFrame, labels: DataFrame, n_rows: int = 6000) -> Model:
-    """Learns from docs (doc_id, text) and labels (doc_id, toxic); at most about n_rows rows, by a hash of the id, come
-    to the driver, half of them toxic if there are so many."""
-    marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    counts = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).cast("double") / float(1 << 31)
-    rate = F.when(F.col("toxic") == 1, min(1.0, n_rows / 2 / max(counts.get(1, 0), 1))).otherwise(min(1.0, n_rows / 2 / max(counts.get(0, 0), 1)))
-    marks = marks.filter(h < rate)
-    rows = sorted((r.doc_id, r.text or "", r.toxic) for r in docs.join(F.broadcast(marks), "doc_id").select("doc_id", "text", "toxic").collect())  # n_rows ids, about
-    return fit([t for _, t, _ in rows], [int(v > 0) for _, _, v in rows])
+    return Model(learn_words(texts, toxic), trees, isotonic(trees.margin(x[part]), y[part]), float(y.mean()))
+
+
+def train(docs: DataFrame, labels: DataFrame, n_rows: int = 6000, most_chars: int = 64_000_000) -> Model:
+    """Learns from docs (doc_id, text) and labels (doc_id, toxic); at most about n_rows rows of most_chars characters, by a
+    hash of the id, come to the driver, half of them toxic if there are so many."""
+    marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("mark"))
+    counts = {r.mark: r["count"] for r in marks.groupBy("mark").count().collect()}
+    rate = F.when(F.col("mark") == 1, min(1.0, n_rows / 2 / max(counts.get(1, 0), 1))).otherwise(min(1.0, n_rows / 2 / max(counts.get(0, 0), 1)))
+    return fit(*sampled(docs, marks.filter(unit("doc_id") < rate), most_chars))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
