@@ -5,11 +5,12 @@ ASCII lower-cased, square roots of counts, unit length) predicts on which side a
 the language whose codeword has the least sum of logistic losses over the bits wins. A text is ambiguous if the second
 codeword is nearly as near, or if the nearest one is far.
 
-The classifiers are learned by the driver from at most about `per_language` labelled rows a language, chosen by a hash
-of the row's text and id; every text is read whole, in prediction as in learning.
+The classifiers are learned by the driver from at most about `per_language` labelled texts a language, of `most_chars`
+characters in all, chosen by a hash of the text; every text is read whole, in prediction as in learning.
 
-Null texts and texts without a letter: `und`, score 0, ambiguous. Null labels are left out of learning. With one label
-all texts get it; with none all texts are `und`. Rows are judged one by one, so repeated rows get the same answer.
+Null texts and texts without a letter: `und`, score 0, ambiguous. Null labels are left out of learning, and copies of a text
+are learned from once. With one label all texts get it; with none all texts are `und`. Rows are judged one by one, so
+repeated rows get the same answer; of columns that clash with a new one the new one stays. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text
+from .common import map_text, staged, unit
 
 DIM = 4096
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint32)
@@ -86,18 +87,22 @@ def decode(margins: np.ndarray, code: np.ndarray, far: float = 0.62, close: floa
     return best, float(weight[best] / weight.sum()), bool(second - loss[best] < close or (len(loss) > 1 and loss[best] > far)), float(loss[best])
 
 
-def sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """About per_language rows of each language, by a hash of id and text: the same rows at each run."""
-    known = docs.filter("lang is not null and text is not null")
-    counts = known.groupBy("lang").count().select("lang", (F.lit(per_language * float(1 << 31)) / F.col("count")).alias("upto"))
-    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 31)).cast("double")
-    return known.join(F.broadcast(counts), "lang").filter(h < F.col("upto")).select("text", "lang")
-
-
-def train(labelled: DataFrame, per_language: int = 500) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Learns from rows (doc_id, text, lang); at most about per_language of each language come to the driver."""
-    rows = sorted((r.lang, r.text) for r in sample(labelled, per_language).collect())
-    return learn([t for _, t in rows], [v for v, _ in rows])
+def train(labelled: DataFrame, per_language: int = 500, most_chars: int = 64_000_000) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Learns from rows (text, lang): about per_language texts of each language at most, by a hash of the text and copies once,
+    as far as all of them have most_chars characters, come to the driver."""
+    known = labelled.filter("lang is not null and text is not null").select("lang", "text")
+    counts = known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n"))
+    upto = counts.select("lang", (F.lit(float(per_language)) / F.col("n")).alias("upto"))
+    rows = known.join(F.broadcast(upto), "lang").filter(unit("text") < F.col("upto")).select("lang", "text")  # a row a language is broadcast
+    rows = staged(rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text")))
+    left, fits = most_chars, []
+    for r in rows.select("lang", "h", F.length("text").alias("n")).orderBy("h", "lang").collect():
+        if r.n <= left:
+            left -= r.n
+            fits.append((r.lang, r.h))
+    some = labelled.sparkSession.createDataFrame(fits, "lang string, h long")
+    found = sorted((r.lang, r.text) for r in rows.join(F.broadcast(some), ["lang", "h"], "left_semi").collect())
+    return learn([t for _, t in found], [v for v, _ in found])
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep: list[str] | None = None) -> DataFrame:
