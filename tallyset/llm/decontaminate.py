@@ -1,27 +1,31 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 A test item of m characters (lower-cased, runs of white space as one space) is contained in a document if a passage of
-the document, so normalised, is within floor(m * rate) edits of it. The item is split into budget + 1 pieces; at most
-budget edits leave one piece whole, so an Aho-Corasick pass over the document for all pieces misses nothing. A piece
-hit is first widened: with pieces taken two by two, some pair with a whole piece has at most one edit (or an odd last
-piece is whole), so its partner must fit with one edit; what is left is verified by Myers' bit-parallel distance over the passage the item could cover.
+the document, so normalised, that starts and ends at word edges is within floor(m * rate) edits of it. A word edge is any
+place but that between two letters or digits; scripts without spaces have edges everywhere. The item is split into budget
++ 1 pieces; at most budget edits leave one piece whole, so an Aho-Corasick pass over the document for all pieces misses
+nothing. A piece hit is first widened: with pieces taken two by two, some pair with a whole piece has at most one edit (or
+an odd last piece is whole), so its partner must fit with one edit; what is left is verified by Myers' bit-parallel
+distance over the passage the item could cover, and what passes is held to the word edges.
 
 Items are compiled in blocks of bounded size; a larger benchmark takes several passes, each over all documents, as a
-stated query set against all rows. Only a block's items travel to the executors.
+stated query set against all rows. Driver and executors hold one block at a time; between blocks results are staged.
 
-Null or empty text: no match. Null or blank items: left out. Items shorter than `least` characters are matched
-exactly (no edits). Equal items or rows are reported one by one.
+Null or empty text: no match. Null or blank items: left out. Items of under 1 / rate characters have no edits to spare and
+match exactly. Equal items or rows are reported one by one. Empty tables: no matches. docs may have other columns, of any
+name: contained() leaves them out, clean() keeps them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text
+from .common import map_text, staged
 
 MATCH = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
 
@@ -30,8 +34,8 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def budget_of(m: int, rate: float, least: int = 40) -> int:
-    return int(m * rate) if m >= least else 0
+def budget_of(m: int, rate: float) -> int:
+    return int(m * rate)
 
 
 def cut(item: str, n: int) -> list[tuple[int, int]]:
@@ -76,6 +80,37 @@ def myers(masks: dict[str, int], m: int, text: str, most: int) -> tuple[int, int
     return best, at
 
 
+def edges(text: str) -> np.ndarray:
+    """For each place of a text, from before its first to after its last character, whether it is a word edge."""
+    inside = np.fromiter(map(joins, text), bool, len(text))
+    return ~(np.r_[False, inside] & np.r_[inside, False])
+
+
+# Ranges of scripts that are written without spaces between words.
+UNSPACED = (("\u0e00", "\u0eff"), ("\u1000", "\u109f"), ("\u1780", "\u17ff"), ("\u2e80", "\ua4cf"), ("\uf900", "\ufaff"), ("\uff66", "\uff9f"), ("\U00020000", "\U0003ffff"))
+
+
+def joins(c: str) -> bool:
+    return c.isalnum() and (c < "\u0e00" or not any(a <= c <= b for a, b in UNSPACED))
+
+
+def at_edges(item: str, text: str, low: int, high: int, most: int) -> tuple[int, int]:
+    """The least edits between the item and any passage of text[low:high] from edge to edge, and where in text the first such
+    passage ends; (most + 1, -1) if more. Row by row, with the row's insertions by a running minimum."""
+    part, places = text[low:high], np.arange(high - low + 1)
+    edge = edges(text[max(0, low - 1) : high + 1])[low > 0 :][: high - low + 1]
+    first = np.where(edge, places, -(1 << 40))
+    row = places - np.maximum.accumulate(first)  # a passage starts at an edge; what it has before the item is edits
+    chars = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+    for c in item:
+        new = row + 1
+        new[1:] = np.minimum(new[1:], row[:-1] + (chars != ord(c)))
+        row = np.minimum.accumulate(new - places) + places
+    row = np.where(edge, row, most + 1)
+    at = int(row.argmin())
+    return (int(row[at]), low + at) if row[at] <= most else (most + 1, -1)
+
+
 class Items:
     """A block of items with the automaton of their pieces."""
 
@@ -133,25 +168,39 @@ class Items:
                     at += 1
                     high = max(high, spans[at][1])
                 at += 1
-                edits, end = myers(masks, len(item), text[low:high], k)
-                if edits < best[0]:
-                    best = (edits, low + end)
+                high = min(high, len(text))
+                if myers(masks, len(item), text[low:high], k)[0] < best[0]:
+                    best = min(best, at_edges(item, text, low, high, k), key=lambda x: x[0])
             if best[0] <= k:
                 out.append((ident, *best))
         return sorted(out)
 
 
-def blocks_of(benchmark: DataFrame, most_chars: int) -> list[list[tuple[int, str]]]:
-    """The items in blocks of most_chars characters at most (an item larger than that is a block)."""
-    blocks: list[list[tuple[int, str]]] = [[]]
+def blocks_of(benchmark: DataFrame, most_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of most_chars characters at most (an item larger than that is a block), one block at a time."""
+    block: list[tuple[int, str]] = []
     held = 0
     for r in benchmark.select("item_id", "text").filter("text is not null").orderBy("item_id", "text").toLocalIterator():
-        if blocks[-1] and held + len(r.text) > most_chars:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((r.item_id, r.text))
+        if block and held + len(r.text) > most_chars:
+            yield block
+            block, held = [], 0
+        block.append((r.item_id, r.text))
         held += len(r.text)
-    return [b for b in blocks if b]
+    if block:
+        yield block
+
+
+def block_by_block(benchmark: DataFrame, most_chars: int, of: Callable[[list[tuple[int, str]]], DataFrame]) -> Iterator[DataFrame]:
+    """What of() makes of each block: staged before the next block is read, if there is more than one."""
+    blocks = blocks_of(benchmark, most_chars)
+    now = next(blocks, None)
+    more = next(blocks, None)
+    if now is not None and more is None:
+        yield of(now)
+        return
+    while now is not None:
+        yield staged(of(now))
+        now, more = more, next(blocks, None)
 
 
 def matcher(items: list[tuple[int, str]], rate: float) -> Callable[[], Callable[[list], list[list]]]:
@@ -165,10 +214,12 @@ def matcher(items: list[tuple[int, str]], rate: float) -> Callable[[], Callable[
 def contained(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, most_chars: int = 4_000_000) -> DataFrame:
     """(doc_id, item_id, edits, stop) for each item that a document's text contains within its edit budget. stop is
     where the first best passage ends in the normalised text."""
-    parts = []
-    for items in blocks_of(benchmark, most_chars):
+
+    def of(items: list[tuple[int, str]]) -> DataFrame:
         found = map_text(docs.select("doc_id", "text"), matcher(items, rate), [T.StructField("found", MATCH)], ["doc_id"])
-        parts.append(found.select("doc_id", F.explode("found").alias("m")).select("doc_id", "m.*"))
+        return found.select("doc_id", F.explode("found").alias("m")).select("doc_id", "m.*")
+
+    parts = list(block_by_block(benchmark, most_chars, of))
     if not parts:
         return docs.select("doc_id").limit(0).withColumns({"item_id": F.lit(0).cast("long"), "edits": F.lit(0), "stop": F.lit(0)})
     out = parts[0]
@@ -179,12 +230,17 @@ def contained(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, most_cha
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, most_chars: int = 4_000_000) -> DataFrame:
     """The rows of docs that contain no item."""
-    for items in blocks_of(benchmark, most_chars):
+    left = docs
+
+    def of(items: list[tuple[int, str]]) -> DataFrame:
         found = matcher(items, rate)
 
-        def make(found=found) -> Callable[[list], list[list]]:
-            of = found()
-            return lambda texts: [[not m for m in of(texts)[0]]]
+        def make() -> Callable[[list], list[list]]:
+            matches = found()
+            return lambda texts: [[not m for m in matches(texts)[0]]]
+
+        return map_text(left, make, [T.StructField("free", T.BooleanType())], where=0)
 
-        docs = map_text(docs, make, [T.StructField("__free", T.BooleanType())], where=0)
-    return docs
+    for left in block_by_block(benchmark, most_chars, of):
+        pass
+    return left
