@@ -4,11 +4,15 @@ Base detection reads the text as it is: e-mail addresses, IPv4 addresses, paymen
 leftmost, non-overlapping matches of each kind; a match that fails its check is dropped. Then transducers rewrite a
 text's disguises into a normalised text that keeps, for each character, where in the source it comes from:
 homoglyphs and full-width forms become ASCII, zero-width characters go, runs of spelled digits become digits, and
-bracketed or spelled at/dot signs become @ and a dot. The same detectors run on it, and what they find is mapped back
-to source characters. A span found so is added if it holds a rewritten character and each base span of its kind that it
-overlaps lies in it and is shorter. Base spans always stay.
-
-Offsets are code points, the end exclusive. Null text is empty text: no spans. Rows are read one by one and whole.
+at/dot signs in brackets or words become @ and a dot. A sign in brackets always counts; one in words, or between hyphens or
+underscores, only before a host with a known last label, and with a plain dot in the host only after a local part in parts
+("j.doe at example.com") or before a mail provider, so that "see you at example.com" and stay-at-home.com stay as they are.
+The same detectors run on the result, and what they find is mapped back to source characters. A span found so is added if it
+holds a rewritten character and each base span of its kind that it overlaps lies in it and is shorter; an address so found
+ends in a label of letters. Base spans always stay.
+
+Offsets are code points, the end exclusive. Null text is empty text: no spans. Rows are read one by one and whole, so
+repeated rows get the same spans; of columns that clash with a new one the new one stays. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -51,10 +55,20 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:{_WORD}|[0-9])(?:(?:[ ,.-]|, ?| - ?)(?:{_WORD}|[0-9])(?![^\W_])){{3,}}")
 _ONE_DIGIT = re.compile(rf"(?i)({_WORD}|[0-9])|[ ,.-]+")
-_AT = re.compile(r"(?i)\s*(?:\[\s*(?:at|@|arroba)\s*\]|\(\s*(?:at|@|arroba)\s*\)|\{\s*(?:at|@|arroba)\s*\}|<\s*(?:at|@)\s*>|-at-|_at_)\s*")
-_DOT = re.compile(r"(?i)\s*(?:\[\s*(?:dot|\.|punkt|point|punto)\s*\]|\(\s*(?:dot|\.|punkt|point|punto)\s*\)|\{\s*(?:dot|\.|punkt|point|punto)\s*\}|<\s*(?:dot|\.)\s*>|-dot-|_dot_)\s*")
-_SAID = re.compile(r"(?i)(?<![A-Za-z0-9])([A-Za-z0-9_%+-]+(?:(?: dot | punkt | punto |\.)[A-Za-z0-9_%+-]+)*)( at | arroba |@)([A-Za-z0-9-]+(?:(?: dot | punkt | punto |\.)[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])")
+_AT = re.compile(r"(?i)\s*(?:\[\s*(?:at|@|arroba)\s*\]|\(\s*(?:at|@|arroba)\s*\)|\{\s*(?:at|@|arroba)\s*\}|<\s*(?:at|@)\s*>)\s*")
+_DOT = re.compile(r"(?i)\s*(?:\[\s*(?:dot|\.|punkt|point|punto)\s*\]|\(\s*(?:dot|\.|punkt|point|punto)\s*\)|\{\s*(?:dot|\.|punkt|point|punto)\s*\}|<\s*(?:dot|\.)\s*>)\s*")
+_HYPHENED = re.compile(r"(?i)([-_]at[-_])([A-Za-z0-9]+(?:[-_]dot[-_][A-Za-z0-9]+)+)(?![A-Za-z0-9])")
+_SAID = re.compile(r"(?i)( at | arroba |@)([A-Za-z0-9-]+(?:(?: dot | punkt | punto |\.)[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])")
+_LOCAL_BEFORE = re.compile(r"(?i)(?<![A-Za-z0-9])([A-Za-z0-9_%+-]+(?:(?: dot | punkt | punto |\.)[A-Za-z0-9_%+-]+)*)$")
 _SAID_SIGN = re.compile(r"(?i) (at|arroba|dot|punkt|punto) ")
+_IN_PARTS = re.compile(r"[A-Za-z]{2}[A-Za-z0-9]*[._+%][A-Za-z]|[A-Za-z][._+%][A-Za-z]{2}")
+#: Characters before a sign in which a local part is looked for; an address has 64 at most.
+_LOCAL_MOST = 160
+# Last labels of hosts; those of the second list are also words, and count only after a disguised dot.
+LABELS = frozenset("com org net edu gov mil int info biz io co app dev ai tv xyz online site tech cloud mail eu de fr es uk us ca au nz jp cn kr br mx ar cl pt pl ru ua se dk fi nl ch cz gr hu ro ie za example test invalid local".split())
+WORD_LABELS = frozenset("it in at be no me is to so my am as id name".split())
+# Mail providers.
+PROVIDERS = frozenset("gmail.com googlemail.com yahoo.com yahoo.de yahoo.fr yahoo.es hotmail.com hotmail.fr outlook.com live.com icloud.com aol.com gmx.de gmx.net web.de t-online.de orange.fr free.fr laposte.net proton.me protonmail.com".split())
 _IP_DOTS = re.compile(r"(?i)(?<![0-9.])[0-9]{1,3}(?:\s?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)| dot | punkt | punto )\s?[0-9]{1,3}){3}(?![0-9])")
 _NOT_DIGITS = re.compile(r"[^0-9]+")
 
@@ -104,7 +118,7 @@ def detect(text: str) -> list[Span]:
 
 _HAS_DIGIT = re.compile(r"[0-9]").search
 _BRACKETED = re.compile(r"(?i)[\[({<]\s*(?:at|@|dot|\.|punkt|point|punto|arroba)\s*[\])}>]").search
-_SIGNS = ("-at-", "_at_", "-dot-", "_dot_", " dot ", " punkt ", " punto ", " arroba ", " at ")
+_SIGNS = ("-at-", "_at_", " dot ", " punkt ", " punto ", " arroba ")
 _SPOKEN = frozenset([w.encode() for w in DIGITS] + [w.upper().encode().lower() for w in DIGITS])
 _TOKENS = _SPOKEN | {b"%d" % d for d in range(10)}
 _PARTED = bytes(32 if chr(c) in ",.-" else c for c in range(256))
@@ -115,7 +129,7 @@ def maybe(text: str) -> bool:
     if not text.isascii() and _DISGUISED.search(text):
         return True
     low = text.lower()
-    if any(s in low for s in _SIGNS[:-1]) or (" at " in low and _AT_HOST(low)):
+    if any(s in low for s in _SIGNS) or (" at " in low and _AT_HOST(low)):
         return True
     if any(c in text for c in "[({<") and _BRACKETED(text):
         return True
@@ -164,7 +178,7 @@ def plain(c: str) -> str | None:
     return HOMOGLYPHS.get(c)
 
 
-_AT_HOST = re.compile(r"[._0-9%+-][A-Za-z0-9_%+-]* at [A-Za-z0-9-]+\.[A-Za-z0-9]").search
+_AT_HOST = re.compile(r"(?a) at [a-z0-9-]+\.[a-z0-9]").search
 _PLUS = re.compile(r"(?i)(?<![^\W_])plus\s?(?=[0-9])")
 _DISGUISED = re.compile(f"[{re.escape(''.join(HOMOGLYPHS) + NO_WIDTH)}！-～]")
 
@@ -178,15 +192,39 @@ def normalise(text: str) -> Tape:
     tape.replace([(m.start() + a, m.start() + b, ".") for m in _IP_DOTS.finditer(tape.text) for a, b in gaps(m[0])])
     tape.replace([(m.start(), m.end(), "@") for m in _AT.finditer(tape.text)])
     tape.replace([(m.start(), m.end(), ".") for m in _DOT.finditer(tape.text)])
-    said = []
+    tape.replace([e for m in _HYPHENED.finditer(tape.text) if last_label(m[2], "-_") in LABELS | WORD_LABELS for e in signs(tape.text, m.start(), m.end(), r"(?i)[-_](at|dot)[-_]")])
+    said, free = [], 0
     for m in _SAID.finditer(tape.text):
-        if m[2] != "@" and not _SAID_SIGN.search(m[3]) and not re.search(r"[._0-9%+-]", m[1]):
-            continue  # "... at example.com" is plain speech, "j.doe at example.com" is not
-        said += [(m.start() + s.start(), m.start() + s.end(), "@" if s[1].lower() in ("at", "arroba") else ".") for s in re.finditer(r"(?i) (at|arroba|dot|punkt|punto) ", m[0])]
+        start = address(tape.text, m, free)
+        if start >= 0:
+            said += signs(tape.text, start, m.end(), _SAID_SIGN.pattern)
+            free = m.end()
     tape.replace(said)
     return tape
 
 
+def last_label(host: str, parts: str) -> str:
+    return re.split(f"[{parts}]", host)[-1].lower()
+
+
+def signs(text: str, start: int, end: int, sign: str) -> list[tuple[int, int, str]]:
+    """The sign and dots in words of an address."""
+    return [(start + s.start(), start + s.end(), "@" if s[1].lower() in ("at", "arroba") else ".") for s in re.finditer(sign, text[start:end])]
+
+
+def address(text: str, m: re.Match, free: int) -> int:
+    """Where the address begins that a sign and a host make of the words before them, from `free` on; -1 if they make none."""
+    local = _LOCAL_BEFORE.search(text, max(free, m.start() - _LOCAL_MOST), m.start())
+    if local is None:
+        return -1
+    label = last_label(m[2], ". ")
+    if _SAID_SIGN.search(m[2]):
+        good = label in LABELS or label in WORD_LABELS
+    else:  # a plain sign and host are a plain address
+        good = m[1] != "@" and (m[2].lower() in PROVIDERS or (label in LABELS and bool(_IN_PARTS.search(local[1]))))
+    return local.start() if good else -1
+
+
 def gaps(s: str) -> list[tuple[int, int]]:
     return [m.span() for m in _NOT_DIGITS.finditer(s)]
 
@@ -209,7 +247,7 @@ def spans(text: str | None) -> tuple[list[Span], list[Span]]:
     taken = {k: [(a, b) for a, kind, b in base if kind == k] for k in range(4)}
     added = []
     for a, kind, b in detect(tape.text):
-        if any(tape.made[a:b]):
+        if any(tape.made[a:b]) and (kind or tape.text[a:b].rpartition(".")[2].isalpha()):
             start, end = tape.start[a], max(tape.end[a:b])
             if not overlaps(taken[kind], start, end) or widens(taken[kind], start, end):
                 added.append((start, kind, end))
@@ -268,6 +306,5 @@ def masked(docs: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
 
     order = docs.columns
-    out = map_text(docs, lambda: lambda texts: [[mask_text(t) for t in texts]], [T.StructField("__masked", T.StringType())])
-    out = out.withColumn("text", F.col("__masked")).drop("__masked")
+    out = map_text(docs, lambda: lambda texts: [[mask_text(t) for t in texts]], [T.StructField("text", T.StringType())])
     return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in order else out).select(*[F.col(f"`{c}`") for c in order])
