@@ -8,36 +8,41 @@ is removed; windows are judged on the input.
    documents' anchors are counted, combined before the shuffle. Those seen twice or more set bits in a bitmap of at most
    `most_bits` bits, which is all that is broadcast; a full bitmap costs work, never results.
 2. Confirmation. Consecutive windows with one anchor are a stretch (32 windows at most). Stretches whose anchor may recur
-   are counted by a 64-bit hash of their words: the windows of one that recurs recur. Where an anchor also has a stretch
-   that does not, the windows of one copy of each of its stretches are counted singly. What recurs is told as a mask for
-   each stretch, so copies cost a row for each stretch and shard.
-3. Automata. Documents are dealt into shards of about `shard_bytes` by their id, with the confirmed stretches found there.
+   are counted by a 128-bit hash of their words: the windows of one that recurs recur. Where an anchor also has a stretch
+   that does not, the windows of one copy of each of its stretches are counted singly, by 128 bits too. What recurs is told
+   as a mask for each stretch, so copies cost a row for each stretch and shard.
+3. Automata. Documents are dealt into shards of about `shard_bytes` by their id, with the confirmed stretches found there; a
+   shard of over four times that (one doc_id, or none, for many rows) is dealt out again, its stretches with each part.
    A shard's confirmed passages (longest runs of confirmed windows, each text once) are compiled into Aho-Corasick
    automata of at most `automaton_chars` characters, and all its documents are streamed through each to locate every
    occurrence; what occurrences cover is removed.
 
 A passage that many documents share is one row for each shard and costs no pairs; shards are cut by documents, so no
-passage, however frequent, makes a task large. Rows with equal doc_id share a shard.
+passage, however frequent, makes a task large.
 
-Null text has no words: 0 words, nothing removed, the digest of the empty string. Repeated rows repeat each other.
+Null text has no words: 0 words, nothing removed, the digest of the empty string. Repeated rows repeat each other. A null or
+repeated doc_id is as good as any. Columns but doc_id and text are not read. No rows: no rows.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, staged
+from .common import bitmap, marked, small, staged
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Windows of a stretch, at most: the bits of its mask.
 STRETCH = 32
-_P, _Q = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd, so they have inverses modulo 2**64
+_P, _Q, _R = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5  # odd, so they have inverses modulo 2**64
+#: Shards that are dealt out again, at most: they are broadcast.
+MOST_HOT = 1 << 20
 
 
 class Powers:
@@ -68,7 +73,7 @@ class Reader:
     """Word and window hashes of texts, by prefix sums."""
 
     def __init__(self, width: int, gram: int) -> None:
-        self.width, self.gram, self.p, self.q = width, gram, Powers(_P), Powers(_Q)
+        self.width, self.gram, self.p, self.lanes = width, gram, Powers(_P), (Powers(_Q), Powers(_R))
 
     def words(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where words start and end."""
@@ -77,32 +82,63 @@ class Reader:
         step = np.diff(inside)
         return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
-    def windows(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The hash and the anchor of each window; the first window of each stretch, and the hash of its words."""
-        none = np.zeros(0, np.uint64)
-        start, end = self.words(raw)
-        if len(start) < self.width:
-            return none, none, np.zeros(0, np.int64), none
+    def hashed(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of each word."""
         up, down = self.p.of(len(raw) + 1)
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-        word = mixed((sums[end] - sums[start]) * down[start])
-        n = len(word)
-        up, down = self.q.of(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(word * up[:n], out=sums[1:])
-        runs = lambda k: (sums[k:] - sums[: n + 1 - k]) * down[: n + 1 - k]
-        least, span, want = mixed(runs(self.gram)), 1, self.width - self.gram + 1
+        return mixed((sums[end] - sums[start]) * down[start])
+
+    def summed(self, word: np.ndarray, lane: int) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix sums by which runs of words are hashed, and what each place is divided by. A lane is one 64-bit hash; the
+        second is independent of the first."""
+        up, down = self.lanes[lane].of(len(word) + 1)
+        sums = np.zeros(len(word) + 1, np.uint64)
+        np.cumsum((mixed(word ^ np.uint64(_R)) if lane else word) * up[: len(word)], out=sums[1:])
+        return sums, down
+
+    def anchors(self, word: np.ndarray, sums: np.ndarray, down: np.ndarray) -> np.ndarray:
+        """The anchor of each window."""
+        least, span, want = mixed(runs(sums, down, self.gram)), 1, self.width - self.gram + 1
         while span < want:
             more = min(span, want - span)
             least = np.minimum(least[: len(least) - more], least[more:])
             span += more
+        return least
+
+    def firsts(self, least: np.ndarray) -> np.ndarray:
+        """The first window of each stretch."""
         new = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
         within = np.arange(len(least)) - np.repeat(new, np.diff(np.r_[new, len(least)]))
-        first = np.flatnonzero(within % STRETCH == 0)
+        return np.flatnonzero(within % STRETCH == 0)
+
+    def windows(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """The hash, of 64 bits, and the anchor of each window, if there is a window."""
+        start, end = self.words(raw)
+        if len(start) < self.width:
+            return None
+        word = self.hashed(raw, start, end)
+        sums, down = self.summed(word, 0)
+        return mixed(runs(sums, down, self.width) ^ np.uint64(_Q)), self.anchors(word, sums, down)
+
+    def stretches(self, raw: np.ndarray, words: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, ...] | None:
+        """For each stretch its first window, the two halves of the hash of its words and its anchor; and both lanes' sums, by
+        which its windows are hashed. None if there is no window."""
+        start, end = words or self.words(raw)
+        if len(start) < self.width:
+            return None
+        word = self.hashed(raw, start, end)
+        lanes = [self.summed(word, k) for k in (0, 1)]
+        least = self.anchors(word, *lanes[0])
+        first = self.firsts(least)
         last = np.r_[first[1:], len(least)] + self.width - 1  # the end of the stretch's words
-        stretch = mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
-        return mixed(runs(self.width) ^ np.uint64(_Q)), least, first, stretch
+        s, t = (mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)) for sums, down in lanes)
+        return first, s, t, least, lanes
+
+
+def runs(sums: np.ndarray, down: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each run of k words."""
+    return (sums[k:] - sums[: len(sums) - k]) * down[: len(sums) - k]
 
 
 def raw_of(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -120,9 +156,10 @@ def anchors(docs: DataFrame, width: int, gram: int) -> DataFrame:
             for part in small(batch, "text"):
                 found, count = [], []
                 for raw in raw_of(part.column(0)):
-                    w, least, _, _ = reader.windows(raw)
-                    if not len(w):
+                    seen = reader.windows(raw)
+                    if seen is None:
                         continue
+                    w, least = seen
                     new = least[np.r_[True, least[1:] != least[:-1]]]
                     order = np.argsort(w, kind="stable")
                     again = np.unique(least[order[1:][w[order[1:]] == w[order[:-1]]]])
@@ -135,53 +172,30 @@ def anchors(docs: DataFrame, width: int, gram: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, n long")
 
 
-def bitmap(hashes: DataFrame, n: int, most_bits: int) -> np.ndarray:
-    """Bits of the hashes (h), by their high bits; 32 bits for each of n, at most most_bits. It comes to the driver in
-    blocks that each took one task."""
-    log2 = max(16, min(int(np.log2(most_bits)), int(np.ceil(np.log2(max(32 * n, 2))))))
-    block = min(16, log2)
-    at = F.shiftrightunsigned("h", 64 - log2)
-    spots = hashes.select(F.shiftright(at, block).alias("block"), at.bitwiseAND((1 << block) - 1).cast("int").alias("bit")).distinct()
-
-    def pack(table: pa.Table) -> pa.Table:
-        bits = np.zeros(1 << block, dtype=np.uint8)
-        bits[table.column("bit").to_numpy()] = 1
-        return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    out = np.zeros((1 << log2) // 8, dtype=np.uint8)
-    size = (1 << block) // 8
-    for r in spots.groupBy("block").applyInArrow(pack, "block long, bits binary").toLocalIterator():
-        out[r.block * size : (r.block + 1) * size] = np.frombuffer(r.bits, np.uint8)
-    return out
-
-
-def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h >> np.uint64(64 - int(np.log2(len(bits) * 8)))
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
 def stretches(docs: DataFrame, bits, n_parts: int, width: int, gram: int) -> DataFrame:
-    """(part, ident, s, h, twin, n): the stretches whose anchor may recur, by shard and document. twin: whether one of its
+    """(part, ident, s, t, h, twin, n): the stretches whose anchor may recur, by shard and document. twin: whether one of its
     windows stands in it twice."""
+    names = ["part", "ident", "s", "t", "h", "twin"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(width, gram)
         for batch in batches:
             for rows in small(batch, "text"):
-                cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+                cols: list[list[np.ndarray]] = [[] for _ in names]
                 for raw, part, ident in zip(raw_of(rows.column(2)), rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                    w, least, first, stretch = reader.windows(raw)
-                    if not len(w):
+                    seen = reader.stretches(raw)
+                    if seen is None:
                         continue
+                    first, s, t, least, lanes = seen
                     at = np.flatnonzero(marked(bits.value, least[first]))
-                    twin = twins(w, first)[at] if len(at) else np.zeros(0, bool)
-                    for col, v in zip(cols, (np.full(len(at), part, np.int32), np.full(len(at), ident, np.int64), stretch[at].view(np.int64), least[first][at].view(np.int64), twin), strict=True):
+                    twin = twins(mixed(runs(*lanes[0], width) ^ np.uint64(_Q)), first)[at] if len(at) else np.zeros(0, bool)
+                    for col, v in zip(cols, (np.full(len(at), part, np.int32), np.full(len(at), ident, np.int64), s[at].view(np.int64), t[at].view(np.int64), least[first][at].view(np.int64), twin), strict=True):
                         col.append(v)
                 if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["part", "ident", "s", "h", "twin"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=names)
 
-    seen = docs.select(part_of(docs, n_parts).alias("part"), ident_of().alias("ident"), "text").mapInArrow(run, "part int, ident long, s long, h long, twin boolean")
-    return seen.groupBy("s", "part").agg(F.count("*").alias("n"), F.first("h").alias("h"), F.max("twin").alias("twin"), F.min("ident").alias("ident"))
+    seen = docs.select(part_of(n_parts).alias("part"), ident_of().alias("ident"), "text").mapInArrow(run, "part int, ident long, s long, t long, h long, twin boolean")
+    return seen.groupBy("s", "t", "part").agg(F.count("*").alias("n"), F.first("h").alias("h"), F.max("twin").alias("twin"), F.min("ident").alias("ident"))
 
 
 def twins(w: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -194,27 +208,41 @@ def twins(w: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def windows_of(docs: DataFrame, bits, width: int, gram: int) -> DataFrame:
-    """(s, ident, j, w): the windows of the stretches that the bitmap of (stretch, document) names."""
+def windows_of(docs: DataFrame, bits, width: int, gram: int, most_seen: int = 200_000) -> DataFrame:
+    """(s, ident, j, w, x): the windows, by both halves of their hash, of the stretches that the bitmap of (stretch, document)
+    names. A task leaves out most of those that it has told already."""
+    names = ["s", "ident", "j", "w", "x"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(width, gram)
+        reader, told = Reader(width, gram), set()
         for batch in batches:
             for rows in small(batch, "text"):
-                cols: list[list[np.ndarray]] = [[] for _ in range(4)]
+                cols: list[list[np.ndarray]] = [[] for _ in names]
                 for raw, ident in zip(raw_of(rows.column(1)), rows.column(0).to_pylist(), strict=True):
-                    w, _, first, stretch = reader.windows(raw)
-                    if not len(w):
+                    seen = reader.stretches(raw)
+                    if seen is None:
+                        continue
+                    first, s, _, least, lanes = seen
+                    keys = copy_key(s, ident)
+                    on = marked(bits.value, keys)
+                    for k in np.flatnonzero(on).tolist():
+                        if (key := int(keys[k])) in told:
+                            on[k] = False
+                        told.add(key)
+                    if len(told) > most_seen:
+                        told.clear()
+                    if not on.any():
                         continue
-                    size = np.diff(np.r_[first, len(w)])
-                    on = np.repeat(marked(bits.value, copy_key(stretch, ident)), size)
-                    j = np.arange(len(w)) - np.repeat(first, size)
-                    for col, v in zip(cols, (np.repeat(stretch, size)[on].view(np.int64), np.full(int(on.sum()), ident, np.int64), j[on].astype(np.int32), w[on].view(np.int64)), strict=True):
+                    size = np.diff(np.r_[first, len(least)])
+                    j = np.arange(len(least)) - np.repeat(first, size)
+                    each, s = np.repeat(on, size), np.repeat(s, size)
+                    w, x = (mixed(runs(*lane, width) ^ np.uint64(_Q))[each].view(np.int64) for lane in lanes)
+                    for col, v in zip(cols, (s[each].view(np.int64), np.full(len(w), ident, np.int64), j[each].astype(np.int32), w, x), strict=True):
                         col.append(v)
                 if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["s", "ident", "j", "w"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=names)
 
-    return docs.select(ident_of().alias("ident"), "text").mapInArrow(run, "s long, ident long, j int, w long")
+    return docs.select(ident_of().alias("ident"), "text").mapInArrow(run, "s long, ident long, j int, w long, x long")
 
 
 def copy_key(stretch: np.ndarray, ident: int) -> np.ndarray:
@@ -231,49 +259,56 @@ def keyed(rows: DataFrame) -> DataFrame:
 
 
 def confirmed(docs: DataFrame, n_parts: int, width: int, gram: int, most_bits: int) -> DataFrame:
-    """(part, s, mask): the stretches with windows that recur, for each shard that holds them; bit j of the mask is that of
+    """(part, s, t, mask): the stretches with windows that recur, for each shard that holds them; bit j of the mask is that of
     the stretch's window j."""
     context = docs.sparkSession.sparkContext
     often = staged(anchors(docs, width, gram).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
     bits = context.broadcast(bitmap(often, often.count(), most_bits))  # at most most_bits / 8 bytes
     rows = staged(stretches(docs, bits, n_parts, width, gram))
-    texts = staged(rows.groupBy("s").agg(F.sum("n").alias("n"), F.first("h").alias("h"), F.max("twin").alias("twin"), F.min("ident").alias("ident")))
+    texts = staged(rows.groupBy("s", "t").agg(F.sum("n").alias("n"), F.first("h").alias("h"), F.max("twin").alias("twin"), F.min("ident").alias("ident")))
     open_ = texts.groupBy("h").agg(F.min("n").alias("least"), F.count("*").alias("kinds"), F.max("twin").alias("twin")).filter("least = 1 and (kinds > 1 or twin)").select("h")
-    single = staged(texts.join(open_, "h", "left_semi").select("s", "ident", "n"))
+    single = staged(texts.join(open_, "h", "left_semi").select("s", "t", "ident", "n"))
     copies = context.broadcast(bitmap(keyed(single), single.count(), most_bits))
-    windows = staged(windows_of(docs, copies, width, gram).join(single, ["s", "ident"]).select("s", "j", "w", "n").dropDuplicates(["s", "j"]))
-    recurs = windows.groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1").select("w")
-    some = windows.filter("n = 1").join(recurs, "w", "left_semi").groupBy("s").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
-    masks = texts.filter("n > 1").select("s", F.lit((1 << STRETCH) - 1).cast("long").alias("mask")).unionByName(some)
-    return rows.select("part", "s").join(masks, "s").select("part", "s", "mask")
+    windows = staged(windows_of(docs, copies, width, gram).join(single, ["s", "ident"]).select("s", "t", "j", "w", "x", "n").dropDuplicates(["s", "t", "j"]))
+    recurs = windows.groupBy("w", "x").agg(F.sum("n").alias("n")).filter("n > 1").select("w", "x")
+    some = windows.filter("n = 1").join(recurs, ["w", "x"], "left_semi").groupBy("s", "t").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
+    masks = texts.filter("n > 1").select("s", "t", F.lit((1 << STRETCH) - 1).cast("long").alias("mask")).unionByName(some)
+    return rows.select("part", "s", "t").join(masks, ["s", "t"]).select("part", "s", "t", "mask")
 
 
-def ident_of():
+def ident_of() -> Column:
     return F.xxhash64(F.lit("ident"), "doc_id")
 
 
-def part_of(docs: DataFrame, n_parts: int):
+def part_of(n_parts: int) -> Column:
     return F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(n_parts)).cast("int")
 
 
+def hot_parts(docs: DataFrame, size: int, n_parts: int, shard_bytes: int) -> DataFrame:
+    """(part, cuts): the shards of over four times shard_bytes, MOST_HOT of them at most, and in how many each is dealt."""
+    by_part = docs.groupBy(part_of(n_parts).alias("part")).agg(F.sum(F.octet_length("text")).alias("bytes"))
+    large = by_part.filter(F.col("bytes") > max(4 * shard_bytes, size // MOST_HOT))
+    return staged(large.select("part", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("cuts")))
+
+
 # ---- automata
 
 
-def passages(reader: Reader, raws: list[np.ndarray], known: np.ndarray, masks: np.ndarray) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
-    """The texts of the longest runs of recurring windows, each once; and each document's words. known: stretches, sorted,
-    with their masks."""
+def passages(reader: Reader, raws: list[np.ndarray], known: dict[tuple[int, int], int]) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+    """The texts of the longest runs of recurring windows, each once; and each document's words. known: the masks of
+    stretches by the two halves of their hash."""
     texts: dict[str, None] = {}
     words = []
     for raw in raws:
         start, end = reader.words(raw)
         words.append((start, end))
-        w, _, first, stretch = reader.windows(raw)
-        if not len(w) or not len(known):
+        seen = reader.stretches(raw, (start, end)) if known else None
+        if seen is None:
             continue
-        at = np.minimum(np.searchsorted(known, stretch), len(known) - 1)
-        size = np.diff(np.r_[first, len(w)])
-        mask = np.repeat(np.where(known[at] == stretch, masks[at], 0), size)
-        on = np.diff(np.r_[0, (mask >> (np.arange(len(w)) - np.repeat(first, size)) & 1).astype(np.int8), 0])
+        first, s, t, least, _ = seen
+        masks = np.fromiter(map(known.get, zip(s.tolist(), t.tolist(), strict=True), itertools.repeat(0)), np.int64, len(s))
+        size = np.diff(np.r_[first, len(least)])
+        on = np.diff(np.r_[0, (np.repeat(masks, size) >> (np.arange(len(least)) - np.repeat(first, size)) & 1).astype(np.int8), 0])
         for a, b in zip(np.flatnonzero(on == 1).tolist(), np.flatnonzero(on == -1).tolist(), strict=True):
             texts[joined(raw, start, end, a, b - 1 + reader.width)] = None
     return list(texts), words
@@ -327,9 +362,9 @@ def strip(docs: DataFrame, width: int = 35, gram: int = 4, shard_bytes: int = 3_
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         reader = Reader(width, gram)
-        known, at = np.unique(right.column("s").to_numpy().view(np.uint64), return_index=True)
+        s, t = (right.column(c).to_numpy().view(np.uint64).tolist() for c in ("s", "t"))
         raws = list(raw_of(left.column("text").combine_chunks()))
-        texts, words = passages(reader, raws, known, right.column("mask").to_numpy()[at])
+        texts, words = passages(reader, raws, dict(zip(zip(s, t, strict=True), right.column("mask").to_pylist(), strict=True)))
         streams = [joined(raw, s, e, 0, len(s)) if len(s) >= width and texts else "" for raw, (s, e) in zip(raws, words, strict=True)]
         rows = []
         for raw, (start, end), spans in zip(raws, words, located(texts, streams, automaton_chars), strict=True):
@@ -339,6 +374,10 @@ def strip(docs: DataFrame, width: int = 35, gram: int = 4, shard_bytes: int = 3_
             rows.append((len(start), int(gone.sum()), kept))
         return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array([r[0] for r in rows], pa.int64()), "n_removed": pa.array([r[1] for r in rows], pa.int64()), "kept": pa.array([r[2] for r in rows], pa.binary())})
 
-    dealt = docs.select(part_of(docs, n_parts).alias("part"), "doc_id", "text")
-    found = dealt.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept binary")
+    hot = F.broadcast(hot_parts(docs, size, n_parts, shard_bytes))  # MOST_HOT rows at most
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("cuts", F.lit(1))).cast("int")
+    dealt = docs.select(part_of(n_parts).alias("part"), "doc_id", "text").join(hot, "part", "left").select("part", spread.alias("sub"), "doc_id", "text")
+    known = known.join(hot, "part", "left").withColumn("sub", F.explode(F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1))).drop("cuts")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept binary"
+    found = dealt.groupBy("part", "sub").cogroup(known.groupBy("part", "sub")).applyInArrow(run, schema)
     return found.withColumn("kept", F.col("kept").cast("string"))
