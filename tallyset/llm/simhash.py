@@ -2,24 +2,27 @@
 
 A text's fingerprint has 64 bits: bit i is set if it is set in over half of the XXH64 values (seed 42) of its 4-word
 shingles, repeats included, after A-Z is lower-cased. Documents link if their fingerprints differ in at most
-`threshold` bits; a component is what links connect.
+`threshold` bits; a component is what links connect. keep_one() takes sets of 5-word shingles, and more bits: see there.
 
 Equal fingerprints are one node from the start, so copies cost a row and not their pairs. Correlated bits are put
 into one partition (greedily, by the correlation over all fingerprints); a partition p with threshold t_p finds pairs
 that differ there in at most t_p bits, and thresholds that add up to threshold - partitions + 1 lose no pair. The
 number of partitions and their thresholds come from dynamic programming on estimated candidate counts: the exact
 number of pairs that agree in a partition, scaled for more differing bits by the bits' frequencies. A row is sent to
-its own value of each partition, and its variants within t_p bits probe there. Buckets are verified block by block
-with numpy; a bucket gives back a spanning forest of its links, never its pairs. A bucket of more than `block` rows is
-cut into blocks, and each pair of blocks is a task of its own, so no pair is lost and no task has it whole. Links
-are then contracted by alternating stars, each round written to the shared folder.
+its own value of each partition and to its variants within half of t_p bits, rounded up, so that two rows that differ in t_p
+bits meet half-way. Buckets are verified block by block with numpy; a bucket gives back a spanning forest of its links, never
+its pairs. A bucket of more than `block` rows is cut into blocks, and each pair of blocks is a task of its own, so no pair is
+lost and no task has it whole. Links are then contracted by alternating stars, each round written to the shared folder.
 
 Null or empty text: no shingles, fingerprint zero, linked like any other. Fewer than 4 words: the whole sequence is
-the one shingle. Rows with equal doc_id are one document; a component of rows without doc_id has no id.
+the one shingle. Rows with equal doc_id and text are one document, rows with equal doc_id and other texts are not; a component
+of rows without doc_id has no id. Columns but doc_id and text are not read; keep_one() keeps them, whatever their names. No
+rows: no rows.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, staged
+from .common import bitmap, fresh, map_text, marked, small, staged
 
 BITS = 64
 
@@ -49,13 +52,16 @@ def fingerprint(text: str | None) -> int:
         np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1, out=starts[1:])
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], 42) for a, b in zip(starts[: n - 3].tolist(), (starts[4:] - 1).tolist(), strict=True)]
+    return majority(np.array(hashes, dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have, as a signed number."""
     counts = np.zeros(BITS, dtype=np.int64)
-    array = np.array(hashes, dtype=np.uint64)
-    for at in range(0, len(array), 1 << 16):
-        part = array[at : at + (1 << 16)]
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)]
         counts += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(len(part), BITS).sum(axis=0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > len(array), bitorder="little").view(np.int64)
-    return int(bits[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -159,9 +165,9 @@ def choose(n: int, ones: np.ndarray, agree: dict[tuple[int, int], float], option
         for k, bits in enumerate(groups):
             near, row = within(p[bits], threshold), [0.0]
             for t in range(threshold + 1):
-                variants = sum(math.comb(len(bits), d) for d in range(t + 1))
+                variants = sum(math.comb(len(bits), d) for d in range((t + 1) // 2 + 1))
                 pairs = max(agree.get((m, k), 0.0), 1.0) * min(near[t] / max(near[0], 1e-300), n)
-                row.append(pairs + row_cost * n * (1 + (variants if t else 0)))
+                row.append(pairs + row_cost * max(n, 1) * (1 + (variants if t else 0)))  # variants cost even if there are no rows
             costs.append(row)
         cost, taus = allocate(costs, threshold - m + 1)
         found.append((cost, m, groups, taus))
@@ -177,50 +183,111 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def flips(bits: list[int], most: int) -> list[int]:
-    """The signed masks that flip 1 to most of these bits."""
-    from itertools import combinations
-
-    return [signed(mask(list(c))) for d in range(1, most + 1) for c in combinations(bits, d)]
+def flips(bits: list[int], n: int) -> list[int]:
+    """The signed masks that flip n of these bits."""
+    return [signed(mask(list(c))) for c in itertools.combinations(bits, n)]
 
 
 # ---- candidates and links
 
 
-def forest(a: np.ndarray, b: np.ndarray | None, threshold: int, tile: int = 2048) -> list[tuple[int, int]]:
-    """Positions in a (and b, shifted by len(a)) that form a spanning forest of the links within a, or between a and b."""
+def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits fingerprints differ: words along the last axis."""
+    out = popcount(x[..., 0] ^ y[..., 0]).astype(np.uint16)
+    for w in range(1, x.shape[-1]):
+        out += popcount(x[..., w] ^ y[..., w])
+    return out
+
+
+def spanning(edges: np.ndarray) -> np.ndarray:
+    """Rows of edges (a, b, bits) that form a spanning forest of them, of the fewest bits: in each round each tree takes its
+    first edge to another."""
+    edges = edges[np.lexsort((edges[:, 1], edges[:, 0], edges[:, 2]))]
+    ids, at = np.unique(edges[:, :2], return_inverse=True)
+    ends, label, kept, live = at.reshape(-1, 2), np.arange(len(ids)), [], np.arange(len(edges))
+    while len(live):
+        pair = label[ends[live]]
+        apart = pair[:, 0] != pair[:, 1]
+        live, pair = live[apart], pair[apart]
+        if len(live):
+            first, label = step(label, pair)
+            kept.append(live[first])
+    return edges[np.sort(np.concatenate(kept))] if kept else edges[:0]
+
+
+def step(label: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first edge of each tree among edges (pairs of trees, in order), and the labels after all trees have joined by them;
+    the only circles are of two that chose each other."""
+    earliest = np.full(len(label), len(pair))
+    np.minimum.at(earliest, pair.ravel(), np.repeat(np.arange(len(pair)), 2))
+    trees = np.flatnonzero(earliest < len(pair))
+    first = earliest[trees]
+    to, up = pair[first].sum(axis=1) - trees, np.arange(len(label))
+    up[trees] = to
+    mutual = trees[(up[to] == trees) & (trees < to)]
+    up[mutual] = mutual
+    while (up[up] != up).any():
+        up = up[up]
+    return np.unique(first), up[label]
+
+
+def forest(a: np.ndarray, b: np.ndarray | None, threshold: int, tile: int = 1024) -> list[tuple[int, int, int]]:
+    """Positions in a (and b, shifted by len(a)), and bits, that form a spanning forest of the fewest bits of the links within a,
+    or between a and b: that of all tiles' forests. A row has a fingerprint's words."""
     both = a if b is None else np.concatenate([a, b])
-    label = np.arange(len(both))
-    edges: list[tuple[int, int]] = []
+    edges: list[tuple[int, int, int]] = []
     starts = [(i, j) for i in range(0, len(a), tile) for j in (range(i, len(a), tile) if b is None else range(len(a), len(both), tile))]
     for i, j in starts:
         x, y = both[i : min(i + tile, len(a))], both[j : j + tile]
-        near = popcount(x[:, None] ^ y[None, :]) <= threshold
-        if b is None and i == j:
-            near &= np.tri(len(x), k=-1, dtype=bool).T
-        near &= label[i : i + len(x)][:, None] != label[j : j + len(y)][None, :]
-        while near.any():  # joins a whole row at a time; what it connects drops out
-            r = int(near.any(axis=1).argmax())
-            hit = np.flatnonzero(near[r]) + j
-            root = label[i + r]
-            others, first = np.unique(label[hit], return_index=True)
-            edges += [(i + r, int(hit[f])) for f in first]
-            label[np.isin(label, others)] = root
-            near &= label[i : i + len(x)][:, None] != label[j : j + len(y)][None, :]
-    return edges
-
-
-def links(nodes: DataFrame, threshold: int, block: int = 8192, max_parts: int = 5) -> DataFrame:
-    """nodes (fp, id; fp distinct) -> edges (a, b) of ids that connect all nodes within threshold bits."""
+        bits = distance(x[:, None], y[None, :])
+        bits[bits > threshold] = FAR
+        if i == j and b is None:
+            np.fill_diagonal(bits, FAR)
+            edges += [(i + r, i + c, d) for r, c, d in tile_forest(bits, np.arange(len(x)), np.arange(len(x)))]
+        else:
+            edges += [(i + r, j + c, d) for r, c, d in tile_forest(bits, np.arange(len(x)), len(x) + np.arange(len(y)))]
+    return spanning(np.array(edges, dtype=np.int64)).tolist() if edges else []
+
+
+#: More than any distance.
+FAR = 60000
+
+
+def tile_forest(bits: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int, int]]:
+    """The spanning forest of the fewest bits of a matrix of distances; rows, columns: their numbers, less than both lengths."""
+    label, out = np.arange(max(rows.max(), columns.max()) + 1), []
+    while True:
+        r, c = np.arange(len(rows)), bits.argmin(axis=1)
+        r2, c2 = bits.argmin(axis=0), np.arange(len(columns))
+        found = np.column_stack([np.r_[r, r2], np.r_[c, c2]])
+        d = bits[found[:, 0], found[:, 1]].astype(np.int64)
+        found, d = found[d < FAR], d[d < FAR]
+        if not len(found):
+            return out
+        order = np.lexsort((columns[found[:, 1]] + rows[found[:, 0]], np.maximum(columns[found[:, 1]], rows[found[:, 0]]), d))
+        found, d = found[order], d[order]
+        first, label = step(label, np.column_stack([label[rows[found[:, 0]]], label[columns[found[:, 1]]]]))
+        out += np.column_stack([found, d])[first].tolist()
+        bits[label[rows][:, None] == label[columns][None, :]] = FAR
+
+
+def links(nodes: DataFrame, threshold: int, block: int = 8192, max_parts: int = 5, within: int | None = None) -> DataFrame:
+    """nodes (fp, id; id distinct) -> edges (a, b) of ids that connect all nodes within threshold bits. More columns are more
+    words of the fingerprint: the nodes so found link if they differ in at most `within` bits of all words. Of a bucket's links
+    come those of a spanning forest of the fewest bits."""
+    words = [c for c in nodes.columns if c not in ("fp", "id")]
+    limit = threshold if within is None else within
     n, ones, pairs = moments(nodes)
     options = {m: group_bits(n, ones, pairs, m) for m in range(2, min(max_parts, threshold + 1) + 1)}
     groups, taus = choose(n, ones, agreements(nodes, options), options, threshold)
     sent = []
     for k, (bits, tau) in enumerate(zip(groups, taus, strict=True)):
-        own = nodes.select(F.lit(k).alias("k"), F.col("fp").bitwiseAND(signed(mask(bits))).alias("v"), F.lit(0).alias("probe"), "fp", "id")
+        own = nodes.select(F.lit(k).alias("k"), F.col("fp").bitwiseAND(signed(mask(bits))).alias("v"), F.lit(0).alias("probe"), "fp", "id", *words)
         sent.append(own)
-        if tau:
-            sent.append(own.withColumn("v", F.explode(F.transform(F.lit(flips(bits, tau)), lambda x: x.bitwiseXOR(F.col("v"))))).withColumn("probe", F.lit(1)))
+        half = (tau + 1) // 2
+        for d in range(1, half + 1):  # of an odd threshold, two rows that are both half-way need not be compared
+            flipped = F.transform(F.lit(flips(bits, d)), lambda x: x.bitwiseXOR(F.col("v")))
+            sent.append(own.withColumn("v", F.explode(flipped)).withColumn("probe", F.lit(int(tau % 2 and d == half))))
     rows = sent[0]
     for more in sent[1:]:
         rows = rows.unionByName(more)
@@ -229,33 +296,34 @@ def links(nodes: DataFrame, threshold: int, block: int = 8192, max_parts: int =
     rows = rows.join(cuts, ["k", "v"])
     mine = F.pmod(F.xxhash64("fp", "probe"), "cuts").cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    rows = rows.select("k", "v", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "probe", "fp", "id")
+    rows = rows.select("k", "v", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "probe", "fp", "id", *words)
     dealt = rows.repartition(F.col("k"), F.col("v"), F.col("x"), F.col("y")).sortWithinPartitions("k", "v", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            now = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for c in ("k", "v", "x", "y", "side", "probe", "fp", "id")])
+            now = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for c in ("k", "v", "x", "y", "side", "probe", "id", "fp", *words)])
             held.append(now)
             table = np.concatenate(held) if len(held) > 1 else now
             last = (table[:, :4] != table[-1, :4]).any(axis=1)
             cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
             held = [table[cut:]]
             if cut:
-                yield bucket_links(table[:cut], threshold)
+                yield bucket_links(table[:cut], limit)
         if held and len(held[0]):
-            yield bucket_links(held[0], threshold)
+            yield bucket_links(held[0], limit)
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
 def bucket_links(t: np.ndarray, threshold: int) -> pa.RecordBatch:
-    """Links of whole buckets (columns k v x y side probe fp id): small ones by shifts, larger ones by tiles."""
+    """A spanning forest of the links of whole buckets (columns k v x y side probe id and the fingerprint's words): small ones
+    by shifts, larger ones by tiles."""
     new = np.r_[True, (t[1:, :4] != t[:-1, :4]).any(axis=1)]
     start = np.flatnonzero(new)
     size = np.diff(np.r_[start, len(t)])
     group = np.repeat(np.arange(len(start)), size)
-    fp, ident, probe, side = t[:, 6], t[:, 7], t[:, 5], t[:, 4]
+    fp, ident, probe, side = t[:, 7:], t[:, 6], t[:, 5], t[:, 4]
     own = t[:, 2] == t[:, 3]
     found = []
     of = np.repeat(np.where(size <= 64, size, 0), size)
@@ -266,10 +334,10 @@ def bucket_links(t: np.ndarray, threshold: int) -> pa.RecordBatch:
             break
         at = live[live >= d]
         at = at[group[at] == group[at - d]]
-        ok = (popcount(fp[at] ^ fp[at - d]) <= threshold) & (ident[at] != ident[at - d])
+        ok = (distance(fp[at], fp[at - d]) <= threshold) & (ident[at] != ident[at - d])
         ok &= (probe[at] + probe[at - d] < 2) & (own[at] | (side[at] != side[at - d]))
         at = at[ok]
-        found.append(np.column_stack([ident[at], ident[at - d]]))
+        found.append(np.column_stack([ident[at], ident[at - d], distance(fp[at], fp[at - d])]).astype(np.int64))
     for g in np.flatnonzero(size > 64):
         rows = slice(start[g], start[g] + size[g])
         f, i, p, s = fp[rows], ident[rows], probe[rows], side[rows]
@@ -282,20 +350,24 @@ def bucket_links(t: np.ndarray, threshold: int) -> pa.RecordBatch:
             for one, two in (((s == 0) & base, (s == 1) & base), ((s == 0) & base, (s == 1) & ~base), ((s == 0) & ~base, (s == 1) & base)):
                 if one.any() and two.any():
                     found.append(named(forest(f[one], f[two], threshold), np.r_[i[one], i[two]]))
-    e = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    e = e[e[:, 0] != e[:, 1]]
-    e = np.unique(np.sort(e, axis=1), axis=0) if len(e) else e
+    e = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+    e[:, :2] = np.sort(e[:, :2], axis=1)
+    e = spanning(e[e[:, 0] != e[:, 1]])
     return pa.RecordBatch.from_arrays([pa.array(e[:, 0], pa.int64()), pa.array(e[:, 1], pa.int64())], names=["a", "b"])
 
 
-def named(edges: list[tuple[int, int]], ids: np.ndarray) -> np.ndarray:
-    return ids[np.array(edges, dtype=np.int64)] if edges else np.zeros((0, 2), np.int64)
+def named(edges: list[tuple[int, int, int]], ids: np.ndarray) -> np.ndarray:
+    if not edges:
+        return np.zeros((0, 3), np.int64)
+    e = np.array(edges, dtype=np.int64)
+    e[:, :2] = ids[e[:, :2]]
+    return e
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, root) for each id in edges (a, b): root is the least id of its component. Alternating large and small stars."""
     now = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(most_rounds):
+    while True:
         # large star: each neighbour above a node goes to the node's least neighbour
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -308,7 +380,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         now = then
         if stable:
             return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    raise RuntimeError("components did not settle")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 4) -> DataFrame:
@@ -323,21 +394,110 @@ def near_duplicates(docs: DataFrame, threshold: int = 4) -> DataFrame:
     return fps.join(by_fp.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, threshold: int = 4) -> DataFrame:
-    """One row of docs of each component: that with the least doc_id. Rows with the same doc_id and fingerprint count as
-    one; rows without a doc_id stay, as nothing tells them apart."""
-    rows = staged(fingerprints(docs.select("doc_id", "text"), ["doc_id"])).withColumnRenamed("fp", "node")
-    roots = components(links(rows.select(F.col("node").alias("fp"), F.col("node").alias("id")).distinct(), threshold))
-    return first_of_each(docs, fingerprint, rows, roots)
-
-
-def first_of_each(docs: DataFrame, node_of: Callable[[str | None], int], rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Of each component the row of docs with the least doc_id, and all rows without one. node_of: the node of a text;
-    rows (doc_id, node): the same of docs; roots (id, root): the component of each node that has links."""
-    nodes = rows.filter("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    near = nodes.join(roots.select(F.col("id").alias("node"), "root"), "node", "left")
-    # a doc_id may be in several components, so a row is known by doc_id and node
-    chosen = near.groupBy(F.coalesce("root", "node")).agg(F.min(F.struct("doc_id", "node")).alias("c")).select(F.col("c.doc_id").alias("doc_id"), F.col("c.node").alias("__node"))
-    named = map_text(docs.filter("doc_id is not null"), lambda: lambda texts: [[node_of(t) for t in texts]], [T.StructField("__node", T.LongType())])
-    kept = named.join(chosen, ["doc_id", "__node"], "left_semi").dropDuplicates(["doc_id", "__node"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.unionByName(docs.filter("doc_id is null"))
+# ---- one of each group, by sets of shingles
+
+#: Words of the fingerprint of a set, of 64 bits each.
+WORDS = 4
+_LANES = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """The XXH64 values (seed 42) of a text's shingles, distinct and in order; of fewer words than width, of all of them."""
+    import xxhash
+
+    words = lowered(text).split()
+    digest, n = xxhash.xxh64_intdigest, len(words)
+    found = {digest(b" ".join(words[i : i + width]), 42) for i in range(max(1, n - width + 1))} if words else ()
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def node_of(found: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.array([xxhash.xxh64_intdigest(found.tobytes(), 42)], np.uint64).view(np.int64)[0])
+
+
+def words_of(found: np.ndarray) -> list[int]:
+    """The fingerprint of a set: each word the majority of another hash of its shingles."""
+    out = [majority(found)]
+    for lane in _LANES[1:WORDS]:
+        x = found ^ np.uint64(lane)
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        out.append(majority(x ^ (x >> np.uint64(33))))
+    return out
+
+
+def bits_apart(similarity: float, bits: int, errors: float) -> int:
+    """In how many bits the fingerprints of two sets of this Jaccard similarity differ, and so many standard errors more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + errors * math.sqrt(bits * p * (1 - p)))
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5, threshold: int = 14, most_bits: int = 1 << 27) -> DataFrame:
+    """One row of docs (doc_id, text) of each group of near-duplicates: that with the least doc_id.
+
+    Texts link if the sets of their shingles of `width` words have this Jaccard similarity or more. A set's shingles set each of
+    256 bits by majority, so two sets differ in a share of the bits that is about the angle between them over pi. Sets are probed
+    for by the first 64 bits, lossless within `threshold` bits, and told by all bits, with two standard errors to spare; what is
+    found is a spanning forest of the fewest bits, whose links are then held to the similarity of the sets themselves. Equal
+    sets are one node. Rows with the same doc_id and the same set count as one; rows without a doc_id stay, as nothing tells
+    them apart."""
+    key = F.xxhash64("text").alias("t")
+
+    def make() -> Callable[[list], list[list]]:
+        def of(texts: list[str | None]) -> list[list]:
+            found = [shingles(t, width) for t in texts]
+            return [[node_of(s) for s in found], *map(list, zip(*(words_of(s) for s in found), strict=True))] if found else [[] for _ in fields]
+
+        return of
+
+    fields = [T.StructField(n, T.LongType()) for n in ("id", "fp", "f1", "f2", "f3")]
+    rows = staged(map_text(docs.select("doc_id", key, "text"), make, fields, ["doc_id", "t"]))
+    nodes = staged(rows.groupBy("id").agg(*[F.first(c).alias(c) for c in ("fp", "f1", "f2", "f3")], F.min("t").alias("t")))
+    edges = staged(links(nodes.drop("t"), threshold, within=bits_apart(similarity, WORDS * BITS, 2.0)).distinct())
+    roots = components(alike(docs.select(key, "text"), nodes, edges, similarity, width, most_bits))
+    return first_of_each(docs, rows, roots)
+
+
+def alike(docs: DataFrame, nodes: DataFrame, edges: DataFrame, similarity: float, width: int, most_bits: int) -> DataFrame:
+    """The edges (a, b) of nodes whose sets have this similarity. docs (t, text): texts with their hashes; nodes (id, t)."""
+    ends = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().join(nodes.select("id", "t"), "id")
+    named = staged(ends.select(F.col("t").alias("h")))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(named, named.count(), most_bits))  # at most most_bits / 8 bytes
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in small(batch, "text"):
+                rows = rows.filter(pa.array(marked(bits.value, rows.column(0).to_numpy().view(np.uint64))))
+                found = [shingles(t, width) for t in rows.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "s"])
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in small(batch, "x"):
+                pairs = zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)
+                on = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in pairs]
+                yield rows.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
+
+    sets = docs.mapInArrow(read, "id long, s binary").join(ends.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    pairs = edges.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    return pairs.select("a", "b", "x", "y").mapInArrow(hold, "a long, b long")
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """The similarity of two sets of distinct numbers; of two empty ones 1."""
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared / max(len(x) + len(y) - shared, 1) if len(x) or len(y) else 1.0
+
+
+def first_of_each(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of each component the row of docs with the least doc_id, and all rows without one. rows (doc_id, t, id): the hash and the
+    node of each row's text; roots (id, root): the component of each node that has links."""
+    found = rows.filter("doc_id is not null").select("doc_id", "t", "id").join(roots, "id", "left")
+    # a doc_id may be in several components, so a row is known by doc_id and the hash of its text
+    chosen = found.groupBy(F.coalesce("root", "id")).agg(F.min(F.struct("doc_id", "t")).alias("c"))
+    name, new = fresh(docs, "t"), F.col("c.doc_id").alias("doc_id")
+    named = docs.filter("doc_id is not null").withColumn(name, F.xxhash64("text"))
+    kept = named.join(chosen.select(new, F.col("c.t").alias(name)), ["doc_id", name], "left_semi").dropDuplicates(["doc_id", name])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
