@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyset.llm import decontaminate, langid, mixing, nearsets, pii
+from tallyset.llm import decontaminate, langid, mixing, pii, simhash
 from tallyset.llm.common import fold, staged
 
 #: The stages hold trained classifiers and iterated joins, which SQL cannot express; tests hold them to brute force.
@@ -21,8 +21,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (5-word Jaccard similarity 0.8 or more) stays, that with the least doc_id."""
-    return nearsets.keep_one(docs)
+    """One document of each group of near-duplicates stays, that with the least doc_id: SimHash probes, and pairs so found link
+    at a 5-word Jaccard similarity of 0.8 or more."""
+    return simhash.keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
