@@ -60,11 +60,6 @@ def test_simhash(spark, seed):
     fps = [plain_fingerprint(t) for t in texts]
     assert [r.fp % (1 << 64) for r in got] == fps
     assert [r.component_id for r in got] == plain_components(fps, 4)
-    kept = simhash.keep_one(frame(spark, texts))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(plain_components(fps, 4))) and kept.columns == DOCS_COLUMNS
-
-
-DOCS_COLUMNS = ["doc_id", "text", "source", "h", "part"]
 
 
 @pytest.mark.parametrize("block", [8, 50, 8192])
@@ -89,7 +84,6 @@ def test_simhash_edges(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.component_id or 0) for r in simhash.near_duplicates(docs).collect())
     assert got == [(0, 0), (0, 1), (1, 1), (1, 1)]
-    assert sorted((r.doc_id or 0) for r in simhash.keep_one(docs).collect()) == [0, 0, 1]
 
 
 # ---- repeated passages
@@ -190,43 +184,95 @@ def test_splitting_tree():
     assert (leaves == mixing.splitting_tree([100, 7, 0, 893], 13, 1)).all()
 
 
-def test_mixing(spark):
+def plain_targets(words, weights, share=1.5, cap=2.0):
+    """Water filling by bisection on the level, as another way to the same targets."""
+    total, low, high = min(share * sum(words), cap * sum(words)), 0.0, cap * sum(words) + 1.0
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(cap * n, w * level) for n, w in zip(words, weights)) < total else (low, level)
+    return [min(cap * n, w * high) for n, w in zip(words, weights)]
+
+
+HOW = [{"n_blocks": 64, "n_shards": 5}, {"n_blocks": 16, "n_shards": 40, "n_top": 3}, {}]
+
+
+@pytest.mark.parametrize("how", HOW)
+def test_mixing(spark, how):
     rng = random.Random(9)
     texts = ["w " * rng.randint(0, 30) for _ in range(900)] + [None, "long " * 500]
     sources = [rng.choice(["a", "a", "a", "b", "c", None]) for _ in texts]
-    plan = mixing.mix_plan(frame(spark, texts, sources), n_blocks=64, n_shards=5, zone_docs=40)
-    got = {r.doc_id: r for r in plan.collect()}
+    got = {r.doc_id: r for r in mixing.mix_plan(frame(spark, texts, sources), **how).collect()}
     size = [len((t or "").split()) for t in texts]
     order = ["a", "b", "c", None]
     total = [sum(n for n, s in zip(size, sources) if s == o) for o in order]
-    targets = mixing.water_fill(total, [5, 2, 1, 5], 1.5, 2.0)
-    for o, n, t in zip(order, total, targets):
+    for o, n, t in zip(order, total, plain_targets(total, [5, 2, 1, 5])):
         rows = [got[i] for i, s in enumerate(sources) if s == o]
         assert {r.source_size for r in rows} == {n} and rows[0].target == pytest.approx(t)
-        assert t - 31 <= sum(r.taken for r in rows) <= t + 1e-6
+        left = t - sum(r.taken for r in rows)
+        least = [len(r.shards) for r in rows if r.size]
+        assert -1e-6 <= left < min((r.size for r in rows if r.size and len(r.shards) == min(least)), default=1) + 1
+        assert max(least) - min(least) <= 1
     assert all(r.size == size[i] and r.taken == len(r.shards) * r.size <= 2 * r.size for i, r in got.items())
-    again = {r.doc_id: r.taken for r in mixing.mix_plan(frame(spark, texts, sources), n_blocks=64, n_shards=5, zone_docs=40).collect()}
-    assert again == {i: r.taken for i, r in got.items()}
-    mixed = mixing.mix(frame(spark, texts, sources), n_blocks=64, n_shards=5, zone_docs=40)
-    assert Counter(r.doc_id for r in mixed.collect()) == Counter({i: len(r.shards) for i, r in got.items() if r.shards})
-    assert mixing.mix_plan(frame(spark, []).limit(0)).count() == 0
+    again = {r.doc_id: (r.taken, r.shards) for r in mixing.mix_plan(frame(spark, texts, sources).repartition(5), **how).collect()}
+    assert again == {i: (r.taken, r.shards) for i, r in got.items()}
+    mixed = mixing.mix(frame(spark, texts, sources), **how)
+    found = mixed.withColumn("at", minhash.F.spark_partition_id()).collect()
+    assert Counter(r.doc_id for r in found) == Counter({i: len(r.shards) for i, r in got.items() if r.shards})
+    n_shards = how.get("n_shards", 1)
+    assert {r.at == r["shard"] for r in found} == {True} and {r["shard"] for r in found} == set(range(n_shards))
+    shard_words = Counter()
+    for r in found:
+        shard_words[r["shard"]] += size[r.doc_id]
+    if n_shards == 5:
+        assert max(shard_words.values()) < 2 * min(shard_words.values())
+
+
+def test_mixing_of_nothing(spark):
+    empty = frame(spark, []).limit(0)
+    assert mixing.mix_plan(empty).count() == 0 and mixing.mix(empty).count() == 0
+    wordless = mixing.mix_plan(frame(spark, [None, "", " "])).collect()
+    assert [(r.size, r.target, r.taken) for r in wordless] == [(0, 0.0, 0)] * 3
 
 
 def test_mixing_goes_on_after_a_document_that_does_not_fit(spark):
     texts = ["w " * 9] * 3000 + ["long " * 20_000, "w", "w w"]
     for seed in range(3):
-        got = mixing.mix_plan(frame(spark, texts), share=0.55, n_blocks=32, n_shards=3, zone_docs=5, seed=seed).collect()
+        got = mixing.mix_plan(frame(spark, texts), share=0.55, n_blocks=32, n_shards=3, seed=seed).collect()
         left = got[0].target - sum(r.taken for r in got)
         assert 0 <= left < min((r.size for r in got if not r.shards), default=1e9)
 
 
+def test_prefix_ends_by_ranges(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.choice([rng.randint(-(2**63), 2**63 - 1), 5]), rng.randint(-(2**63), 2**63 - 1), rng.randint(1, 9)) for k in "ab" for _ in range(800)]
+    docs, left = spark.createDataFrame(rows, "skey string, h long, r long, size long"), {"a": 1500, "b": 10**6}
+    got = mixing.prefix_ends(docs, left, few=32)  # half of the rows are of one place in the order
+    for k in left:
+        used = 0
+        for _, h, r, size in sorted(x for x in rows if x[0] == k):
+            if used + size > left[k]:
+                assert got[k] == (h, r, used)
+                break
+            used += size
+        else:
+            assert got[k][2] == used
+
+
 def test_mix_has_rows_without_id_and_with_one_id(spark):
-    rows = [(None, f"n{i} x", "s") for i in range(40)] + [(1, f"a{i} x", "s") for i in range(40)]
+    rows = [(None, f"n{i} x", "s") for i in range(40)] + [(1, f"a{i} x", "s") for i in range(40)] + [(None, "copy x", "s")] * 40
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     mixed = mixing.mix(docs, share=2.0, n_shards=2, n_blocks=8)
-    assert Counter(r.text for r in mixed.collect()) == Counter({t: 2 for _, t, _ in rows})
+    assert Counter(r.text for r in mixed.collect()) == Counter({t: 2 * n for t, n in Counter(t for _, t, _ in rows).items()})
     some = Counter(r.text for r in mixing.mix(docs, share=0.5, n_shards=2, n_blocks=8).collect())
-    assert sum(some.values()) == 40 and set(some.values()) == {1}
+    assert sum(some.values()) == 60 and {n for t, n in some.items() if t != "copy x"} == {1}
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ["shards", "copy", "doc", "skey", "block", "h", "r", "size", "taken", "__row"]
+    docs = frame(spark, ["a b", "c"]).select("doc_id", "text", "source", *[minhash.F.lit(n).alias(n) for n in names])
+    mixed = mixing.mix(docs, share=2.0)
+    assert mixed.columns == [*(c for c in docs.columns if c != "copy"), "copy", "shard"]
+    assert {tuple(r[n] for n in names if n != "copy") for r in mixed.collect()} == {tuple(n for n in names if n != "copy")} and mixed.count() == 4
 
 
 # ---- preference pairs
