@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from tallyset.llm import decontaminate, langid, pii, quality, toxicity
+from tallyset.llm import common, decontaminate, langid, pii, quality, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, SCORE string"
 
@@ -72,13 +72,46 @@ def test_chunks_cover_the_text():
     net = quality.Network()
     rng = np.random.default_rng(3)
     for n in (1, 7, 8, 1023, 1024, 1025, 5000, 70_001, 130_000):
-        raw = rng.integers(0, 256, n).astype(np.uint8)
+        raw = quality.padded(rng.integers(0, 256, n).astype(np.uint8))
         pooled, at = net.pooled(raw, True)
         whole = net.windows(raw) @ net.filters
         assert np.allclose(pooled.max(axis=0), whole.max(axis=0) + net.shift, atol=1e-4)
         assert (np.abs(net.pooled(raw)[0] - pooled) < 1e-5).all()
 
 
+def plain_quality(net, text):
+    """The network by loops: each filter over every second byte of each chunk."""
+    raw = list(text.encode())
+    raw += [32] * max(8 - len(raw), len(raw) % 2)
+    chunks = []
+    for c in range(0, max(1, len(raw) - 128), 896):
+        part = raw[c : c + 1024]
+        found = [net.embed[part[i : i + 8]].reshape(-1) @ net.filters + net.shift for i in range(0, len(part) - 7, 2)]
+        chunks.append(np.maximum(np.max(found, axis=0), 0))
+    return 1 / (1 + np.exp(-(np.mean(chunks, axis=0) @ net.out[:-1] + net.out[-1])))
+
+
+@pytest.mark.parametrize("n", [1, 5, 8, 9, 25, 26, 27, 1024, 1025, 1153, 2001])
+def test_quality_is_the_network_and_reads_each_of_the_last_bytes(n):
+    net = quality.Network()
+    net.out[:-1] = np.linspace(-1, 1, len(net.out) - 1)
+    text = "".join(chr(97 + (i * 7) % 26) for i in range(n))
+    assert net.score(text) == pytest.approx(plain_quality(net, text), abs=1e-5)
+    for k in range(1, min(8, n) + 1):
+        others = {net.score(text[: n - k] + c + text[n - k + 1 :]) for c in "#$%&+<=>@~^|0123456789"}
+        assert others != {net.score(text)}
+
+
+def test_learning_takes_a_repeated_row_once_and_holds_the_bound(spark):
+    docs = spark.createDataFrame([(1, "a" * 50)] * 500 + [(i, "b" * 50) for i in range(2, 40)] + [(None, "x")], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, mark int")
+    texts, found = common.sampled(docs, marks, 10**6)
+    assert len(texts) == 39 and texts[0] == "a" * 50 and found == [i % 2 for i in range(1, 40)]
+    assert 0 < sum(map(len, common.sampled(docs, marks, 600)[0])) <= 600
+    many = spark.createDataFrame([(i, "the same text", "en") for i in range(3000)] + [(i, f"der und {i}", "de") for i in range(60)], "doc_id long, text string, lang string")
+    assert langid.train(many, per_language=20)[0] == ["de", "en"]
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame(rows_of(["a", "b"]), DOCS)
     labels = spark.createDataFrame([], "doc_id long, quality int")
@@ -110,6 +143,47 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), toxicity.train(docs, labels.limit(0))).count() == 0
 
 
+def test_toxicity_counts_have_no_cap():
+    at = toxicity.NAMES.index
+    none = toxicity.Words()
+    few, many = (toxicity.features("idiot bread " * n, none) for n in (60, 600))
+    assert many[at("lexicon_count")] > few[at("lexicon_count")]
+    learned = toxicity.Words(frozenset(["bread"]), frozenset(["idio"]))
+    few, many = (toxicity.features("idiots bread hill " * n, learned) for n in (60, 600))
+    assert many[at("learned_count")] > few[at("learned_count")] and few[at("learned_share")] == pytest.approx(2 / 3)
+
+
+def test_toxicity_is_its_trees_and_steps():
+    rows = toxic_rows()
+    model = toxicity.fit([t for t, _ in rows], [v for _, v in rows])
+    for text, _ in [*rows[:20], ("", 0)]:
+        x, margin = toxicity.features(text, model.words), model.trees.base
+        for f, c, value in model.trees.trees:
+            node = 0
+            while node < len(f):
+                node = 2 * node + 1 + (f[node] >= 0 and x[f[node]] > c[node])
+            margin += value[node - len(f)]
+        knots, steps = model.knots
+        k = int(np.searchsorted(knots, margin))
+        if k == 0 or k == len(knots):
+            want = steps[min(k, len(knots) - 1)]
+        else:
+            share = (margin - knots[k - 1]) / (knots[k] - knots[k - 1])
+            want = steps[k - 1] + share * (steps[k] - steps[k - 1])
+        assert model.score([text])[0] == pytest.approx(want)
+
+
+def test_toxic_stems_are_learned():
+    rng = random.Random(11)
+    end = lambda: "".join(rng.choice("aeioubdfgk") for _ in range(rng.randint(2, 4)))
+    texts = [" ".join(rng.choice(["stone", "river", "bread"]) + end() for _ in range(30)) for _ in range(300)]
+    toxic = [int(i % 5 == 0) for i in range(300)]
+    texts = [t + " grimzol" + end() + " grimzol" + end() if v else t for t, v in zip(texts, toxic)]
+    model = toxicity.fit(texts, toxic)
+    assert any(s.startswith("grim") for s in model.words.stems)
+    assert model.score(["stonea grimzolxy breadu"])[0] >= 0.5 > model.score(["stonea riverx breadu"])[0]
+
+
 def test_isotonic():
     rng = np.random.default_rng(5)
     x, y = rng.normal(size=300), rng.random(300) < 0.4
@@ -121,13 +195,18 @@ def test_isotonic():
 
 
 def distance_within(item: str, text: str) -> int:
-    row = list(range(len(item) + 1))
-    best = row[-1]
-    for c in text:
-        new = [0]
-        for i, x in enumerate(item):
-            new.append(min(row[i] + (x != c), row[i + 1] + 1, new[i] + 1))
-        row, best = new, min(best, new[-1])
+    """The least edits between the item and any passage from one word edge to another, passage by passage."""
+    edge = [not (0 < p < len(text) and text[p - 1].isalnum() and text[p].isalnum()) for p in range(len(text) + 1)]
+    best = len(item)
+    for start in (p for p, e in enumerate(edge) if e):
+        row = list(range(len(item) + 1))
+        for p in range(start, min(len(text), start + 2 * len(item))):
+            new = [row[0] + 1]
+            for i, x in enumerate(item):
+                new.append(min(row[i] + (x != text[p]), row[i + 1] + 1, new[i] + 1))
+            row = new
+            if edge[p + 1]:
+                best = min(best, row[-1])
     return best
 
 
@@ -144,8 +223,17 @@ def test_decontamination_is_brute_force(seed):
             at = rng.randrange(len(chars) or 1)
             chars[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "q"])
         text = " ".join(word() for _ in range(rng.randint(0, 20))) + " " + "".join(chars) + " " + word()
-        want = {i for i, t in items if (n := decontaminate.normal(t)) and distance_within(n, decontaminate.normal(text)) <= decontaminate.budget_of(len(n), rate)}
-        assert {m[0] for m in block.matches(text)} == want
+        want = {i: d for i, t in items if (n := decontaminate.normal(t)) and (d := distance_within(n, decontaminate.normal(text))) <= int(len(n) * rate)}
+        assert {m[0]: m[1] for m in block.matches(text)} == want
+
+
+def test_decontamination_holds_short_items_and_word_edges():
+    item = "seventeen brown foxes jump over 21 dogs"
+    block = decontaminate.Items([(0, "paris"), (1, item), (2, "会議は東京で")], 0.1)
+    found = lambda t: [m[:2] for m in block.matches(t)]
+    assert found("the comparison with parishes") == [] and found("in Paris, the") == [(0, 0)] and found("(paris)") == [(0, 0)]
+    assert found(f"x {item.replace('foxes', 'fixes')}. y") == [(1, 1)] and found(f"x{item}") == [(1, 1)]
+    assert found("来週の会議は東京でします") == [(2, 0)]
 
 
 def test_decontamination_edges(spark):
@@ -191,6 +279,15 @@ def test_base_spans_are_the_patterns():
         ("10 dot 0 dot 0 dot 1", [("ip", "10 dot 0 dot 0 dot 1")]),
         ("a​b@c​.de", [("email", "a​b@c​.de")]),
         ("see you at example.com, one two three", []),
+        ("stay-at-home.com and look-at-me.org, one-at-a-time.net", []),
+        ("meet anna_b at noon.Then we go", []),
+        ("v1.2 at host.name", []),
+        ("look at the dot matrix", []),
+        ("price (at) 5.50 each", []),
+        ("j.doe at example.com", [("email", "j.doe at example.com")]),
+        ("ask john99 at gmail.com", [("email", "john99 at gmail.com")]),
+        ("jane-at-example-dot-org or", [("email", "jane-at-example-dot-org")]),
+        ("first dot last at mail dot example dot de", [("email", "first dot last at mail dot example dot de")]),
         ("un deux trois soleil", []),
         (None, []),
     ],
@@ -201,7 +298,7 @@ def test_disguises(text, want):
 
 
 def test_long_runs_stay_cheap():
-    for t in ("a" * 200_000, "1" * 200_000, "@" * 50_000, "+1" + "(" * 100_000, "1." * 100_000, "zero " * 20_000, "a@" * 50_000):
+    for t in ("a" * 200_000, "1" * 200_000, "@" * 50_000, "+1" + "(" * 100_000, "1." * 100_000, "zero " * 20_000, "a@" * 50_000, "a dot " * 30_000, "a at b dot " * 10_000, "a-at-" * 30_000):
         pii.spans(t)
 
 
@@ -212,6 +309,8 @@ def test_pii_columns(spark):
     masked = pii.masked(docs)
     assert masked.columns == docs.columns
     out = masked.orderBy("doc_id").collect()
+    clash = pii.masked(docs.select("doc_id", "text", docs.doc_id.alias("__masked"))).orderBy("doc_id").collect()
+    assert clash[9]["__masked"] == 9 and clash[9].text == "[EMAIL] and [IP]"
     assert out[0].text is None and out[9].text == "[EMAIL] and [IP]" and out[9].n_chars == 16 and out[6].text == ODD[6]
     assert pii.find(docs.limit(0)).count() == 0
 
