@@ -8,7 +8,8 @@ The likeness of two fingerprints is the share of equal bins, corrected for the c
 values agree, within 0 and 1.
 
 Null or empty text, and text without a word: the empty fingerprint, whose likeness to another empty one is 1 and to any
-other 0. Equal texts have equal fingerprints. Rows are taken one by one, so repeated rows get equal answers.
+other 0. Equal texts have equal fingerprints, so repeated rows do. Rows with one doc_id follow each other by a hash of the
+text, and rows without a doc_id come last in that order. Columns but doc_id and text are not read. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -97,30 +98,73 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - cut), F.substring(following, F.lit(1), cut))
 
 
+#: Quantiles of doc_id that are told apart, at most, in two steps of at most their root.
+MOST_RANGES = 4096
+
+
+def ranges(docs: DataFrame, per_bucket: int) -> tuple[Column, Column, bool]:
+    """(o, sub): the bucket of a row of docs (doc_id, h), such that rows by descending doc_id (nulls last) and h come by
+    descending o and ascending sub; and whether some doc_id has so many rows that equal rows should go as one.
+
+    o tells quantiles of doc_id apart, and doc_ids that fill a quantile from others. sub cuts what still has over per_bucket
+    rows: a quantile by doc_id, a doc_id (or none) by h."""
+    s = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
+    n, k = s.known, max(1, min(MOST_RANGES, -(-s.known // per_bucket)))
+    shares = F.array(*[F.lit(i / k) for i in range(k)] or [F.lit(0.0)])
+    found = docs.agg(F.percentile_approx("doc_id", shares, 10 * k).alias("q"), F.max("doc_id").alias("high")).first() if n else None
+    bounds = sorted({int(q) for q in found.q}) if n else [0]
+    filled = sorted({int(q) for q in bounds if list(found.q).count(q) > 1}) if n else []
+    high = int(found.high) if n else 0
+    step = max(1, int(len(bounds) ** 0.5))
+    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
+    at_most = lambda values: F.size(F.filter(values, lambda b: b <= F.col("doc_id")))
+    block = F.greatest(at_most(longs([b[0] for b in blocks])), F.lit(1))
+    place = ((block - 1) * step + at_most(F.element_at(F.array(*[longs(b) for b in blocks]), block))).cast("long")  # of the last bound not above
+    fills = F.array_contains(longs(filled), F.col("doc_id")) if filled else F.lit(False)
+    o = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(2 * place + F.when(fills, 0).otherwise(1)).cast("long")
+    cuts = max(1, -(-n // (k * per_bucket)))
+    low = F.get(longs([bounds[0], *bounds]), place.cast("int")).cast("decimal(20,0)")
+    top = F.get(longs([*bounds, high + 1]), place.cast("int")).cast("decimal(20,0)")
+    by_id = -F.floor((F.col("doc_id").cast("decimal(20,0)") - low) * cuts / F.greatest(top - low, F.lit(1)))
+    by_h = lambda m: F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * max(1, m))
+    rows_of_one = max(-(-n // per_bucket), 1)
+    sub = F.when(F.col("doc_id").isNull(), by_h(-(-(s.n - n) // per_bucket))).when(fills, by_h(rows_of_one)).otherwise(by_id if cuts > 1 else F.lit(0)).cast("long")
+    return o, sub, bool(filled) or s.n - n > per_bucket
+
+
 def with_next(docs: DataFrame, per_bucket: int = 1024) -> DataFrame:
-    """docs (doc_id, text, code) with those of the next row by descending doc_id, nulls last; after the last
+    """docs (doc_id, text) with code and next (text, code): those of the next row by descending doc_id, nulls last; after the last
     row comes the first. Rows are dealt into ranges of doc_id of about per_bucket rows; only the first row of each range
     is looked at across ranges."""
-    s = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    low, high = s.low or 0, s.high or 0
-    ranges = max(1, -(-s.n // per_bucket))
-    width = max(1, -(-(int(high) - int(low) + 1) // ranges))
-    bucket = F.coalesce(F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1))
-    dealt = docs.withColumn("bucket", bucket)
-    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
-    near = dealt.withColumn("next", F.lead(F.struct("text", "code")).over(order)).withColumn("at", F.row_number().over(order))
-    near = near.withColumn("last", F.lead("at").over(order).isNull())
-    # the first row of each range, moved to the range above it
-    tops = dealt.groupBy("bucket").agg(F.max_by("text", F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), -F.xxhash64("text").cast("decimal(20,0)"))).alias("top"))
-    chain = dealt.select("bucket").distinct().withColumn("above", F.coalesce(F.lag("bucket").over(Window.orderBy(F.col("bucket").desc())), F.min("bucket").over(Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    tops = tops.join(chain, "bucket").select(F.col("above").alias("bucket"), F.lit(True).alias("last"), F.struct(F.col("top").alias("text"), codes(F.col("top")).alias("code")).alias("top"))
-    return near.join(tops, ["bucket", "last"], "left").withColumn("next", F.when(F.col("last"), F.col("top")).otherwise(F.col("next"))).drop("top", "at", "bucket", "last")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    o, sub, crowded = ranges(rows, per_bucket)
+    dealt = rows.select("doc_id", "text", "h", o.alias("o"), sub.alias("sub"), F.lit(1).cast("long").alias("n"))
+    if crowded:  # equal rows go as one
+        dealt = dealt.groupBy("doc_id", "text", "h", "o", "sub").agg(F.count("*").alias("n"))
+    dealt = dealt.withColumn("code", codes(F.col("text")))
+    order = Window.partitionBy("o", "sub").orderBy(F.col("doc_id").desc_nulls_last(), "h")
+    near = dealt.withColumn("next", F.lead(F.struct("text", "code")).over(order)).withColumn("last", F.lead("o").over(order).isNull())
+    # the first row of each range, moved to the range before it
+    first = F.struct(-F.coalesce("doc_id", F.lit(0)).cast("decimal(20,0)"), "h")
+    tops = dealt.groupBy("o", "sub").agg(F.min_by("text", first).alias("top"))
+    ends = dealt.groupBy("o").agg(F.max("sub").alias("sub"))  # two for each quantile at most
+    chain = Window.orderBy(F.col("o").desc())
+    whole = chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    above = ends.select("o", F.coalesce(F.lag(F.struct("o", "sub")).over(chain), F.last(F.struct("o", "sub")).over(whole)).alias("above"))
+    tops = tops.withColumn("before", F.lag("sub").over(Window.partitionBy("o").orderBy("sub"))).join(above, "o")
+    to = F.when(F.col("before").isNull(), F.col("above")).otherwise(F.struct("o", F.col("before").alias("sub")))
+    tops = tops.select(to["o"].alias("o"), to["sub"].alias("sub"), F.lit(True).alias("last"), F.struct(F.col("top").alias("text"), codes(F.col("top")).alias("code")).alias("top"))
+    found = near.join(tops, ["o", "sub", "last"], "left").withColumn("next", F.when(F.col("last"), F.col("top")).otherwise(F.col("next")))
+    if crowded:  # all but the last of equal rows are followed by their like
+        each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")
+        found = found.select("*", each).withColumn("next", F.when(F.col("copy") < F.col("n"), F.struct("text", "code")).otherwise(F.col("next")))
+    return found.select("doc_id", "text", "code", "next")
 
 
 def edits(docs: DataFrame) -> DataFrame:
     """The fingerprints of each document, of its edited text, and their likeness; see edited() and with_next()."""
-    read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pairs = with_next(read.withColumn("code", codes(F.col("text"))))
+    pairs = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     out = pairs.withColumn("changed", edited(F.col("text"), F.col("next.text"))).withColumn("edited_code", codes(F.col("changed")))
     return out.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("changed", 256).alias("edited_sha256"), packed(F.col("code")).alias("fingerprint"), packed(F.col("edited_code")).alias("edited_fingerprint"),

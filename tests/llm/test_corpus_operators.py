@@ -154,14 +154,32 @@ def test_minhash(spark):
     assert got[3].fingerprint == got[4].fingerprint and got[0].near_next == 0.0 and got[1].near_next == 1.0
 
 
-def test_next_across_ranges(spark):
-    ids = [5, 1, 900, 17, 18, 19, 10_000, -4, 3, 2]
-    docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").withColumn("code", minhash.codes(minhash.F.col("text")))
-    got = {r.doc_id: r.next.text for r in minhash.with_next(docs, per_bucket=2).collect()}
-    order = sorted(ids, reverse=True)
-    assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1])}
+@pytest.mark.parametrize("per_bucket", [2, 7, 1024])
+def test_next_across_ranges(spark, per_bucket):
+    rng = random.Random(per_bucket)
+    for ids in ([5, 1, 900, 17, 18, 19, 10_000, -4, 3, 2], [*range(200), 2**60, -(2**62)], rng.sample(range(-(10**6), 10**6), 150)):
+        docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
+        got = {r.doc_id: r.next.text for r in minhash.with_next(docs, per_bucket=per_bucket).collect()}
+        order = sorted(ids, reverse=True)
+        assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1])}
+
+
+def test_next_of_equal_and_missing_ids(spark):
     one = spark.createDataFrame([(None, "a b c"), (None, None)], "doc_id long, text string")
     assert minhash.edits(one).count() == 2 and minhash.edits(one.limit(0)).count() == 0
+    rows = [(7, f"seven {i % 40}") for i in range(120)] + [(None, "none")] * 30 + [(i, f"t{i}") for i in range(10)]
+    got = minhash.with_next(spark.createDataFrame(rows, "doc_id long, text string"), per_bucket=4).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    assert Counter(r.next.text for r in got) == Counter(t for _, t in rows)  # one round through all rows
+    follows = {(r.doc_id, r.text, r.next.text) for r in got}
+    assert {(9, "t9", "t8"), (None, "none", "none"), (None, "none", "t9"), (0, "t0", "none")} <= follows and ("t8" in {b for a, _, b in follows if a == 7}) is False
+    assert sum(b.startswith("seven") for a, _, b in follows if a == 8) == 1 and ("t6" in {b for a, _, b in follows if a == 7})
+
+
+def test_outlying_ids_do_not_share_a_range(spark):
+    docs = spark.range(4000).withColumnRenamed("id", "doc_id").union(spark.createDataFrame([(2**60,)], "doc_id long")).withColumn("h", minhash.F.xxhash64("doc_id"))
+    o, sub, crowded = minhash.ranges(docs, 100)
+    assert docs.groupBy(o, sub).count().agg({"count": "max"}).first()[0] < 400 and not crowded
 
 
 def test_minhash_plan_is_native(spark):
