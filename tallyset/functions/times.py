@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Numeric precisions of the knowledge base.
 PRECISIONS = {9: "year", 10: "month", 11: "day"}
@@ -87,10 +88,22 @@ def shared_time(statements: DataFrame, group: list[str]) -> DataFrame:
     free = rows.join(facts.filter("not some").select(*group), group).groupBy(*group).agg(F.array_sort(F.collect_set("stmt_id")).alias("statements"))
     free = free.select(*group, F.lit(None).cast("date").alias("start"), F.lit(None).cast("date").alias("end"), F.lit(None).cast("string").alias("precision"), "statements")
     held = rows.filter("__timed").join(facts.filter("every").select(*group, "entities"), group)
-    ends = held.select(*group, F.col("end").alias("e")).distinct()
-    live = ends.join(held, [*group]).filter("start <= e and e <= end")  # range join within a group
-    per = live.groupBy(*group, "e", "entities", "entity_id").agg(F.max("start").alias("s"))
-    best = per.groupBy(*group, "e", "entities").agg(F.count("*").alias("n"), F.max("s").alias("s")).filter("n = entities").groupBy(*group).agg(F.max(F.struct("e", "s")).alias("b")).select(*group, F.col("b.s").alias("bs"), F.col("b.e").alias("be"))
+    best = last_full(held, group)
+    latest = held.join(best, group).filter("start <= be and end >= be").groupBy(*group, "be").agg(F.max("start").alias("bs"))
+    best = latest.select(*group, "bs", "be")
     support = held.join(best, group).filter("start <= bs and end >= be").groupBy(*group, "bs", "be").agg(F.array_sort(F.collect_set("stmt_id")).alias("statements"))
     found = support.select(*group, F.col("bs").alias("start"), F.col("be").alias("end"), interval_precision(F.col("bs"), F.col("be")).alias("precision"), "statements")
     return free.unionByName(found)
+
+
+def last_full(held: DataFrame, group: list[str]) -> DataFrame:
+    """(group, be): the last day on which each of a group's `entities` has an interval, by a sweep over starts and ends."""
+    day = lambda c, n: held.select(*group, "entity_id", "entities", c.alias("d"), F.lit(n).alias("n"))
+    ends = day(F.col("start"), 1).unionByName(day(F.date_add("end", 1), -1)).groupBy(*group, "entity_id", "entities", "d").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy(*group, "entity_id").orderBy("d")
+    open_ = ends.withColumn("now", (F.sum("n").over(own) > 0).cast("int"))
+    turns = open_.withColumn("turn", F.col("now") - F.coalesce(F.lag("now").over(own), F.lit(0))).filter("turn <> 0")
+    days = turns.groupBy(*group, "entities", "d").agg(F.sum("turn").alias("turn"))
+    all_ = Window.partitionBy(*group).orderBy("d")
+    live = days.withColumn("live", F.sum("turn").over(all_)).withColumn("next", F.lead("d").over(all_))
+    return live.filter("live = entities").groupBy(*group).agg(F.date_sub(F.max("next"), 1).alias("be"))

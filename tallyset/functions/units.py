@@ -31,15 +31,16 @@ RETAIL_FACTORS = {
     ("Megabyte", "Terabyte"): 1 / 1024**2, ("Terabyte", "Megabyte"): 1024.0**2, ("Hour", "Day"): 1 / 24, ("Day", "Hour"): 24.0,
     ("Pod", "Pod"): 1.0, ("K-Cup", "K-Cup"): 1.0, ("Pod", "K-Cup"): 1.0, ("K-Cup", "Pod"): 1.0,
 }
-# Canonical names of retail units.
+# The canonical name of each name of a retail unit.
 RETAIL_NAMES = {
-    "Milliliter": "ml", "Liter": "l, liter, liters, litr", "Cup": "cup, cups", "Quart": "qt, quart", "Gallon per Cycle": "gallons/cycle",
-    "Kilogram": "kg", "Gram": "g", "Pound": "lb, lbs", "Ounce": "oz", "Inch": "inch", "Millimeter": "mm", "Meter": "m", "Degree": "degrees",
-    "Hour": "hour, hours", "Day": "days", "Month": "months", "Year": "year, years", "Minute": "min", "Millisecond": "ms",
-    "Hertz": "hz", "Frames per Second": "fps, frames per second", "Revolutions per Minute": "rpm", "Gigahertz": "ghz",
-    "Megabyte": "mb", "Gigabyte": "gb", "Terabyte": "tb", "Watt": "w", "Volt": "v", "Nit": "nits", "Decibel": "db", "Decibel A-weighted": "dba",
-    "Megapixel": "mp", "Pixel": "p", "Optical Zoom Factor": "x, x optical zoom", "Piece": "piece", "Pod": "pods", "K-Cup": "k-cups", "Seed": "seeds",
-    "Star": "star", "Generation": "th gen", "US Dollar": "$",
+    "ml": "Milliliter", "l": "Liter", "liter": "Liter", "liters": "Liter", "litr": "Liter", "cup": "Cup", "cups": "Cup", "qt": "Quart",
+    "quart": "Quart", "gallons/cycle": "Gallon per Cycle", "kg": "Kilogram", "g": "Gram", "lb": "Pound", "lbs": "Pound", "oz": "Ounce",
+    "inch": "Inch", "mm": "Millimeter", "m": "Meter", "degrees": "Degree", "hour": "Hour", "hours": "Hour", "days": "Day", "months": "Month",
+    "year": "Year", "years": "Year", "min": "Minute", "ms": "Millisecond", "hz": "Hertz", "fps": "Frames per Second",
+    "frames per second": "Frames per Second", "rpm": "Revolutions per Minute", "ghz": "Gigahertz", "mb": "Megabyte", "gb": "Gigabyte",
+    "tb": "Terabyte", "w": "Watt", "v": "Volt", "nits": "Nit", "db": "Decibel", "dba": "Decibel A-weighted", "mp": "Megapixel", "p": "Pixel",
+    "x": "Optical Zoom Factor", "x optical zoom": "Optical Zoom Factor", "piece": "Piece", "pods": "Pod", "k-cups": "K-Cup", "seeds": "Seed",
+    "star": "Star", "th gen": "Generation", "$": "US Dollar",
 }
 
 
@@ -48,14 +49,9 @@ def factor_table(spark: SparkSession, factors: dict[tuple[str, str], float]) ->
     return spark.createDataFrame([(a, b, float(f)) for (a, b), f in factors.items()], "src string, dst string, factor double")
 
 
-def canonical_names() -> dict[str, str]:
-    return {alias: name for name, aliases in RETAIL_NAMES.items() for alias in aliases.split(", ")}
-
-
 def canonical(unit: Column) -> Column:
     """The canonical name of a retail unit; null if unknown."""
-    table = canonical_names()
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[unit]
+    return F.create_map(*[F.lit(x) for pair in RETAIL_NAMES.items() for x in pair])[unit]
 
 
 def quantity(text: Column) -> Column:

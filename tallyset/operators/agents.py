@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.strings import boxed, tagged
+from ..staging import staged
 
 STEP = "array<struct<think:string,search_query:string,doc_ids:array<string>>>"
 
@@ -39,8 +40,9 @@ def prompted(queries: DataFrame, hits: DataFrame | None, corpus: DataFrame | Non
 def stepwise(queries: DataFrame, make: Callable[[], Callable[[str], dict]], search: Callable[[DataFrame], DataFrame], most: int = 5) -> DataFrame:
     """All queries step by step: each step asks for every open query at once, then one search serves them all.
 
-    make() gives a function from a transcript to {"think", "search"} or {"think", "answer"}. search takes (qid, text) and
-    gives (qid, doc, rank). (qid, answer, steps): a query without an answer after `most` steps has none."""
+    make() gives a function from a transcript to {"think", "search"} or {"think", "answer"}; it is asked once for each open
+    query and step, and what it says is staged. search takes (qid, text) and gives (qid, doc, rank). (qid, answer, steps): a
+    query without an answer after `most` steps has none."""
     state = queries.select("qid", F.col("question").alias("transcript"), F.lit(None).cast("string").alias("answer"), F.array().cast(STEP).alias("steps"))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -51,12 +53,12 @@ def stepwise(queries: DataFrame, make: Callable[[], Callable[[str], dict]], sear
 
     for _ in range(most):
         open_ = state.filter("answer is null")
-        said = open_.select("qid", "transcript").mapInPandas(ask, T.StructType([queries.schema["qid"], *(T.StructField(n, T.StringType()) for n in ("think", "query", "said"))]))
+        said = staged(open_.select("qid", "transcript").mapInPandas(ask, T.StructType([queries.schema["qid"], *(T.StructField(n, T.StringType()) for n in ("think", "query", "said"))])))
         found = search(said.filter("query is not null").select("qid", F.col("query").alias("text"))).groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.col("doc").cast("string").alias("d")))), lambda x: x["d"]).alias("ids"))
         step = F.struct(F.col("think"), F.col("query").alias("search_query"), F.coalesce("ids", F.array().cast("array<string>")).alias("doc_ids"))
         next_ = open_.join(said, "qid").join(found, "qid", "left")
         next_ = next_.select("qid", F.concat_ws("\n", "transcript", "think", "query", F.array_join("ids", " ")).alias("transcript"), F.col("said").alias("answer"), F.when(F.col("query").isNotNull(), F.concat("steps", F.array(step))).otherwise(F.col("steps")).alias("steps"))
-        state = state.filter("answer is not null").unionByName(next_)
+        state = staged(state.filter("answer is not null").unionByName(next_))
     return state.select("qid", "answer", "steps")
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geo import haversine, toward
+from ..functions.geo import EARTH_KM, haversine, toward
 
 
 @dataclass(frozen=True)
@@ -102,13 +104,38 @@ def top_k(rows: DataFrame, group: list[str], value: str, k: int, largest: bool =
 # ---- places
 
 
-def pairwise_distance(rows: DataFrame, group: list[str], entity: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """(group, max_km, min_km) over the pairs of a group's entities. Pairs are the semantics here; groups are the entities
-    of one question, and each pair is made once, within its group's join."""
-    a = rows.select(*group, F.col(entity).alias("__a"), F.col(lat).alias("__la"), F.col(lon).alias("__oa"))
-    b = rows.select(*group, F.col(entity).alias("__b"), F.col(lat).alias("__lb"), F.col(lon).alias("__ob"))
-    km = haversine(F.col("__la"), F.col("__oa"), F.col("__lb"), F.col("__ob"))
-    return a.join(b, group).filter("__a < __b").groupBy(*group).agg(F.max(km).alias("max_km"), F.min(km).alias("min_km"), F.count("*").alias("n_pairs"))
+def pairwise_distance(rows: DataFrame, group: list[str], entity: str, lat: str = "lat", lon: str = "lon", block: int = 4096) -> DataFrame:
+    """(group, max_km, min_km, n_pairs) over the pairs of a group's entities (rows of one entity are no pair, and a null place
+    has no distance). A group is cut into blocks of about `block` rows; a task gets two blocks at a time and works on tiles of
+    their distances, so no pair becomes a row and no task holds a group."""
+    held = rows.select(*group, F.col(entity).alias("__e"), F.col(lat).cast("double").alias("__la"), F.col(lon).cast("double").alias("__lo")).filter("__e is not null")
+    cuts = held.groupBy(*group).agg(F.ceil(F.count("*") / block).cast("int").alias("__cuts"))
+    mine = F.pmod(F.xxhash64("__e"), "__cuts").cast("int")
+    dealt = held.join(cuts, group).withColumn("__mine", mine).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__cuts") - 1)))
+    dealt = dealt.withColumns({"__x": F.least("__mine", "__other"), "__y": F.greatest("__mine", "__other"), "__side": (F.col("__mine") > F.col("__other")).cast("int")})
+    numbered = {e: i for i, e in enumerate(group)}
+
+    def extremes(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pd.factorize(pdf["__e"])[0]
+        la, lo, side = np.radians(pdf["__la"].to_numpy()), np.radians(pdf["__lo"].to_numpy()), pdf["__side"].to_numpy()
+        own, most, least, n = key[len(numbered)] == key[len(numbered) + 1], -np.inf, np.inf, 0
+        for a in range(0, len(ids), 1024):
+            for b in range(a if own else 0, len(ids), 1024):
+                i, j = slice(a, a + 1024), slice(b, b + 1024)
+                pair = ids[i, None] != ids[None, j]
+                pair &= np.arange(a, a + pair.shape[0])[:, None] < np.arange(b, b + pair.shape[1])[None, :] if own else (side[i, None] == 0) & (side[None, j] == 1)
+                h = np.sin((la[None, j] - la[i, None]) / 2) ** 2 + np.cos(la[i, None]) * np.cos(la[None, j]) * np.sin((lo[None, j] - lo[i, None]) / 2) ** 2
+                km = (2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1.0, h))))[pair]
+                n += len(km)
+                km = km[~np.isnan(km)]
+                if len(km):
+                    most, least = max(most, km.max()), min(least, km.min())
+        some = most > -np.inf
+        return pd.DataFrame({**{g: [key[i]] for g, i in numbered.items()}, "max_km": [most if some else None], "min_km": [least if some else None], "n_pairs": [n]})
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*group).schema)
+    parts = dealt.groupBy(*group, "__x", "__y").applyInPandas(extremes, f"{kinds}, max_km double, min_km double, n_pairs long")
+    return parts.groupBy(*group).agg(F.max("max_km").alias("max_km"), F.min("min_km").alias("min_km"), F.sum("n_pairs").alias("n_pairs")).filter("n_pairs > 0")
 
 
 def within_radius(lat: Column, lon: Column, lat0: float, lon0: float, km: float) -> Column:

@@ -9,17 +9,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def closure(edges: DataFrame, most_levels: int = 100) -> DataFrame:
-    """(node, ancestor) with each node its own ancestor: a recursive query, distinct at the end."""
-    view = f"edges_{abs(hash(edges)) % 10**9}"
-    edges.select("child", "parent").createOrReplaceTempView(view)
-    return edges.sparkSession.sql(
-        f"""WITH RECURSIVE up(node, ancestor) MAX RECURSION LEVEL {most_levels} AS (
-          SELECT n, n FROM (SELECT child AS n FROM {view} UNION SELECT parent FROM {view})
-          UNION ALL SELECT up.node, e.parent FROM up JOIN {view} e ON e.child = up.ancestor
-        ) SELECT DISTINCT node, ancestor FROM up"""
-    )
+from ..staging import staged
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(node, ancestor) with each node its own ancestor. Level by level, from pairs that are new: each level is staged, so
+    circles end and a pair that many paths give is one row."""
+    links = staged(edges.select("child", "parent").filter("child is not null and parent is not null").distinct())
+    own = links.select(F.col("child").alias("node")).union(links.select("parent")).distinct()
+    every = own.select("node", F.col("node").alias("ancestor"))
+    new = staged(links.filter("child <> parent").select(F.col("child").alias("node"), F.col("parent").alias("ancestor")))
+    while not new.isEmpty():
+        every = every.unionByName(new)
+        above = new.join(links, new["ancestor"] == links["child"]).select("node", F.col("parent").alias("ancestor")).distinct()
+        new = staged(above.join(every, ["node", "ancestor"], "left_anti"))
+    return every
 
 
 def class_members(members: DataFrame, up: DataFrame) -> DataFrame:

@@ -46,25 +46,31 @@ def by_title(entities: DataFrame, passages: DataFrame) -> DataFrame:
 
 
 def judged(rows: DataFrame, make: Callable[[], Callable[[pd.DataFrame], list[str]]], shortcut: tuple[str, str] | None = None) -> DataFrame:
-    """rows with label, by an injected judge that is made once a task; what it says is brought to one of the labels, and
-    a judge that fails says NO-UNRELATED. shortcut: (contents, value) columns; a passage that holds the value is
-    YES-SAME without asking."""
-    schema = T.StructType([*rows.schema, T.StructField("said", T.StringType())])
+    """rows with label and error, by an injected judge that is made once a task; what it says is brought to one of the labels.
+    Where it fails on a batch it is asked row by row, and a row on which it fails is NO-UNRELATED, with what went wrong as its
+    error. shortcut: (contents, value) columns; a passage that holds the value is YES-SAME without asking."""
+    schema = T.StructType([*rows.schema, T.StructField("said", T.StringType()), T.StructField("error", T.StringType())])
+
+    def one(ask: Callable[[pd.DataFrame], list[str]], row: pd.DataFrame) -> tuple[str, str | None]:
+        try:
+            return ask(row)[0], None
+        except Exception as wrong:  # noqa: BLE001  a judge is foreign code; what it raises is told
+            return "NO-UNRELATED", f"{type(wrong).__name__}: {wrong}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = make()
         for b in batches:
             try:
-                said = ask(b)
-            except Exception:  # noqa: BLE001  a judge is foreign code, and an answer that fails is a no
-                said = ["NO-UNRELATED"] * len(b)
-            yield b.assign(said=said)
+                said = [(s, None) for s in ask(b)]
+            except Exception:  # noqa: BLE001  row by row it shows which rows fail
+                said = [one(ask, b.iloc[[i]]) for i in range(len(b))]
+            yield b.assign(said=[s for s, _ in said], error=[e for _, e in said])
 
     if shortcut is None:
         return rows.mapInPandas(run, schema).withColumn("label", judgement(F.col("said"))).drop("said")
     sure = F.coalesce(lexical_match(F.col(shortcut[0]), F.col(shortcut[1])), F.lit(False))
     asked = rows.filter(~sure).mapInPandas(run, schema).withColumn("label", judgement(F.col("said"))).drop("said")
-    return rows.filter(sure).withColumn("label", F.lit("YES-SAME")).unionByName(asked)
+    return rows.filter(sure).withColumns({"error": F.lit(None).cast("string"), "label": F.lit("YES-SAME")}).unionByName(asked)
 
 
 def routed(rows: DataFrame, group: list[str], order: str, fallback: str = "related") -> DataFrame:

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from ..staging import staged
+
 TOKEN = r"[^\p{L}\p{N}]+"
 
 
@@ -25,18 +31,76 @@ def bm25_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> d
 
 
 def bm25(queries: DataFrame, index: dict[str, DataFrame], k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """(qid, doc, score, rank): the k best for each query (qid, text). Only the queries' terms leave the postings; scores
-    are rounded to six decimals, and ties go to the least doc."""
-    terms = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    wanted = terms.select("term").distinct()
-    held = index["postings"].join(wanted, "term")
+    """(qid, doc, score, rank): the k best for each query (qid, text) by a stored index. Only the queries' terms leave the
+    postings; scores are rounded to six decimals, and ties go to the least doc."""
+    terms = query_terms(queries)
+    held = index["postings"].join(terms.select("term").distinct(), "term")
+    return scored(terms, held.join(index["doc_stats"], "doc"), index["doc_stats"], k, k1, b)
+
+
+def bm25_scan(queries: DataFrame, docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text", k1: float = 0.9, b: float = 0.4) -> DataFrame:
+    """As bm25(), without an index: the tokens of docs that no query has go before any are counted or moved."""
+    terms = query_terms(queries)
+    words = docs.select(F.col(doc_id).alias("doc"), tokens(F.col(text)).alias("t")).select("doc", "t", F.size("t").alias("dl"))
+    met = words.select("doc", "dl", F.explode("t").alias("term")).join(terms.select("term").distinct(), "term")
+    held = staged(met.groupBy("term", "doc", "dl").agg(F.count("*").alias("tf")))
+    return scored(terms, held, words, k, k1, b)
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+
+
+def scored(terms: DataFrame, held: DataFrame, lengths: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """The k best by terms (qid, term, qtf), postings of these terms (term, doc, tf, dl) and the lengths (dl) of all docs."""
     df = held.groupBy("term").agg(F.count("*").alias("df"))
-    corpus = index["doc_stats"].agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    scored = held.join(df, "term").join(index["doc_stats"], "doc").join(F.broadcast(corpus))  # corpus is one row
+    corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = scored.select("term", "doc", weight.alias("w")).join(terms, "term").groupBy("qid", "doc").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 6).alias("score"))
-    return best(hits, k)
+    weighed = held.join(df, "term").join(F.broadcast(corpus)).select("term", "doc", weight.alias("w"))  # corpus is one row
+    return best(weighed.join(terms, "term").groupBy("qid", "doc").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 6).alias("score")), k)
+
+
+def holding(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", most_chars: int = 4_000_000) -> DataFrame:
+    """(item, doc) for each item (item, text) whose text stands in a document: a stated set of items against all documents,
+    by an automaton for each block of items of most_chars characters. The driver holds one block at a time, and so do tasks.
+    Null and empty items are in no document."""
+    spark, parts = docs.sparkSession, []
+    kind = T.StructType([T.StructField("item", items.schema["item"].dataType), T.StructField("doc", docs.schema[doc_id].dataType)])
+    for block in text_blocks(items, most_chars):
+
+        def run(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            by_text: dict[str, list] = {}
+            for item, t in block:
+                by_text.setdefault(t, []).append(item)
+            for t in by_text:
+                automaton.add_word(t, t)
+            automaton.make_automaton()
+            for batch in batches:
+                found = [(i, d) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for w in {w for _, w in automaton.iter(t)} for i in by_text[w]]
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], to_arrow_type(f.dataType)) for c, f in enumerate(kind)], names=kind.names)
+
+        parts.append(docs.select(doc_id, text).mapInArrow(run, kind))
+        if len(parts) > 1:
+            parts = [staged(parts[0].unionByName(parts[1]))]
+    return parts[0] if parts else spark.createDataFrame([], kind)
+
+
+def text_blocks(items: DataFrame, most_chars: int) -> Iterator[list[tuple]]:
+    """Items (item, text) in blocks of most_chars characters at most (a longer one is a block), one block at a time."""
+    block: list[tuple] = []
+    held = 0
+    for r in items.select("item", "text").filter("text <> ''").toLocalIterator():
+        if block and held + len(r.text) > most_chars:
+            yield block
+            block, held = [], 0
+        block.append((r.item, r.text))
+        held += len(r.text)
+    if block:
+        yield block
 
 
 def best(hits: DataFrame, k: int, qid: str = "qid", doc: str = "doc", score: str = "score") -> DataFrame:
@@ -58,11 +122,16 @@ def pooled_impacts(token_logits: Column, mask: Column) -> Column:
     return F.aggregate(F.slice(active, F.lit(2), F.greatest(F.size(active) - 1, F.lit(0))), F.get(active, F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y)))
 
 
+def weights(vectors: DataFrame, key: str) -> DataFrame:
+    """Rows (key, token, weight) of vectors (key, vector) that are maps."""
+    return vectors.select(key, F.explode("vector").alias("token", "weight"))
+
+
 def impact_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(qid, doc, score, rank) by the dot product of whole-number vectors: queries (qid, vector), docs (doc, vector), maps."""
-    q = queries.select("qid", F.explode("vector").alias("token", "qw"))
-    d = docs.select("doc", F.explode("vector").alias("token", "dw")).join(q.select("token").distinct(), "token", "left_semi")
-    return best(d.join(q, "token").groupBy("qid", "doc").agg(F.sum(F.col("qw").cast("long") * F.col("dw")).alias("score")), k)
+    """(qid, doc, score, rank) by the dot product of whole-number vectors: queries (qid, token, weight), docs (doc, token,
+    weight)."""
+    q = queries.select("qid", "token", F.col("weight").alias("qw"))
+    return best(docs.join(q, "token").groupBy("qid", "doc").agg(F.sum(F.col("qw").cast("long") * F.col("weight")).alias("score")), k)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -96,23 +165,48 @@ def query_text(text: Column, style: str = "plain") -> Column:
     return F.concat(F.lit({"e5": "query: ", "bge": "Represent this sentence for searching relevant passages: "}.get(style, "")), text)
 
 
-def dense_search(queries: DataFrame, docs: DataFrame, k: int, block: int = 512) -> DataFrame:
+def dense_search(queries: DataFrame, docs: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """(qid, doc, score, rank) by exact inner product: a stated query set (qid, embedding) against all docs (doc,
-    embedding), in blocks of queries. A block is at most `block` rows, and is all that is broadcast; each task keeps k
-    hits a query before the shuffle."""
-    held = queries.select("qid", "embedding").orderBy("qid")
-    n = held.count()
-    ranked = held.withColumn("__b", F.floor((F.row_number().over(Window.orderBy("qid")) - 1) / block))
+    embedding), in blocks of queries. A block is at most `block` rows, and is all that the driver holds and tasks get; a
+    task multiplies it with each batch of docs and hands on k hits a query, and those that equal the last of them."""
+    kind = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("doc", docs.schema["doc"].dataType), T.StructField("score", T.DoubleType())])
     parts = []
-    for i in range(-(-n // block)):
-        q = ranked.filter(F.col("__b") == i).select("qid", F.col("embedding").alias("__q"))
-        parts.append(docs.select("doc", "embedding").join(F.broadcast(q)).select("qid", "doc", F.round(dot(F.col("__q"), F.col("embedding")), 6).alias("score")))
-    if not parts:
-        return docs.limit(0).select(F.lit(None).cast(queries.schema["qid"].dataType).alias("qid"), "doc", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    out = best(parts[0], k)
-    for p in parts[1:]:
-        out = out.unionByName(best(p, k))
-    return out
+    for names, matrix in vector_blocks(queries, block):
+
+        def run(batches: Iterator[pa.RecordBatch], names: list = names, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
+            kept: list[list[tuple[float, object]]] = [[] for _ in names]
+            for batch in batches:
+                ids, rows = batch.column(0).to_pylist(), batch.column(1)
+                if not len(ids):
+                    continue
+                m = np.array(rows.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(ids), -1)
+                for q, scores in enumerate(np.round(matrix @ m.T, 6)):
+                    floor = np.partition(scores, -k)[-k] if len(scores) > k else -np.inf
+                    all_ = kept[q] + [(float(scores[i]), ids[i]) for i in np.flatnonzero(scores >= floor - 2e-6)]
+                    if len(all_) > k:
+                        last = sorted((s for s, _ in all_), reverse=True)[k - 1] - 2e-6
+                        all_ = [x for x in all_ if x[0] >= last]
+                    kept[q] = all_
+            found = [(n, d, s) for n, hits in zip(names, kept, strict=True) for s, d in hits]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], to_arrow_type(f.dataType)) for c, f in enumerate(kind)], names=kind.names)
+
+        hits = docs.select("doc", "embedding").filter("doc is not null and embedding is not null").mapInArrow(run, kind)
+        parts.append(best(hits.withColumn("score", F.round("score", 6)), k))
+        if len(parts) > 1:
+            parts = [staged(parts[0].unionByName(parts[1]))]
+    return parts[0] if parts else docs.sparkSession.createDataFrame([], T.StructType([*kind, T.StructField("rank", T.IntegerType())]))
+
+
+def vector_blocks(queries: DataFrame, block: int) -> Iterator[tuple[list, np.ndarray]]:
+    """Queries as (ids, matrix), `block` rows at most at a time."""
+    held: list = []
+    for r in queries.select("qid", "embedding").filter("embedding is not null").toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            yield [r.qid for r in held], np.array([r.embedding for r in held], dtype=np.float64)
+            held = []
+    if held:
+        yield [r.qid for r in held], np.array([r.embedding for r in held], dtype=np.float64)
 
 
 def oracle_search(qrels: DataFrame, k: int) -> DataFrame:
@@ -138,8 +232,6 @@ def rerank(hits: DataFrame, scored: Callable[[DataFrame], DataFrame], k: int, fi
 
 def encoded(rows: DataFrame, make: Callable[[], Callable[[list[str]], list[list[float]]]], text: str, out: str = "embedding") -> DataFrame:
     """rows with a vector from an injected encoder, which is made once a task."""
-    from pyspark.sql import types as T
-
     schema = T.StructType([*rows.schema, T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -78,9 +78,10 @@ def scarce_first(stats: DataFrame) -> DataFrame:
     return stats.orderBy("num_classes", "prop_id")
 
 
-def balanced(candidates: DataFrame, per_class: int = 1, seed: int = 42) -> DataFrame:
+def balanced(candidates: DataFrame, per_class: int = 1, seed: int = 42, most_rows: int = 1_000_000) -> DataFrame:
     """A greedy choice with running counters: classes with the fewest candidates first, each taking its least used
-    properties. Counters are shared by all, so the (class, property) table, not the data, goes through one group."""
+    properties. Counters are shared by all, so the (class, property) table, not the data, goes through one group; one of over
+    most_rows rows is refused."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         used: dict[str, int] = {}
@@ -95,6 +96,8 @@ def balanced(candidates: DataFrame, per_class: int = 1, seed: int = 42) -> DataF
         return pd.DataFrame(out, columns=["class_id", "prop_id"])
 
     keyed = candidates.select("class_id", "prop_id", draw(seed, "class_id", "prop_id").alias("h")).distinct().withColumn("all", F.lit(1))
+    if (n := keyed.count()) > most_rows:
+        raise ValueError(f"{n} pairs of class and property; a greedy choice takes {most_rows} at most")
     return keyed.groupBy("all").applyInPandas(run, "class_id string, prop_id string")
 
 

@@ -16,8 +16,9 @@ def paired(a: DataFrame, b: DataFrame, metric: str) -> DataFrame:
 
 
 def wilcoxon(pairs: DataFrame) -> dict[str, float]:
-    """Two-sided signed-rank test with tied ranks averaged, zero differences left out, normal approximation with tie
-    correction. The ranks of distinct sizes are windowed over one row for each size, not for each query."""
+    """Two-sided signed-rank test with tied ranks averaged and zero differences left out: by the exact distribution for
+    EXACT_MOST differences or fewer without ties, else by the normal approximation with tie correction. The ranks of distinct
+    sizes are windowed over one row for each size, not for each query."""
     sizes = pairs.filter("diff <> 0").groupBy(F.round(F.abs("diff"), 12).alias("size")).agg(F.count("*").alias("n"), F.count_if(F.col("diff") > 0).alias("pos"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = sizes.withColumn("rank", before + (F.col("n") + 1) / 2.0)
@@ -25,11 +26,26 @@ def wilcoxon(pairs: DataFrame) -> dict[str, float]:
     if not r.n:
         return {"n": 0, "statistic": 0.0, "p_value": 1.0}
     n, stat = r.n, min(r.plus, r.minus)
+    if n <= EXACT_MOST and not r.ties:
+        return {"n": n, "statistic": stat, "p_value": exact_p(n, int(stat))}
     spread = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - r.ties / 48)
     z = (stat - n * (n + 1) / 4) / spread if spread else 0.0
     return {"n": n, "statistic": stat, "p_value": math.erfc(abs(z) / math.sqrt(2))}
 
 
+#: Differences for which the exact distribution is taken, at most.
+EXACT_MOST = 50
+
+
+def exact_p(n: int, stat: int) -> float:
+    """The two-sided chance of a rank sum as low as stat: of all 2^n choices of signs, how many have one."""
+    ways = [1] + [0] * (n * (n + 1) // 2)
+    for rank in range(1, n + 1):
+        for s in range(len(ways) - 1, rank - 1, -1):
+            ways[s] += ways[s - rank]
+    return min(1.0, 2 * sum(ways[: stat + 1]) / 2**n)
+
+
 def bootstrap(pairs: DataFrame, resamples: int = 10_000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """(mean_diff, low, high): the interval of the mean difference over resamples drawn with replacement. Each pair of
     resample and draw picks a query by a hash, so any cluster draws alike."""

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import staging
 from ..functions import numbers as N
 from ..functions.strings import judgement
 from ..operators import chunking, metrics, qrels, retrieval, stats
-from ..sources import writers
+from ..sources import readers, writers
 from .registry import query
 from .text import CHUNKS, documents
 
@@ -34,12 +35,19 @@ def benchmark_queries(t):
 
 def gold(t):
     """Documents that hold a benchmark item's text: a stated set of items against all documents."""
-    items = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("__t"))
-    return t.documents.join(items, F.contains("text", F.col("__t"))).select("query_id", F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("pos"))
+    found = retrieval.holding(t.documents, t.benchmark.select(F.col("item_id").alias("item"), "text"))
+    return found.select(F.col("item").alias("query_id"), F.col("doc").cast("string").alias("doc_id"), F.col("doc").alias("pos"))
 
 
 def document_hits(t, k=10):
-    return retrieval.bm25(benchmark_queries(t), retrieval.bm25_index(t.documents), k)
+    return retrieval.bm25_scan(benchmark_queries(t), t.documents, k)
+
+
+def stored_index(t):
+    """The documents' index, written once and read by each search."""
+    path = staging.new_path(t.spark)
+    writers.index_tables(retrieval.bm25_index(t.documents), path)
+    return readers.index_tables(t.spark, path)
 
 
 @query(f"WITH {bm25_sql(DOCS, BENCH, 10)} SELECT qid, doc, score, rank FROM hits")
@@ -53,7 +61,7 @@ SELECT b.item_id AS qid, coalesce(round(len(list_intersect(g, coalesce(f, [])))
 def bm25_entity_recall(t):
     """Items as queries, documents as passages, BM25, and the share of gold documents among the ten best passages."""
     passages = chunking.word_chunks(documents(t)).select(F.col("id").alias("doc_id"), F.col("contents").alias("text"))
-    hits = retrieval.bm25(benchmark_queries(t), retrieval.bm25_index(passages), 10)
+    hits = retrieval.bm25_scan(benchmark_queries(t), passages, 10)
     found = hits.groupBy("qid").agg(F.collect_set(F.regexp_replace("doc", "-[^-]*$", "")).alias("found"))
     want = gold(t).groupBy(F.col("query_id").alias("qid")).agg(F.collect_list("doc_id").alias("gold"))
     rows = benchmark_queries(t).select("qid").join(want, "qid", "left").join(found, "qid", "left")
@@ -91,14 +99,20 @@ def dense_topk(t):
 IMPACT = f"""d AS (SELECT doc_id AS doc, term, count(*) AS w FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY 1, 2), q AS (SELECT item_id AS qid, term, count(*) AS qw FROM (SELECT item_id, unnest({TOKENS}) AS term FROM benchmark) GROUP BY 1, 2)"""
 
 
-def counted(df, key, name):
-    words = df.select(F.col(key).alias(name), F.explode(retrieval.tokens(F.col("text"))).alias("term")).groupBy(name, "term").agg(F.count("*").cast("int").alias("w"))
-    return words.groupBy(name).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("vector"))
+def worded(df, key, name):
+    return df.select(F.col(key).alias(name), F.explode(retrieval.tokens(F.col("text"))).alias("token"))
+
+
+def weighed(words, name):
+    return words.groupBy(name, "token").agg(F.count("*").cast("int").alias("weight"))
 
 
 @query(f"""WITH {IMPACT}, s AS (SELECT qid, doc, CAST(sum(qw * w) AS BIGINT) AS score FROM q JOIN d USING (term) GROUP BY 1, 2) SELECT qid, doc, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= 10""")
 def impact_topk(t):
-    return retrieval.impact_search(counted(t.benchmark, "item_id", "qid"), counted(t.documents, "doc_id", "doc"), 10).select("qid", "doc", "score")
+    """Word counts as impacts; the documents' words that no item has go before they are counted."""
+    q = weighed(worded(t.benchmark, "item_id", "qid"), "qid")
+    words = worded(t.documents, "doc_id", "doc").join(q.select("token").distinct(), "token", "left_semi")
+    return retrieval.impact_search(q, weighed(words, "doc"), 10).select("qid", "doc", "score")
 
 
 @query(f"""WITH {bm25_sql(DOCS, BENCH, 100)}, x AS (SELECT h.qid, h.doc, length(documents.text) AS second FROM hits h JOIN documents ON doc_id = h.doc) SELECT qid, doc, second AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY second DESC, doc) AS r FROM x) WHERE r <= 10""")
@@ -126,10 +140,9 @@ b AS (SELECT * FROM a UNION ALL SELECT qid, 1, rank, doc FROM hits2), o AS (SELE
 SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY rank, step) AS rank FROM o WHERE o = 1""")
 def fused_ranking(t):
     first = t.benchmark.select(F.col("item_id").alias("qid"), F.regexp_extract("text", r"^[^.]*", 0).alias("text"))
-    index = retrieval.bm25_index(t.documents)
-    a = retrieval.bm25(benchmark_queries(t), index, 10).withColumn("step", F.lit(0))
-    b = retrieval.bm25(first, index, 10).withColumn("step", F.lit(1))
-    return retrieval.fuse(a.unionByName(b).select("qid", "step", "rank", "doc")).select("qid", "doc", F.col("rank").cast("long").alias("rank"))
+    both = benchmark_queries(t).withColumn("step", F.lit(0)).unionByName(first.withColumn("step", F.lit(1)))
+    hits = retrieval.bm25_scan(both.select(F.struct("qid", "step").alias("qid"), "text"), t.documents, 10)
+    return retrieval.fuse(hits.select("qid.qid", "qid.step", "rank", "doc")).select("qid", "doc", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {bm25_sql(DOCS, BENCH, 10)} SELECT qid || ' Q0 ' || doc || ' ' || rank || ' ' || printf('%.4f', 1.0::DOUBLE / rank) || ' bm25' AS "value" FROM hits""")
@@ -169,9 +182,9 @@ def answer_errors(t):
 @query()
 def significance(t):
     """BM25 by the whole item against BM25 by its first sentence, on recall at ten."""
-    index = retrieval.bm25_index(t.documents)
+    index, held = stored_index(t), staging.staged(gold(t))
     first = t.benchmark.select(F.col("item_id").alias("qid"), F.regexp_extract("text", r"^[^.]*", 0).alias("text"))
-    score = lambda q: metrics.ranking_bundle(metrics.lists(gold(t), retrieval.bm25(q, index, 10).withColumn("doc", F.col("doc").cast("string"))), ks=(10,))
+    score = lambda q: metrics.ranking_bundle(metrics.lists(held, retrieval.bm25(q, index, 10).withColumn("doc", F.col("doc").cast("string"))), ks=(10,))
     return stats.compare(score(benchmark_queries(t)), score(first), "recall_10", resamples=1000)
 
 

@@ -10,9 +10,9 @@ from ..operators import aggregates as A
 from .registry import query
 
 
-@query("""SELECT CAST(floor("value" / 10) + 1 AS BIGINT) AS bin, count(*) AS n FROM events WHERE "value" >= 0 AND "value" < 100 GROUP BY 1""")
+@query("""SELECT CAST(CASE WHEN "value" < 0 THEN 0 WHEN "value" >= 100 THEN 11 ELSE floor("value" / 10) + 1 END AS BIGINT) AS bin, count(*) AS n FROM events WHERE "value" IS NOT NULL GROUP BY 1""")
 def value_histogram(t):
-    return A.histogram(t.events.filter((F.col("value") >= 0) & (F.col("value") < 100)), "value", 0.0, 100.0, 10).withColumn("bin", F.col("bin").cast("long"))
+    return A.histogram(t.events, "value", 0.0, 100.0, 10).withColumn("bin", F.col("bin").cast("long"))
 
 
 @query("""SELECT count(*) AS n_entities, CAST(sum(n) AS BIGINT) AS n_calls FROM (SELECT DISTINCT source, lang, n FROM (SELECT source, lang, count(*) OVER (PARTITION BY source, lang) AS n FROM documents))""")

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window
 
 QRELS, RUN = "query_id string, iteration string, doc_id string, relevance int", "qid string, q0 string, pid string, rank int, score double, run_id string"
@@ -28,6 +25,12 @@ def text_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True)
 
 
+def file_order() -> Column:
+    """Where a line stands: its file, the split of it, and the place in the split. Splits are dealt to tasks by size, so a
+    row's number alone is not in the order of the files."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+
+
 def tagged_time(value: Column) -> Column:
     """A time that is an ISO text, or an object with __type__ datetime that holds one."""
     inner = F.when(F.get_json_object(value, "$.__type__") == "datetime", F.get_json_object(value, "$.value"))
@@ -122,14 +125,14 @@ def template_rows(rows: DataFrame) -> DataFrame:
 def qrels(spark: SparkSession, path: str) -> DataFrame:
     """Relevant lines in order; lines under four fields and irrelevant ones go, repeated ones stay. pos keeps the order."""
     parts = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), parts.alias("p")).filter(F.size("p") >= 4)
+    rows = spark.read.text(path).select(file_order().alias("pos"), parts.alias("p")).filter(F.size("p") >= 4)
     return rows.select(F.col("p")[0].alias("query_id"), F.col("p")[1].alias("iteration"), F.col("p")[2].alias("doc_id"), F.col("p")[3].try_cast("int").alias("relevance"), "pos").filter("relevance > 0")
 
 
 def run(spark: SparkSession, path: str) -> DataFrame:
     """A run's lines in file order; lines under five fields go, a bad score counts as 0."""
     parts = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), parts.alias("p")).filter(F.size("p") >= 5)
+    rows = spark.read.text(path).select(file_order().alias("pos"), parts.alias("p")).filter(F.size("p") >= 5)
     return rows.select(F.col("p")[0].alias("qid"), F.col("p")[2].alias("pid"), F.col("p")[3].try_cast("int").alias("rank"), F.coalesce(F.col("p")[4].try_cast("double"), F.lit(0.0)).alias("score"), F.get(F.col("p"), F.lit(5)).alias("run_id"), "pos")
 
 
@@ -137,7 +140,7 @@ def query_set(spark: SparkSession, path: str, questions: tuple[str, ...] = ("que
     """Questions by id, the last of each: id, question and gold answer. questions and golds name the fields that may hold
     the question and, as a plain number, the gold answer, the first of them first; the field answer comes last."""
     own = [f"{n} string" for n in dict.fromkeys(("qid", "id", *questions, *golds, "answer", "src"))]
-    raw = spark.read.schema(", ".join(own)).json(path).withColumn("pos", F.monotonically_increasing_id())
+    raw = spark.read.schema(", ".join(own)).json(path).withColumn("pos", file_order())
     gold = F.coalesce(*[F.col(g).try_cast("double") for g in golds], F.get_json_object("answer", "$.value").try_cast("double"), F.col("answer").try_cast("double"))
     rows = raw.select(F.coalesce("qid", "id").alias("qid"), F.coalesce(*questions).alias("question"), gold.alias("answer"), F.get_json_object("answer", "$.type").alias("answer_type"), "src", "pos")
     return last_of(rows, "qid", "pos").drop("pos")
@@ -146,7 +149,7 @@ def query_set(spark: SparkSession, path: str, questions: tuple[str, ...] = ("que
 def passages(spark: SparkSession, path: str) -> DataFrame:
     """A corpus of passages; an id may be under several names; rows without one go, the last of each stays."""
     schema = "id string, doc_id string, passage_id string, docid string, title string, section array<string>, contents string, text string"
-    raw = spark.read.schema(schema).json(path).withColumn("pos", F.monotonically_increasing_id())
+    raw = spark.read.schema(schema).json(path).withColumn("pos", file_order())
     rows = raw.select(F.coalesce("id", "doc_id", "passage_id", "docid", "title").alias("id"), "title", "section", F.coalesce("contents", "text").alias("contents"), "pos").filter("id is not null")
     return last_of(rows, "id", "pos").drop("pos")
 
@@ -154,23 +157,21 @@ def passages(spark: SparkSession, path: str) -> DataFrame:
 def rewrites(spark: SparkSession, path: str) -> DataFrame:
     """Rewrite records with seq, their place in the file."""
     schema = "query_id string, passage_id string, entity_label string, entity_qid string, shared_time string, rewrite_type string, passage struct<id:string,title:string,contents:string>, rewritten_passage struct<id:string,title:string,contents:string>"
-    return spark.read.schema(schema).json(path).withColumn("seq", F.monotonically_increasing_id())
+    return spark.read.schema(schema).json(path).withColumn("seq", file_order())
 
 
 def vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """A raw file of 32-bit floats, little-endian, as (vec_id, embedding); files are read record by record."""
+    """Raw files of 32-bit floats, little-endian, as (vec_id, embedding), numbered over all files in the order of their names.
+    Files are read as records of fixed length, by splits, so no file has to fit a row."""
     import numpy as np
-    import pandas as pd
 
-    raw = spark.read.format("binaryFile").load(path).select("content")
+    records = spark.sparkContext.binaryRecords(path, 4 * dim).zipWithIndex()  # no DataFrame source reads records of fixed length
+    return records.map(lambda x: (x[1], np.frombuffer(x[0], "<f4").tolist())).toDF("vec_id long, embedding array<float>")
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for c in b["content"]:
-                m = np.frombuffer(c, "<f4").reshape(-1, dim)
-                yield pd.DataFrame({"vec_id": np.arange(len(m)), "embedding": list(m)})
 
-    return raw.mapInPandas(rows, "vec_id long, embedding array<float>")
+def index_tables(spark: SparkSession, path: str, names: tuple[str, ...] = ("postings", "doc_stats", "term_stats")) -> dict[str, DataFrame]:
+    """The tables of a stored index by name."""
+    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
 # ---- products
@@ -187,34 +188,8 @@ def products(tables: DataFrame, metadata: DataFrame, key: str = "category") -> D
 # ---- remote knowledge bases, read from files
 
 
-class FixtureSource(DataSource):
-    """A knowledge base or web interface that answers from JSON files: format("tallyset_fixture").option("path", ...).
-
-    A remote endpoint needs a network; a reader for one has the same shape, a partition for each batch of keys."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "tallyset_fixture"
-
-    def schema(self) -> str:
-        return "key string, value string"
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return FixtureReader(self.options["path"])
-
-
-class FixtureReader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-    def partitions(self) -> list[InputPartition]:
-        import glob
-
-        return [InputPartition(p) for p in sorted(glob.glob(self.path))]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple[str, str]]:
-        import json
-
-        with open(partition.value) as f:
-            for k, v in json.load(f).items():
-                yield k, v if isinstance(v, str) else json.dumps(v)
+def answers(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value) of a knowledge base or web interface that answers from JSON files, an object a file: what a remote endpoint,
+    which needs a network, would answer to each key. Values that are no texts stay JSON."""
+    raw = spark.read.text(path, wholetext=True)
+    return raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))

@@ -242,19 +242,147 @@ def test_dump_reader(spark, tmp_path):
 
 def test_fixture_source(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"Q1": {"label": "x"}, "Q2": "y"}')
-    spark.dataSource.register(readers.FixtureSource)
-    got = spark.read.format("tallyset_fixture").option("path", f"{tmp_path}/*.json").load().collect()
-    assert {(r.key, r.value) for r in got} == {("Q1", '{"label": "x"}'), ("Q2", "y")}
+    got = readers.answers(spark, f"{tmp_path}/*.json").collect()
+    assert {(r.key, r.value) for r in got} == {("Q1", '{"label":"x"}'), ("Q2", "y")}
 
 
-def test_agents(spark):
+def test_lines_keep_the_order_of_their_files(spark, tmp_path):
+    lines = [f'{{"passage_id": "p", "query_id": "{i}", "rewrite_type": "{"x" * 200}"}}' for i in range(4000)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines[:3900]))
+    (tmp_path / "b.jsonl").write_text("\n".join(lines[3900:]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        rows = readers.rewrites(spark, str(tmp_path))
+        assert [r.query_id for r in rows.orderBy("seq").collect()] == [str(i) for i in range(4000)]
+        assert readers.last_of(rows, "passage_id", "seq").first().query_id == "3999"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_vectors_are_numbered_over_files(spark, tmp_path):
+    import numpy as np
+
+    for name, low in (("a.bin", 0), ("b.bin", 3)):
+        np.arange(low * 2, low * 2 + 6, dtype="<f4").tofile(tmp_path / name)
+    got = sorted((r.vec_id, r.embedding) for r in readers.vectors(spark, str(tmp_path), 2).collect())
+    assert got == [(i, [2.0 * i, 2.0 * i + 1]) for i in range(6)]
+
+
+def test_compressed_lines_are_read(spark, tmp_path):
+    import bz2
+    import gzip
+
+    text = b'{"id": "1", "title": "A", "text": "a"}\n'
+    (tmp_path / "x.jsonl.gz").write_bytes(gzip.compress(text))
+    (tmp_path / "y.jsonl.bz2").write_bytes(bz2.compress(text.replace(b"1", b"2")))
+    assert {r.doc_id for r in readers.tolerant_jsonl(spark, str(tmp_path)).collect()} == {"1", "2"}
+
+
+def test_agents(spark, tmp_path):
     queries = spark.createDataFrame([("q1", "red?"), ("q2", "done?")], "qid string, question string")
 
     def make():
-        return lambda t: {"think": "t", "answer": "7"} if "d1" in t or t.startswith("done") else {"think": "hm", "search": "red"}
+        def asked(t):
+            with open(tmp_path / "calls", "a") as f:
+                f.write("x")
+            return said(t)
+
+        return asked
+
+    def said(t):
+        return (lambda t: {"think": "t", "answer": "7"} if "d1" in t or t.startswith("done") else {"think": "hm", "search": "red"})(t)
 
     found = lambda q: q.select("qid", F.lit("d1").alias("doc"), F.lit(1).alias("rank"))
     got = {r.qid: r for r in agents.stepwise(queries, make, found, most=3).collect()}
+    assert (tmp_path / "calls").read_text() == "xxx"  # once for each open query and step
     assert got["q1"].answer == "7" and [s.doc_ids for s in got["q1"].steps] == [["d1"]] and got["q2"].steps == []
     rows = agents.path_steps(spark.createDataFrame([("q", [("a", "s", ["x", "y"]), ("b", "s", [])])], "qid string, reasoning_path " + agents.STEP)).collect()
     assert [(r.step, r["rank"], r.doc) for r in rows] == [(0, 0, "x"), (0, 1, "y")]
+
+
+# ---- plans that hold for large groups
+
+
+def test_closure_ends_on_circles_and_ladders(spark):
+    circle = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("d", "d"), (None, "a")], "child string, parent string")
+    assert {(r.node, r.ancestor) for r in kb.closure(circle).collect()} == {(x, y) for x in "abc" for y in "abc"} | {("d", y) for y in "abcd"}
+    rungs = [(f"{s}{i}", f"{t}{i + 1}") for i in range(25) for s in "xy" for t in "xy"]
+    got = kb.closure(spark.createDataFrame(rungs, "child string, parent string"))
+    assert got.count() == sum(1 + 2 * (25 - i) for i in range(26) for _ in "xy")
+
+
+def test_pairwise_distance_in_blocks(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    rows = [(g, i, rng.uniform(-80, 80), rng.uniform(-170, 170)) for g in ("a", "b") for i in range(40)] + [("a", 0, 1.0, 1.0), ("a", 99, None, None), ("c", 1, 0.0, 0.0)]
+
+    def km(p, q):
+        la, lo, lb, lob = map(math.radians, (*p[2:], *q[2:]))
+        return 2 * 6371.0 * math.asin(math.sqrt(min(1, math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((lob - lo) / 2) ** 2)))
+
+    docs = spark.createDataFrame(rows, "g string, e long, lat double, lon double")
+    for block in (7, 4096):
+        got = {r.g: r for r in aggregates.pairwise_distance(docs, ["g"], "e", block=block).collect()}
+        assert set(got) == {"a", "b"}
+        for g in got:
+            own = [r for r in rows if r[0] == g]
+            pairs = [(p, q) for i, p in enumerate(own) for q in own[:i] if p[1] != q[1]]
+            far = [km(p, q) for p, q in pairs if None not in (*p, *q)]
+            assert got[g].n_pairs == len(pairs) and abs(got[g].max_km - max(far)) < 1e-6 and abs(got[g].min_km - min(far)) < 1e-6
+
+
+def test_documents_that_hold_an_item(spark):
+    docs = spark.createDataFrame([(1, "a red fox"), (2, "red"), (3, None), (4, "")], "doc_id long, text string")
+    items = spark.createDataFrame([("x", "red"), ("y", "red fox"), ("z", "blue"), ("w", "red"), ("e", ""), ("n", None)], "item string, text string")
+    for most in (1, 100):
+        got = {(r.item, r.doc) for r in retrieval.holding(docs, items, most_chars=most).collect()}
+        assert got == {("x", 1), ("x", 2), ("w", 1), ("w", 2), ("y", 1)}
+    assert retrieval.holding(docs, items.limit(0)).count() == 0
+
+
+def test_search_without_an_index_is_as_with_one(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 3} common {'extra ' * (i % 4)}") for i in range(12)] + [(99, None)], "doc_id long, text string")
+    queries = spark.createDataFrame([("p", "word1 common"), ("q", "extra zebra"), ("r", "")], "qid string, text string")
+    a = sorted(tuple(r) for r in retrieval.bm25(queries, retrieval.bm25_index(docs), 5).select("qid", "doc", "score", "rank").collect())
+    assert a == sorted(tuple(r) for r in retrieval.bm25_scan(queries, docs, 5).select("qid", "doc", "score", "rank").collect()) and len(a) == 10
+
+
+def test_a_judge_that_fails_on_one_row(spark):
+    rows = spark.createDataFrame([("a",), ("bad",), ("c",)], "contents string").coalesce(1)
+
+    def make():
+        def ask(b):
+            if "bad" in set(b["contents"]):
+                raise ValueError("no")
+            return ["YES-SAME"] * len(b)
+
+        return ask
+
+    got = {r.contents: (r.label, r.error) for r in qrels.judged(rows, make).collect()}
+    assert got == {"a": ("YES-SAME", None), "bad": ("NO-UNRELATED", "ValueError: no"), "c": ("YES-SAME", None)}
+
+
+def test_exact_signed_ranks(spark):
+    a = spark.createDataFrame([(i, float(d)) for i, d in enumerate([1, 2, 3, -4, 5, 6, 7, -8])], "qid long, m double")
+    b = a.withColumn("m", F.lit(0.0))
+    got = stats.wilcoxon(stats.paired(a, b, "m"))
+    every = [sum(r for r in range(1, 9) if s >> (r - 1) & 1) for s in range(256)]
+    assert (got["n"], got["statistic"]) == (8, 12.0) and abs(got["p_value"] - 2 * sum(x <= 12 for x in every) / 256) < 1e-12
+
+
+def test_greedy_choice_is_its_loop_and_has_a_bound(spark):
+    pairs = [(f"c{i % 7}", f"p{i % 5}") for i in range(60)] + [("c9", "p0")]
+    c = spark.createDataFrame(pairs, "class_id string, prop_id string")
+    got = selection.balanced(c, per_class=2).collect()
+    held = {k: {p for x, p in pairs if x == k} for k in {k for k, _ in pairs}}
+    used, order = {}, []
+    for r in got:
+        order.append(r.class_id)
+        least = min(used.get(p, 0) for p in held[r.class_id] - {x.prop_id for x in got[: len(order) - 1] if x.class_id == r.class_id})
+        assert used.get(r.prop_id, 0) == least
+        used[r.prop_id] = used.get(r.prop_id, 0) + 1
+    assert order == [k for k in sorted(held, key=lambda k: (len(held[k]), k)) for _ in range(min(2, len(held[k])))]
+    with pytest.raises(ValueError):
+        selection.balanced(c, most_rows=3)
