@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.strings import collapsed, fallback_id, passage_id
 
+# Where a sentence ends.
 SENTENCE = r"(?<=[.!?])\s+(?=[A-Z])|(?<=[.!?])$"
 
 

@@ -224,10 +224,25 @@ def agg_percentage(t):
 # ---- units and times
 
 
-@query("""SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN p_retailprice * 0.3048 WHEN 'SMALL' THEN p_retailprice ELSE p_retailprice END AS v FROM part""")
+def factor_values(factors):
+    """The pairs of a table of factors as SQL rows (i, f)."""
+    return ", ".join(f"({i}, CAST({f!r} AS DOUBLE))" for i, f in enumerate(factors.values()))
+
+
+def pair_of(t, factors):
+    """Parts with the units of one pair each, in turn."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst")) for a, b in factors])
+    return t.part.select("p_partkey", F.col("p_retailprice").alias("v"), F.get(pairs, (F.col("p_partkey") % len(factors)).cast("int")).alias("p")).select("p_partkey", "v", "p.src", "p.dst")
+
+
+@query(f"""SELECT p_partkey, p_retailprice * f AS v FROM part JOIN (VALUES {factor_values(units.ITEM_FACTORS)}) x(i, f) ON p_partkey % {len(units.ITEM_FACTORS)} = i""")
 def unit_conversion(t):
-    rows = t.part.select("p_partkey", F.col("p_retailprice").alias("v"), F.when(F.col("p_type") == "ECONOMY", "Q3710").when(F.col("p_type") == "SMALL", "Q11573").otherwise("Q199").alias("src"), F.lit("Q11573").alias("dst"))
-    return units.converted(rows, units.factor_table(t.spark, units.ITEM_FACTORS), "v", "src", "dst").select("p_partkey", "v")
+    return units.converted(pair_of(t, units.ITEM_FACTORS), units.factor_table(t.spark, units.ITEM_FACTORS), "v", "src", "dst").select("p_partkey", "v")
+
+
+@query(f"""SELECT p_partkey, p_retailprice * f AS v FROM part JOIN (VALUES {factor_values(units.RETAIL_FACTORS)}) x(i, f) ON p_partkey % {len(units.RETAIL_FACTORS)} = i""")
+def unit_conversion_retail(t):
+    return units.converted(pair_of(t, units.RETAIL_FACTORS), units.factor_table(t.spark, units.RETAIL_FACTORS), "v", "src", "dst", one=None).select("p_partkey", "v")
 
 
 @query("""WITH u AS (SELECT p_brand, p_type AS u, count(*) AS n FROM part GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, u) AS r FROM u) SELECT p_brand, u AS common FROM r WHERE r = 1""")
@@ -235,10 +250,16 @@ def unit_common(t):
     return units.common_unit(t.part, ["p_brand"], "p_type")
 
 
-@query("""SELECT id, CAST("value" AS DOUBLE) AS "value", unit FROM (VALUES (1, 1.5, 'Kilogram'), (2, 12.0, 'Ounce'), (3, 64.0, 'Gigabyte'), (4, 8.0, NULL), (5, NULL, NULL)) v(id, "value", unit)""")
+_SAID = ", ".join(f"({i}, '{a}', '{n}')" for i, (a, n) in enumerate(units.RETAIL_NAMES.items()))
+
+
+@query(f"""SELECT p_partkey, CAST(p_size AS DOUBLE) AS "value", n AS unit FROM part LEFT JOIN (VALUES {_SAID}) x(i, a, n) ON p_partkey % {len(units.RETAIL_NAMES) + 1} = i""")
 def unit_quantity(t):
-    rows = t.spark.createDataFrame([(1, "1.5 kg"), (2, "12 -oz"), (3, "64 GB"), (4, "8 blorps"), (5, "none")], "id int, s string")
-    return rows.select("id", units.quantity(F.col("s")).alias("q")).select("id", "q.value", "q.unit")
+    """Sizes with each name of a retail unit in turn, and one that is unknown."""
+    names = F.array(*[F.lit(n) for n in [*units.RETAIL_NAMES, "blorps"]])
+    name = F.get(names, (F.col("p_partkey") % (len(units.RETAIL_NAMES) + 1)).cast("int"))
+    q = units.quantity(F.concat("p_size", F.when(F.col("p_partkey") % 2 == 0, F.lit(" -")).otherwise(F.lit("  ")), name))
+    return t.part.select("p_partkey", q.alias("q")).select("p_partkey", "q.value", "q.unit")
 
 
 @query("""SELECT o_custkey % 7 AS g, o_orderkey, date_trunc('month', o_orderdate) AS at, 'month' AS "precision" FROM orders""")
@@ -247,10 +268,13 @@ def time_coarsest(t):
     return times.coarsest(rows, ["g"])
 
 
-@query("""SELECT id, CAST(a AS TIMESTAMP) AS at, p AS "precision" FROM (VALUES (1, '2021-01-01', 'year'), (2, '2021-03-01', 'month'), (3, '2021-03-05', 'day'), (4, '2021-03-05', 'year'), (5, NULL, NULL), (6, NULL, NULL)) v(id, a, p)""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 3 THEN date_trunc('day', o_orderdate) END AS at, CASE o_orderkey % 4 WHEN 1 THEN 'day' WHEN 2 THEN 'year' WHEN 0 THEN CASE WHEN day(o_orderdate) = 1 AND month(o_orderdate) = 1 THEN 'year' WHEN day(o_orderdate) = 1 THEN 'month' ELSE 'day' END END AS "precision" FROM orders""")
 def time_parsing(t):
-    rows = t.spark.createDataFrame([(1, "2021-01-01T00:00:00Z", None), (2, "2021-03-01T00:00:00Z", None), (3, "2021-03-05T00:00:00Z", 11), (4, "2021-03-05T00:00:00Z", 9), (5, "bad", 9), (6, "2021-03-05T00:00:00Z", 7)], "id int, s string, p int")
-    return rows.select("id", times.parsed(F.col("s"), F.col("p")).alias("x")).select("id", "x.at", "x.precision")
+    """Dates as texts, with a numeric precision, none, or one that is unknown."""
+    text = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T00:00:00Z"))
+    kind = F.col("o_orderkey") % 4
+    x = times.parsed(text, F.when(kind == 1, 11).when(kind == 2, 9).when(kind == 3, 7))
+    return t.orders.select("o_orderkey", x.alias("x")).select("o_orderkey", "x.at", "x.precision")
 
 
 @query("""SELECT o_orderkey, CAST(date_trunc('year', o_orderdate) AS DATE) AS y0, make_date(year(o_orderdate), 12, 31) AS y1, CAST(date_trunc('month', o_orderdate) AS DATE) AS m0, last_day(o_orderdate) AS m1 FROM orders""")

@@ -248,9 +248,12 @@ def coverage_by_query(t):
     return qrels.coverage(entities(t), labelled_qrels(t))
 
 
-@query("""SELECT source AS query_id, count(*) AS n_entities, count(CASE WHEN quality = 1 THEN 1 END) AS n_covered, count(*) = count(CASE WHEN quality = 1 THEN 1 END) AS valid FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
+@query("""WITH e AS (SELECT source AS query_id, doc_id FROM documents UNION ALL SELECT 'lang-' || lang, doc_id FROM documents WHERE lang IS NOT NULL), g AS (SELECT doc_id, source FROM documents JOIN labels USING (doc_id) WHERE quality = 1)
+SELECT query_id, count(*) AS n_entities, count(g.doc_id) AS n_covered, count(*) = count(g.doc_id) AND coalesce(query_id IN (SELECT source FROM g), FALSE) AS valid FROM e LEFT JOIN g USING (doc_id) GROUP BY 1""")
 def coverage_overall(t):
-    return qrels.coverage(entities(t), labelled_qrels(t), per_query=False)
+    """Each language is a query too, whose pages are judged for their sources alone."""
+    lang = t.documents.filter("lang is not null").select(F.concat(F.lit("lang-"), "lang").alias("query_id"), F.col("doc_id").cast("string").alias("entity_id"), F.col("doc_id").cast("string").alias("page_id"))
+    return qrels.coverage(entities(t).unionByName(lang), labelled_qrels(t), per_query=False)
 
 
 @query("""SELECT source AS query_id, doc_id AS entity_id, 'not judged relevant' AS reason FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL OR quality <> 1""")

@@ -32,4 +32,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from . import analytics, evaluation, records, text  # noqa: E402, F401  they register their queries
+from . import analytics, evaluation, files, lookups, records, text  # noqa: E402, F401  they register their queries

@@ -36,26 +36,25 @@ def sentences_of_documents(t):
     return t.documents.select("doc_id", F.size(chunking.sentences(F.col("text"))).alias("n_sentences"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '[-+]?(?:\d+(?:,\d{3})*(?:\.\d+)?|\d*\.\d+)') THEN TRY_CAST(replace(regexp_extract(text, '[-+]?(?:\d+(?:,\d{3})*(?:\.\d+)?|\d*\.\d+)'), ',', '') AS DOUBLE) END AS n FROM documents""")
+@query(f"""SELECT doc_id, CASE WHEN regexp_matches(text, '{N.NUMBER}') THEN TRY_CAST(replace(regexp_extract(text, '{N.NUMBER}'), ',', '') AS DOUBLE) END AS n FROM documents""")
 def text_first_number(t):
     return t.documents.select("doc_id", N.first_number(F.col("text")).alias("n"))
 
 
-SAMPLES = [(1, "1.234,56"), (2, "1,234.56"), (3, "1,234"), (4, "1,234,567"), (5, "-3 %"), (6, ""), (7, None), (8, "COVID-19"), (9, "8269 km"), (10, ".5"), (11, "12")]
-
-
-def sample(t):
-    return t.spark.createDataFrame(SAMPLES, "id int, s string")
-
-
-@query("""SELECT id, v FROM (VALUES (1, 1234.56), (2, 1234.56), (3, 1.234), (4, NULL), (5, -3.0), (6, NULL), (7, NULL), (8, NULL), (9, NULL), (10, 0.5), (11, 12.0)) x(id, v)""".replace("1234.56", "CAST(1234.56 AS DOUBLE)"))
+@query("""SELECT o_orderkey, round(o_totalprice, 2) AS american, round(o_totalprice, 2) AS european, CASE WHEN o_totalprice < 1000 THEN round(o_totalprice, 2) END AS small, CAST(NULL AS DOUBLE) AS none FROM orders""")
 def text_locale_number(t):
-    return sample(t).select("id", N.locale_number(F.col("s")).alias("v"))
+    """Prices as texts, with commas and points either way round; and as texts that are no numbers."""
+    american = F.format_number("o_totalprice", 2)
+    european = F.translate(american, ",.", ".,")
+    small = F.when(F.col("o_totalprice") < 1000, american)
+    return t.orders.select("o_orderkey", N.locale_number(american).alias("american"), N.locale_number(european).alias("european"), N.locale_number(small).alias("small"), N.locale_number(F.concat(american, F.lit(" km"))).alias("none"))
 
 
-@query("""SELECT id, v, g FROM (VALUES (1, '1.234', '1.23'), (2, '1234.56', '1234.56'), (3, '1234', '1234.00'), (4, '1234567', '1234567.00'), (5, '-3', '-3.00'), (6, '', NULL), (7, NULL, NULL), (8, '-19', '-19.00'), (9, '8269', '8269.00'), (10, '0.5', '0.50'), (11, '12', '12.00')) x(id, v, g)""")
+@query("""SELECT o_orderkey, rtrim(rtrim(printf('%.2f', o_totalprice), '0'), '.') AS v, printf('%.2f', o_totalprice) AS g, CASE WHEN o_orderkey = 0 THEN '0' ELSE '-' || o_orderkey END AS signed FROM orders""")
 def text_clean_answers(t):
-    return sample(t).select("id", N.clean_prediction(F.col("s")).alias("v"), N.clean_gold(N.first_number(F.col("s"))).alias("g"))
+    """Prices in a sentence, as a prediction and as a gold answer; and a number after a dash."""
+    said = F.concat(F.lit("It costs "), F.format_number("o_totalprice", 2), F.lit(" dollars"))
+    return t.orders.select("o_orderkey", N.clean_prediction(said).alias("v"), N.clean_gold(N.first_number(said)).alias("g"), N.clean_prediction(F.concat(F.lit("ITEM-"), "o_orderkey")).alias("signed"))
 
 
 @query("""SELECT event_id, round("value", 2) AS tidy, CASE WHEN "value" = floor("value") THEN TRUE ELSE FALSE END AS whole FROM events""")
@@ -74,11 +73,11 @@ def text_url_parts(t):
     return t.pages.select("page_id", S.last_part(F.col("url")).alias("last_part"), S.fallback_id(F.lit(""), F.col("url")).alias("fallback"))
 
 
-@query("""SELECT conv_id, turn, trim(text) AS answer, trim(text) AS between_, CAST(NULL AS VARCHAR) AS missing FROM conversations""")
+@query("""SELECT conv_id, turn, trim(text) AS answer, trim(text) AS between_, CAST(NULL AS VARCHAR) AS missing, CAST(conv_id AS VARCHAR) AS boxed FROM conversations""")
 def text_tags(t):
     c = t.conversations
     body = F.concat(F.lit("<think>x</think>\n<answer>"), "text", F.lit("</answer><answer>no</answer>"))
-    return c.select("conv_id", "turn", S.tagged(body, "answer").alias("answer"), S.between(F.concat(F.lit("[[A]]"), "text", F.lit("[[B]]")), "[[A]]", "[[B]]").alias("between_"), S.boxed(F.col("text")).alias("missing"))
+    return c.select("conv_id", "turn", S.tagged(body, "answer").alias("answer"), S.between(F.concat(F.lit("[[A]]"), "text", F.lit("[[B]]")), "[[A]]", "[[B]]").alias("between_"), S.boxed(F.col("text")).alias("missing"), S.boxed(F.concat(F.lit("so \\boxed{"), "conv_id", F.lit("} or \\boxed{2}"))).alias("boxed"))
 
 
 @query(r"""SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents""")
