@@ -9,7 +9,8 @@ is removed; windows are judged on the input.
    `most_bits` bits, which is all that is broadcast; a full bitmap costs work, never results.
 2. Confirmation. Consecutive windows with one anchor are a stretch (32 windows at most). Stretches whose anchor may recur
    are counted by a 128-bit hash of their words: the windows of one that recurs recur. Where an anchor also has a stretch
-   that does not, the windows of one copy of each of its stretches are counted singly, by 128 bits too. What recurs is told
+   that does not, the windows of one copy of each of its stretches are counted singly: they go packed, a row a stretch; those
+   that 64 bits show twice set bits in another bitmap, and what that lets through is counted by 96 bits. What recurs is told
    as a mask for each stretch, so copies cost a row for each stretch and shard.
 3. Automata. Documents are dealt into shards of about `shard_bytes` by their id, with the confirmed stretches found there; a
    shard of over four times that (one doc_id, or none, for many rows) is dealt out again, its stretches with each part.
@@ -209,40 +210,70 @@ def twins(w: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def windows_of(docs: DataFrame, bits, width: int, gram: int, most_seen: int = 200_000) -> DataFrame:
-    """(s, ident, j, w, x): the windows, by both halves of their hash, of the stretches that the bitmap of (stretch, document)
-    names. A task leaves out most of those that it has told already."""
-    names = ["s", "ident", "j", "w", "x"]
+    """(s, ident, ws, xs): the windows of the stretches that the bitmap of (stretch, document) names, packed: 64 bits of each
+    hash in ws, 32 more in xs. A task leaves out most of the stretches that it has told already."""
+    names = ["s", "ident", "ws", "xs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, told = Reader(width, gram), set()
         for batch in batches:
             for rows in small(batch, "text"):
-                cols: list[list[np.ndarray]] = [[] for _ in names]
+                out: list[tuple[int, int, bytes, bytes]] = []
                 for raw, ident in zip(raw_of(rows.column(1)), rows.column(0).to_pylist(), strict=True):
                     seen = reader.stretches(raw)
                     if seen is None:
                         continue
                     first, s, _, least, lanes = seen
                     keys = copy_key(s, ident)
-                    on = marked(bits.value, keys)
-                    for k in np.flatnonzero(on).tolist():
-                        if (key := int(keys[k])) in told:
-                            on[k] = False
-                        told.add(key)
+                    on = [k for k in np.flatnonzero(marked(bits.value, keys)).tolist() if int(keys[k]) not in told]
+                    if not on:
+                        continue
+                    told.update(keys[on].tolist())
                     if len(told) > most_seen:
                         told.clear()
-                    if not on.any():
-                        continue
-                    size = np.diff(np.r_[first, len(least)])
-                    j = np.arange(len(least)) - np.repeat(first, size)
-                    each, s = np.repeat(on, size), np.repeat(s, size)
-                    w, x = (mixed(runs(*lane, width) ^ np.uint64(_Q))[each].view(np.int64) for lane in lanes)
-                    for col, v in zip(cols, (s[each].view(np.int64), np.full(len(w), ident, np.int64), j[each].astype(np.int32), w, x), strict=True):
-                        col.append(v)
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=names)
+                    w, x = (mixed(runs(*lane, width) ^ np.uint64(_Q)) for lane in lanes)
+                    x, ends = (x >> np.uint64(32)).astype(np.uint32), np.r_[first[1:], len(least)]
+                    out += [(s_, ident, w[a:b].tobytes(), x[a:b].tobytes()) for s_, a, b in zip(s[on].view(np.int64).tolist(), first[on].tolist(), ends[on].tolist(), strict=True)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=names)
+
+    return docs.select(ident_of().alias("ident"), "text").mapInArrow(run, "s long, ident long, ws binary, xs binary")
+
+
+def counted(packed: DataFrame) -> DataFrame:
+    """(h, n): the first 64 bits of windows of packed (one, ws) with how often they stand, twice for a stretch that recurs."""
 
-    return docs.select(ident_of().alias("ident"), "text").mapInArrow(run, "s long, ident long, j int, w long, x long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in small(batch, "ws"):
+                w = [np.frombuffer(b, np.uint64) for b in rows.column(1).to_pylist()]
+                if w:
+                    n = np.repeat(np.where(rows.column(0).to_numpy(zero_copy_only=False), 1, 2), [len(x) for x in w])
+                    h, at = np.unique(np.concatenate(w), return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.bincount(at, n).astype(np.int64))], names=["h", "n"])
+
+    return packed.select("one", "ws").mapInArrow(run, "h long, n long")
+
+
+def unpacked(packed: DataFrame, bits) -> DataFrame:
+    """(s, t, one, j, w, x): the windows of packed rows that the bitmap lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in small(batch, "ws"):
+                w = [np.frombuffer(b, np.uint64) for b in rows.column(3).to_pylist()]
+                if not w:
+                    continue
+                size = [len(x) for x in w]
+                j, w = np.concatenate([np.arange(n) for n in size]), np.concatenate(w)
+                x = np.concatenate([np.frombuffer(b, np.uint32) for b in rows.column(4).to_pylist()])
+                on = marked(bits.value, w)
+                each = pa.array(np.repeat(np.arange(len(size)), size)[on])
+                yield pa.RecordBatch.from_arrays(
+                    [*(rows.column(c).take(each) for c in range(3)), pa.array(j[on].astype(np.int32)), pa.array(w[on].view(np.int64)), pa.array(x[on].astype(np.int64))], names=["s", "t", "one", "j", "w", "x"]
+                )
+
+    return packed.select("s", "t", "one", "ws", "xs").mapInArrow(run, "s long, t long, one boolean, j int, w long, x long")
 
 
 def copy_key(stretch: np.ndarray, ident: int) -> np.ndarray:
@@ -269,9 +300,14 @@ def confirmed(docs: DataFrame, n_parts: int, width: int, gram: int, most_bits: i
     open_ = texts.groupBy("h").agg(F.min("n").alias("least"), F.count("*").alias("kinds"), F.max("twin").alias("twin")).filter("least = 1 and (kinds > 1 or twin)").select("h")
     single = staged(texts.join(open_, "h", "left_semi").select("s", "t", "ident", "n"))
     copies = context.broadcast(bitmap(keyed(single), single.count(), most_bits))
-    windows = staged(windows_of(docs, copies, width, gram).join(single, ["s", "ident"]).select("s", "t", "j", "w", "x", "n").dropDuplicates(["s", "t", "j"]))
-    recurs = windows.groupBy("w", "x").agg(F.sum("n").alias("n")).filter("n > 1").select("w", "x")
-    some = windows.filter("n = 1").join(recurs, ["w", "x"], "left_semi").groupBy("s", "t").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
+    # joined by s alone, so that the rows of a stretch meet and are not dealt again
+    chosen = single.select("s", "t", F.col("ident").alias("whose"), (F.col("n") == 1).alias("one"))
+    packed = windows_of(docs, copies, width, gram).join(chosen, "s").filter(F.col("ident").bitwiseXOR(F.col("whose")) == 0)
+    packed = staged(packed.dropDuplicates(["s", "t"]).select("s", "t", "one", "ws", "xs"))
+    twice = staged(counted(packed).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
+    windows = staged(unpacked(packed, context.broadcast(bitmap(twice, twice.count(), most_bits))))
+    recurs = windows.groupBy("w", "x").agg(F.sum(F.when(F.col("one"), 1).otherwise(2)).alias("n")).filter("n > 1").select("w", "x")
+    some = windows.filter("one").join(recurs, ["w", "x"], "left_semi").groupBy("s", "t").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
     masks = texts.filter("n > 1").select("s", "t", F.lit((1 << STRETCH) - 1).cast("long").alias("mask")).unionByName(some)
     return rows.select("part", "s", "t").join(masks, ["s", "t"]).select("part", "s", "t", "mask")
 
