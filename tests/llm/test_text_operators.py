@@ -43,6 +43,14 @@ def test_language_edges(spark):
     assert langid.identify(spark.createDataFrame([], DOCS), model).count() == 0
     assert [r.lang_pred for r in langid.identify(spark.createDataFrame(rows_of(["abc"]), DOCS), langid.learn([], [])).collect()] == ["und"]
     assert [r.doc_id for r in langid.keep_known(spark.createDataFrame(rows_of(ODD), DOCS), model).collect()] == [4, 5, 6, 7, 8]
+    names, code, w = model
+    silent = (names, code, np.zeros_like(w))  # bits that say nothing are far from any codeword; of a short text that tells little
+    kept = langid.keep_known(spark.createDataFrame(rows_of(["the and the and the and the", "the and", None]), DOCS), silent).collect()
+    assert [r.doc_id for r in kept] == [1]
+    rng = random.Random(2)
+    rows = [(speech(k := ("en", "de", "fr")[i % 3], rng), k) for i in range(200)]
+    three = langid.learn(*map(list, zip(*rows)))
+    assert langid.keep_known(spark.createDataFrame(rows_of([speech(("en", "de", "fr")[i % 3], rng) for i in range(60)]), DOCS), three).count() == 60
 
 
 def test_codewords_are_apart():
