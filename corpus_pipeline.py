@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyset.llm import decontaminate, langid, mixing, pii, simhash
-from tallyset.llm.common import fold, staged
+from tallyset.llm.common import fold
+from tallyset.staging import staged
 
 #: The stages hold trained classifiers and iterated joins, which SQL cannot express; tests hold them to brute force.
 ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: those with no letter."""
+    """Documents without a learned language go: those with no letter, and those about which no bit of a codeword says anything."""
     return langid.keep_known(docs, langid.train(docs.filter(fold("doc_id", 4) != 2)))
 
 
