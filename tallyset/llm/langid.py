@@ -129,16 +129,17 @@ def judge(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> C
 
 def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], far: float = 0.66, letters: int = 20) -> DataFrame:
     """The rows of docs that have a learned language. Those judged `und` go, and texts of this many letters or more whose nearest
-    codeword is further than `far`: at log 2, or 0.69, the bits' classifiers say nothing. Of shorter texts a distance tells little."""
+    codeword is further than `far`: at log 2, or 0.69, the bits' classifiers say nothing. Of shorter texts a distance tells little,
+    and where one language is learned, nothing."""
 
     def make() -> Callable[[list], list[list]]:
         of = judged()
 
         def known(texts: list[str | None]) -> list[list]:
             langs, _, _, distances = of(texts)
-            return [[lang != "und" and (d <= far or sum(map(str.isalpha, t)) < letters) for t, lang, d in zip(texts, langs, distances, strict=True)]]
+            return [[lang != "und" and (d <= far or one or sum(map(str.isalpha, t)) < letters) for t, lang, d in zip(texts, langs, distances, strict=True)]]
 
         return known
 
-    judged = judge(docs, model)
+    judged, one = judge(docs, model), len(model[0]) < 2
     return map_text(docs, make, [T.StructField("known", T.BooleanType())], where=0)
