@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyset.operators import agents, aggregates, chunking, constraints, kb, metrics, qrels, retrieval, selection, stats, wikitext
+from tallyset.operators import agents, aggregates, chunking, constraints, kb, metrics, protocols, qrels, retrieval, selection, stats, wikitext
 from tallyset.sources import readers, writers
 
 
@@ -386,3 +386,46 @@ def test_greedy_choice_is_its_loop_and_has_a_bound(spark):
     assert order == [k for k in sorted(held, key=lambda k: (len(held[k]), k)) for _ in range(min(2, len(held[k])))]
     with pytest.raises(ValueError):
         selection.balanced(c, most_rows=3)
+
+
+# ---- agents' protocols
+
+SAID = {
+    "research": ("<think>hm</think><search> search query: red </search>", "<think>so</think><answer> \\boxed{ 7 } </answer>", "<result>Doc 1 (Title: T) The red one. More"),
+    "search_r1": ("<think>hm</think><search>red</search>", "<answer>7</answer>", "<information>Doc 1 (Title: T) The red one. More"),
+    "step_search": ("<think>hm</think><search> red </search>", "<answer> 7 </answer>", "<information>Doc 1 (Title: T) The red one. More"),
+    "search_o1": ("hm <|begin_search_query|>red<|end_search_query|>", "so \\boxed{7}", "<|begin_search_result|>Doc 1 (Title: T) The red one. More"),
+    "react": ("hm\nAction 1: Search[red]", "so\nAction 2: Finish[7]", "Observation 1: Doc 1 (Title: T) The red one. More"),
+    "self_ask": ("hm\nFollow up: red", "So the final answer is: 7", "Intermediate answer: Doc 1 (Title: T) The red one. More"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(SAID))
+def test_protocols(spark, name):
+    first, last, shown = SAID[name]
+    queries = spark.createDataFrame([("q1", "which?"), ("q2", "never?")], "qid string, question string")
+    corpus = spark.createDataFrame([("d1", "T", "The red one. More")], "id string, title string, contents string")
+
+    def make():
+        return lambda prompts: ["lost" if p.startswith("never") else last if shown in p else first for p in prompts]
+
+    found = lambda q: q.filter("text = 'red'").select("qid", F.lit("d1").alias("doc"), F.lit(1).alias("rank"))
+    got = {r.qid: r for r in protocols.run(name, queries, make, found, corpus, most=3).collect()}
+    assert (got["q1"].answer, [(s.think, s.search_query, s.doc_ids) for s in got["q1"].steps]) == ("7", [("hm", "red", ["d1"])])
+    assert (got["q2"].answer, got["q2"].steps) == (None, [])
+
+
+def test_a_look_up_reads_the_last_page(spark):
+    queries = spark.createDataFrame([("q", "which?")], "qid string, question string")
+    corpus = spark.createDataFrame([("d1", "T", "The red one. More red. Blue")], "id string, title string, contents string")
+
+    def make():
+        def say(p):
+            if "Observation 2: (Result 1 / 2) The red one" in p and p.endswith("Thought 3:"):
+                return "Action 3: Finish[ok]"
+            return "Action 2: Lookup[RED]" if "Observation 1:" in p else "Action 1: Search[x]"
+
+        return lambda prompts: [say(p) for p in prompts]
+
+    found = lambda q: q.select("qid", F.lit("d1").alias("doc"), F.lit(1).alias("rank"))
+    assert protocols.run("react", queries, make, found, corpus).first().answer == "ok"
