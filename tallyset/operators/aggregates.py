@@ -146,6 +146,11 @@ def in_direction(name: str, lat: Column, lon: Column, lat0: float, lon0: float)
     return F.count_if(toward(name, lat, lon, F.lit(lat0), F.lit(lon0)))
 
 
+def view_sums(rows: DataFrame, page: str, views: str) -> DataFrame:
+    """(page, views) summed over a page's days; a missing number of views counts as 0."""
+    return rows.groupBy(page).agg(F.sum(F.coalesce(F.col(views), F.lit(0))).alias(views))
+
+
 # ---- items, modes and shares
 
 

@@ -45,10 +45,11 @@ def by_title(entities: DataFrame, passages: DataFrame) -> DataFrame:
 # ---- judging
 
 
-def judged(rows: DataFrame, make: Callable[[], Callable[[pd.DataFrame], list[str]]], shortcut: tuple[str, str] | None = None) -> DataFrame:
+def judged(rows: DataFrame, make: Callable[[], Callable[[pd.DataFrame], list[str]]], shortcut: tuple[str, str] | None = None, at_once: int | None = None) -> DataFrame:
     """rows with label and error, by an injected judge that is made once a task; what it says is brought to one of the labels.
     Where it fails on a batch it is asked row by row, and a row on which it fails is NO-UNRELATED, with what went wrong as its
-    error. shortcut: (contents, value) columns; a passage that holds the value is YES-SAME without asking."""
+    error. shortcut: (contents, value) columns; a passage that holds the value is YES-SAME without asking. at_once: how many
+    judges are asked at a time, at most: the rows are dealt into so many tasks."""
     schema = T.StructType([*rows.schema, T.StructField("said", T.StringType()), T.StructField("error", T.StringType())])
 
     def one(ask: Callable[[pd.DataFrame], list[str]], row: pd.DataFrame) -> tuple[str, str | None]:
@@ -66,13 +67,37 @@ def judged(rows: DataFrame, make: Callable[[], Callable[[pd.DataFrame], list[str
                 said = [one(ask, b.iloc[[i]]) for i in range(len(b))]
             yield b.assign(said=[s for s, _ in said], error=[e for _, e in said])
 
+    dealt = lambda df: df.repartition(at_once) if at_once else df
     if shortcut is None:
-        return rows.mapInPandas(run, schema).withColumn("label", judgement(F.col("said"))).drop("said")
+        return dealt(rows).mapInPandas(run, schema).withColumn("label", judgement(F.col("said"))).drop("said")
     sure = F.coalesce(lexical_match(F.col(shortcut[0]), F.col(shortcut[1])), F.lit(False))
-    asked = rows.filter(~sure).mapInPandas(run, schema).withColumn("label", judgement(F.col("said"))).drop("said")
+    asked = dealt(rows.filter(~sure)).mapInPandas(run, schema).withColumn("label", judgement(F.col("said"))).drop("said")
     return rows.filter(sure).withColumns({"error": F.lit(None).cast("string"), "label": F.lit("YES-SAME")}).unionByName(asked)
 
 
+def rewritten(rows: DataFrame, make: Callable[[], Callable[[str, str], str]], order: str = "pos") -> DataFrame:
+    """(passage_id, rewrite_type, rewritten, error, seq) of routed passages (passage_id, rewrite_type, contents, value) that are to
+    be rewritten: REPLACE or ADD the value, by an injected rewriter that is made once a task. White space of what it writes is
+    collapsed; where it fails or writes nothing there is no text, and the error tells why."""
+    schema = T.StructType([T.StructField("passage_id", rows.schema["passage_id"].dataType), *(T.StructField(n, T.StringType()) for n in ("rewrite_type", "rewritten", "error")), T.StructField("seq", rows.schema[order].dataType)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        write = make()
+
+        def one(contents: str, value: str) -> tuple[str | None, str | None]:
+            try:
+                text = " ".join((write(contents, value) or "").split())
+                return (text, None) if text else (None, "empty")
+            except Exception as wrong:  # noqa: BLE001  a rewriter is foreign code; what it raises is told
+                return None, f"{type(wrong).__name__}: {wrong}"
+
+        for b in batches:
+            out = [one(c, v) for c, v in zip(b["contents"], b["value"], strict=True)]
+            yield pd.DataFrame({"passage_id": b["passage_id"], "rewrite_type": b["rewrite_type"], "rewritten": [t for t, _ in out], "error": [e for _, e in out], "seq": b[order]})
+
+    return rows.filter(F.col("rewrite_type").isin("REPLACE", "ADD")).select("passage_id", "rewrite_type", "contents", "value", order).mapInPandas(run, schema)
+
+
 def routed(rows: DataFrame, group: list[str], order: str, fallback: str = "related") -> DataFrame:
     """Judged passages as (relevant, rewrite_type): YES-SAME is relevant, YES-DIFFERENT is relevant and REPLACEd; a group
     (an entity of a query) without either ADDs to its first NO-RELATED passage, or, with fallback 'any', to the first
@@ -195,6 +220,22 @@ def final_qrels(qrels: DataFrame, final: DataFrame, keys: list[tuple[str, str]])
     return qrels.join(final, on, "left_semi")
 
 
+def finalised(entities: DataFrame, qrels: DataFrame, generations: DataFrame, queries: DataFrame, split: str = "split") -> tuple[DataFrame, DataFrame]:
+    """(queries, qrels) of the final sets: generations (qid, original_query, answer, src, split) whose entities are all covered,
+    with the question of the query set, and the relevance lines of these queries; both say which split they are of."""
+    valid = coverage(entities, qrels).select("query_id", "valid")
+    which = generations.select(F.col("qid").alias("id"), split).distinct()
+    final = final_queries(generations, queries, valid).join(which, "id")
+    lines = qrels.join(final.select(F.col("id").alias("query_id"), split), "query_id")
+    return final, lines
+
+
+def versions_of(ids: DataFrame, before: DataFrame, after: DataFrame, column: str = "contents") -> DataFrame:
+    """(id, before, after) of passages in two corpora; null where a corpus lacks it."""
+    old, new = before.select("id", F.col(column).alias("before")), after.select("id", F.col(column).alias("after"))
+    return ids.select("id").distinct().join(old, "id", "left").join(new, "id", "left")
+
+
 def without_qrels(queries: DataFrame, qrels: DataFrame) -> DataFrame:
     return queries.join(qrels.select(F.col("query_id").alias("qid")).distinct(), "qid", "left_anti")
 

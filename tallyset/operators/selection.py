@@ -21,6 +21,11 @@ def sample(rows: DataFrame, key: str, n: int | None = None, share: float | None
     return rows if n is None else rows.orderBy(h, key).limit(n)
 
 
+def round_robin(rows: DataFrame, order: str, workers: int) -> DataFrame:
+    """rows (order: whole numbers from 0, without gaps) with the worker that each goes to, in turn."""
+    return rows.withColumn("worker", F.pmod(F.col(order), F.lit(workers)).cast("int"))
+
+
 def property_budget(n: Column, most: int | None = None) -> Column:
     """How many of n properties to use: the whole part of log2 n, plus one."""
     out = F.when(n > 0, F.floor(F.log2(n.cast("double"))) + 1).otherwise(0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import staging
 from ..operators import retrieval
@@ -105,3 +106,32 @@ def file_answers(t):
     lines.agg(F.concat(F.lit("{"), F.array_join(F.collect_list(F.substring("value", F.lit(2), F.length("value") - 2)), ","), F.lit("}")).alias("value")).write.text(parts)
     said = readers.answers(t.spark, parts).select(F.col("key").cast("long").alias("vec_id"), F.from_json("value", "array<double>").alias("e"))
     return said.select("vec_id", F.round(F.aggregate("e", F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS qid, max(o_totalprice) AS mrr FROM orders GROUP BY 1""")
+def file_query_metrics(t):
+    """Metrics by query in two files, the later one counting."""
+    path = staging.new_path(t.spark)
+    for name, m in (("a", F.min("o_totalprice")), ("b", F.max("o_totalprice"))):
+        writers.jsonl(t.orders.groupBy(F.col("o_custkey").cast("string").alias("qid")).agg(m.alias("mrr")), f"{path}/{name}")
+    return readers.query_metrics(t.spark, f"{path}/*", ("mrr",))
+
+
+@query("""SELECT p_brand AS class_id, p_type AS property_id, CAST(p_partkey AS VARCHAR) AS entity_id, CAST(p_size AS VARCHAR) AS passages FROM part""")
+def file_qrel_results(t):
+    """Results by class, property and entity as nested objects, a line for each class."""
+    path = staging.new_path(t.spark)
+    leaf = t.part.groupBy("p_brand", "p_type").agg(F.map_from_entries(F.collect_list(F.struct(F.col("p_partkey").cast("string"), F.array(F.col("p_size").cast("string"))))).alias("m"))
+    top = leaf.groupBy("p_brand").agg(F.map_from_entries(F.collect_list(F.struct("p_type", "m"))).alias("m"))
+    top.select(F.to_json(F.create_map("p_brand", "m")).alias("value")).write.text(path)
+    return readers.qrel_results(t.spark, path).select("class_id", "property_id", "entity_id", F.array_join("relevant_passages", ",").alias("passages"))
+
+
+@query("""SELECT qid, pid, rank FROM (SELECT CAST(o_custkey AS VARCHAR) AS qid, CAST(o_orderkey AS VARCHAR) AS pid, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_custkey % 3 = 0 THEN -o_orderkey ELSE o_orderkey END) AS INTEGER) AS rank FROM orders)""")
+def file_merged_runs(t):
+    """A run, and a later one that has some of its queries again, as one."""
+    rows = t.orders.select(F.col("o_custkey").cast("string").alias("qid"), F.col("o_orderkey").cast("string").alias("pid"), F.col("o_orderkey").alias("k"))
+    ranked = lambda df, order: df.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(order))).select("qid", "pid", "rank", F.lit(1.0).alias("score"), F.lit("r").alias("run_id"))
+    path = staging.new_path(t.spark)
+    writers.run(writers.merged_runs([ranked(rows, F.col("k")), ranked(rows.filter("cast(qid as long) % 3 = 0"), F.desc("k"))]), path)
+    return readers.run(t.spark, path).select("qid", "pid", "rank")

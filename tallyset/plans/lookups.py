@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import strings as S
 from ..functions import times
-from ..operators import chunking, kb, metrics, qrels, retrieval, selection
+from ..functions.register import register
+from ..operators import aggregates as A
+from ..operators import candidates, chunking, kb, metrics, qrels, retrieval, selection
 from .evaluation import CHUNKS, rewrite_rows
 from .evaluation import REWRITES as REWRITTEN
 from .registry import query
@@ -292,3 +294,87 @@ def vector_pooling(t):
     logits = F.transform(states, lambda s: F.transform(s, lambda v: v.cast("double")))
     ready = rows.select("g", states.alias("s"), mask.alias("m"), logits.alias("l"))
     return ready.select("g", total(retrieval.mean_pooled(F.col("s"), F.col("m"))).alias("mean_"), total(retrieval.pooled_impacts(F.col("l"), F.col("m"))).alias("impacts"))
+
+
+# ---- candidates, rewrites and final sets
+
+
+@query("""WITH c AS (SELECT p_brand AS class_id, p_size % 4 AS k, max(p_size) AS m FROM part GROUP BY 1, 2), j AS (SELECT class_id || '-' || k AS candidate_id, CASE k WHEN 0 THEN 'SUM' WHEN 1 THEN 'MAX' WHEN 2 THEN 'AVG' ELSE 'COUNT' END AS operation, p_partkey, p_retailprice FROM c JOIN part ON p_brand = class_id WHERE CASE WHEN k < 2 THEN p_size < m ELSE p_size >= m END)
+SELECT candidate_id, min(operation) AS operation, count(*) AS n_entities, round(CASE min(operation) WHEN 'SUM' THEN sum(p_retailprice) WHEN 'MAX' THEN max(p_retailprice) WHEN 'AVG' THEN avg(p_retailprice) ELSE count(*) END, 6) AS answer FROM j GROUP BY 1 HAVING count(*) >= 2""")
+def candidates_answered(t):
+    """Four candidates a brand: parts of a size under, or not under, a reference, and an operation on their prices."""
+    k = F.col("k")
+    c = t.part.groupBy(F.col("p_brand").alias("class_id"), (F.col("p_size") % 4).alias("k")).agg(F.max("p_size").cast("double").alias("reference"))
+    op = F.element_at(F.array(*[F.lit(n) for n in ("SUM", "MAX", "AVG", "COUNT")]), (k + 1).cast("int"))
+    c = c.select(F.concat_ws("-", "class_id", k.cast("string")).alias("candidate_id"), "class_id", F.lit("size").alias("constrained"), F.when(k < 2, "LT").otherwise("GTE").alias("comparison"), "reference", F.lit("price").alias("aggregated"), op.alias("operation"))
+    members = t.part.select(F.col("p_brand").alias("class_id"), F.col("p_partkey").alias("entity_id"))
+    values = t.part.select(F.col("p_partkey").alias("entity_id"), F.lit("size").alias("prop_id"), F.col("p_size").cast("double").alias("value")).unionByName(t.part.select(F.col("p_partkey").alias("entity_id"), F.lit("price").alias("prop_id"), F.col("p_retailprice").alias("value")))
+    out = candidates.materialised(c, members, values, {"SUM": (), "MAX": (), "AVG": (), "COUNT": ()})
+    return out.withColumn("answer", F.round("answer", 6))
+
+
+@query("""WITH a AS (SELECT o_custkey, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice) AS place FROM orders WHERE o_orderkey % 2 = 0), c AS (SELECT o_custkey, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice) AS place FROM orders WHERE o_orderkey % 2 = 1)
+SELECT a.o_custkey, CAST(a.place AS INTEGER) AS place, a.v AS aggregated, c.v AS constrained FROM a JOIN c ON a.o_custkey = c.o_custkey AND a.place = c.place""")
+def paired_values(t):
+    o = t.orders.select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("value"))
+    return candidates.paired_values(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 2 = 1"), "o_custkey")
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_suppkey, l_returnflag) IN (SELECT s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN 'A' ELSE 'R' END FROM supplier)""")
+def kept_entities(t):
+    """By two keys at once."""
+    ids = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.when(F.col("s_nationkey") % 2 == 0, "A").otherwise("R").alias("l_returnflag"))
+    return candidates.kept_entities(t.lineitem, ids, ["l_suppkey", "l_returnflag"]).select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT doc_id AS passage_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r\\x1C-\\x1F]+', ' ', 'g')) || ' v' || doc_id AS rewritten FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 1 AND NOT regexp_matches(text, '[\\x80-\\xA0\\x{2000}-\\x{3000}]')""".replace("\\\\", "\\"))
+def passages_rewritten(t):
+    """Passages to replace, by a rewriter that adds the value."""
+    d = t.documents.join(t.labels.filter("quality = 1 and toxic = 1").select("doc_id"), "doc_id").filter(~F.col("text").rlike("[\\x80-\\xA0\\x{2000}-\\x{3000}]"))
+    rows = d.select(F.col("doc_id").alias("passage_id"), F.lit("REPLACE").alias("rewrite_type"), F.col("text").alias("contents"), F.concat(F.lit("v"), "doc_id").alias("value"), F.col("doc_id").alias("pos"))
+    return qrels.rewritten(rows, lambda: lambda contents, value: f"{contents}  {value}").select("passage_id", "rewritten")
+
+
+@query("""SELECT o.l AS id, o.split, count(*) AS n FROM (SELECT DISTINCT lang || '-' || source AS l, source, lang, CASE WHEN lang < 'f' THEN 'val' ELSE 'test' END AS split FROM documents WHERE lang IS NOT NULL) o JOIN documents USING (source, lang) JOIN labels USING (doc_id) GROUP BY 1, 2 HAVING bool_and(coalesce(quality, 0) = 1)""")
+def final_sets(t):
+    """Queries of a language and a source, of which all labelled documents are relevant, and their relevance lines by split."""
+    d = t.documents.filter("lang is not null").join(t.labels, "doc_id").select(F.concat_ws("-", "lang", "source").alias("query_id"), F.col("doc_id").cast("string").alias("entity_id"), F.col("doc_id").cast("string").alias("page_id"), "lang", "quality")
+    lines = d.filter("quality = 1").select("query_id", F.concat("page_id", F.lit("-0000")).alias("doc_id"))
+    made = t.documents.filter("lang is not null").select(F.concat_ws("-", "lang", "source").alias("qid"), F.lit("q").alias("original_query"), F.lit(1).alias("answer"), F.lit("s").alias("src"), F.when(F.col("lang") < "f", "val").otherwise("test").alias("split")).distinct()
+    _, out = qrels.finalised(d, lines, made, made.select("qid", F.lit("x").alias("question")))
+    return out.groupBy(F.col("query_id").alias("id"), "split").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT doc_id AS id, md5(text) AS before, md5(arg_max(rewritten, seq)) AS after FROM documents JOIN {REWRITTEN} USING (doc_id) GROUP BY doc_id, text""")
+def passage_versions(t):
+    corpus = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("contents"))
+    new = rewrite_rows(t)
+    out = qrels.versions_of(new.select(F.col("passage_id").alias("id")), corpus, qrels.overlay(corpus, new))
+    return out.select("id", F.md5(F.col("before").cast("binary")).alias("before"), F.md5(F.col("after").cast("binary")).alias("after"))
+
+
+@query("""SELECT CAST(doc_id % 7 AS INTEGER) AS worker, count(*) AS n FROM documents GROUP BY 1""")
+def worker_shares(t):
+    return selection.round_robin(t.documents, "doc_id", 7).groupBy("worker").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT user_id AS page, round(sum(coalesce("value", 0)), 6) AS views FROM events GROUP BY 1""")
+def page_views(t):
+    rows = t.events.select(F.col("user_id").alias("page"), F.col("value").alias("views"))
+    return A.view_sums(rows, "page", "views").withColumn("views", F.round("views", 6))
+
+
+@query(r"""SELECT doc_id, TRY_CAST(replace(nullif(regexp_extract(text, '[-+]?(?:\d+(?:,\d{3})*(?:\.\d+)?|\d*\.\d+)'), ''), ',', '') AS DOUBLE) AS n, round(2 * 6371.0 * asin(sqrt(least(1.0, power(sin(radians(doc_id % 90) / 2), 2)))), 6) AS km FROM documents""".replace("\\\\", "\\"))
+def sql_functions(t):
+    """Functions by their SQL names."""
+    register(t.spark)
+    t.documents.createOrReplaceTempView("tallyset_documents")
+    return t.spark.sql("SELECT doc_id, first_number(text) AS n, round(haversine_km(0D, 0D, CAST(doc_id % 90 AS DOUBLE), 0D), 6) AS km FROM tallyset_documents")
+
+
+@query("""WITH w AS (SELECT item_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark), c AS (SELECT item_id, i, w[i:i + 9] AS c FROM (SELECT *, unnest(range(1, len(w) + 1, 10)) AS i FROM w)) SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS INTEGER) AS chunk_idx, array_to_string(c, ' ') AS contents FROM c WHERE len(c) >= 4""".replace("\\\\", "\\"))
+def sql_word_windows(t):
+    """Windows of ten words by a table function."""
+    register(t.spark)
+    t.benchmark.createOrReplaceTempView("tallyset_benchmark")
+    return t.spark.sql("SELECT item_id, w.chunk_idx, w.contents FROM tallyset_benchmark, LATERAL word_windows(text, 10, 4) w")

@@ -31,7 +31,7 @@ def passages_by_context(t):
     return chunking.context_chunks(marked)
 
 
-@query()
+@query(r"""SELECT doc_id, CAST(CASE WHEN text IS NULL THEN NULL WHEN trim(text) = '' THEN 0 ELSE len(regexp_extract_all(text, '[.!?]\s+[A-Z]')) + 1 END AS INTEGER) AS n_sentences FROM documents""")
 def sentences_of_documents(t):
     return t.documents.select("doc_id", F.size(chunking.sentences(F.col("text"))).alias("n_sentences"))
 

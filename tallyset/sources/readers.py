@@ -160,6 +160,30 @@ def rewrites(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path).withColumn("seq", file_order())
 
 
+def query_metrics(spark: SparkSession, path: str, metrics: tuple[str, ...]) -> DataFrame:
+    """Metrics by query from JSON lines, the last line of a query counting; a value that is no number is null."""
+    schema = ", ".join(f"`{n}` string" for n in ("qid", "id", *metrics))
+    raw = spark.read.schema(schema).json(path).withColumn("pos", file_order())
+    rows = raw.select(F.coalesce("qid", "id").alias("qid"), *[F.col(f"`{m}`").try_cast("double").alias(m) for m in metrics], "pos").filter("qid is not null")
+    return last_of(rows, "qid", "pos").drop("pos")
+
+
+def qrel_results(spark: SparkSession, path: str) -> DataFrame:
+    """(class_id, property_id, entity_id, relevant_passages) from JSON lines {class: {property: {entity: [passages]}}}, the last line
+    counting for each entity."""
+    kind = "map<string,map<string,map<string,array<string>>>>"
+    raw = spark.read.text(path).select(F.from_json("value", kind).alias("m"), file_order().alias("pos"))
+    rows = raw.select("pos", F.explode("m").alias("class_id", "m")).select("pos", "class_id", F.explode("m").alias("property_id", "m"))
+    rows = rows.select("pos", "class_id", "property_id", F.explode("m").alias("entity_id", "relevant_passages"))
+    w = Window.partitionBy("class_id", "property_id", "entity_id").orderBy(F.desc("pos"))
+    return rows.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r", "pos")
+
+
+def line_count(spark: SparkSession, path: str) -> int:
+    """How many lines are not blank."""
+    return spark.read.text(path).filter(F.trim("value") != "").count()
+
+
 def vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:
     """Raw files of 32-bit floats, little-endian, as (vec_id, embedding), numbered over all files in the order of their names.
     Files are read as records of fixed length, by splits, so no file has to fit a row."""

@@ -32,7 +32,25 @@ def run(rows: DataFrame, path: str) -> None:
     run_lines(rows.orderBy("qid", "rank")).write.text(path)
 
 
-def passages(rows: DataFrame, path: str, per_file: int = 1_000_000) -> None:
+def merged_runs(runs: list[DataFrame]) -> DataFrame:
+    """Run rows (qid, pid, rank, score, run_id) of several runs as one, by query and rank; a query that several runs have is the
+    last one's, as a resumed run writes it again."""
+    out = runs[0]
+    for later in runs[1:]:
+        out = out.join(later.select("qid").distinct(), "qid", "left_anti").unionByName(later)
+    return out.orderBy("qid", "rank")
+
+
+def metrics(row: DataFrame, path: str) -> None:
+    """A row of metrics as one JSON object."""
+    row.coalesce(1).write.json(path)
+
+
+def passages(rows: DataFrame, path: str, per_file: int = 1_000_000, file_bytes: int | None = None) -> None:
+    """JSON lines in files of per_file rows at most; with file_bytes, of about so many bytes, by the length of the rows."""
+    if file_bytes:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*rows.columns))) + 1), F.lit(0)).alias("b")).first().b
+        rows = rows.repartition(max(1, -(-size // file_bytes)))
     rows.write.option("maxRecordsPerFile", per_file).json(path)
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyset.operators import agents, aggregates, chunking, constraints, kb, metrics, protocols, qrels, retrieval, selection, stats, wikitext
+from tallyset.operators import agents, aggregates, candidates, chunking, constraints, kb, metrics, protocols, qrels, retrieval, selection, stats, wikitext
 from tallyset.sources import readers, writers
 
 
@@ -429,3 +429,38 @@ def test_a_look_up_reads_the_last_page(spark):
 
     found = lambda q: q.select("qid", F.lit("d1").alias("doc"), F.lit(1).alias("rank"))
     assert protocols.run("react", queries, make, found, corpus).first().answer == "ok"
+
+
+# ---- candidates and rewrites
+
+
+def test_a_quota_takes_the_least_used(spark):
+    rows = [("x", f"c{i}", f"a{j}", i != j) for i in range(4) for j in range(4)] + [("y", "c0", "a0", False)]
+    options = spark.createDataFrame(rows, "category string, constrained string, aggregated string, fits boolean")
+    got = candidates.filled_quota(options, quota=4).collect()
+    assert len(got) == 4 and {r.category for r in got} == {"x"} and all(r.constrained[1] != r.aggregated[1] for r in got)
+    assert len({r.constrained for r in got}) == 4 and len({r.aggregated for r in got}) >= 3
+    assert candidates.filled_quota(options, quota=100, most_tries=1).filter("category = 'x'").count() == 12
+    assert sorted(map(tuple, got)) == sorted(map(tuple, candidates.filled_quota(options.repartition(3), quota=4).collect()))
+
+
+def test_a_rewriter_that_fails_on_one_row(spark):
+    rows = spark.createDataFrame([("a", "REPLACE", "x  y", "v", 1), ("b", "ADD", "bad", "v", 2), ("c", "ADD", "none", "v", 3), ("d", None, "z", "v", 4)], "passage_id string, rewrite_type string, contents string, value string, pos long")
+
+    def make():
+        def write(contents, value):
+            if contents == "bad":
+                raise ValueError("no")
+            return "" if contents == "none" else f" {contents} \n {value} "
+
+        return write
+
+    got = {r.passage_id: (r.rewritten, r.error) for r in qrels.rewritten(rows, make).collect()}
+    assert got == {"a": ("x y v", None), "b": (None, "ValueError: no"), "c": (None, "empty")}
+
+
+def test_files_of_about_a_size(spark, tmp_path):
+    rows = spark.range(2000).select(F.col("id"), F.lit("x" * 80).alias("contents"))
+    writers.passages(rows, str(tmp_path / "p"), file_bytes=40_000)
+    sizes = [p.stat().st_size for p in (tmp_path / "p").glob("*.json")]
+    assert len(sizes) == 6 and max(sizes) < 45_000 and readers.line_count(spark, str(tmp_path / "p")) == 2000
