@@ -36,7 +36,7 @@ def test_item_constraints(spark):
 def test_chain_stops_at_first_fit(spark):
     rows = spark.range(20).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"))
     got = {r.g: (r.n_constraints, r.n_entities) for r in constraints.chain(rows, ["g"], [F.col("v") > 1, F.col("v") > 11, F.col("v") > 15], 2, 4).collect()}
-    assert got == {0: (2, 4), 1: (3, 2)} or got == {0: (2, 4), 1: (2, 4)}
+    assert got == {0: (2, 4), 1: (2, 4)}
 
 
 def test_metrics_edges(spark):
@@ -174,7 +174,7 @@ def test_parts():
 def test_section_chunks(spark):
     say = lambda n, c="W": " ".join([c] + ["w"] * (n - 2) + ["w."])
     got = list(chunking.section_chunks(f"## H\n{say(6)} {say(6)} {say(3)}\n- {say(4)}", 10))
-    assert [(len(c.split()), t) for c, t in got] == [(12, ["H"]), (7, ["H"])] or sum(len(c.split()) for c, _ in got) == 19
+    assert [(len(c.split()), t) for c, t in got] == [(12, ["H"]), (7, ["H"])]
     box = "--- Infobox:Start ---\n" + "\n".join(f"k{i} = a b c" for i in range(6)) + "\n--- Infobox:End ---\nTail."
     chunks = [c for c, _ in chunking.section_chunks(box, 10)]
     assert all(c.startswith("Infobox:") for c in chunks) and chunks[-1].endswith("Tail.")
