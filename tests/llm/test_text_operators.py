@@ -329,3 +329,23 @@ def test_pii_disguise_after_a_valid_prefix():
     assert [text[a:b] for a, _, b in base] == ["john@mail.ex"]
     assert [text[a:b] for a, _, b in every] == ["john@mail.ex", "john@mail.exаmple.com"]
     assert pii.mask_text(text) == "write to [EMAIL] now"
+
+
+def test_learning_from_empty_tables(spark):
+    docs = spark.createDataFrame([], DOCS)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    some = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert langid.train(docs)[0] == []
+    for marks in (labels, some):
+        assert quality.train(docs, marks).score("a") == 0.5 and toxicity.train(docs, marks).score(["a"]) == [0.0]
+
+
+def test_equal_rows_and_a_third_of_all_under_one_id(spark):
+    rows = [(7 if i % 3 == 0 else i, f"text {'abcde'[i % 5] * 8} of many words " * 3, "en", "s", None, "clash") for i in range(90)]
+    docs = spark.createDataFrame(rows, DOCS)
+    net = quality.Network()
+    got = quality.score(docs, net).collect()
+    assert len(got) == 90 and len({r.score for r in got}) == 5
+    items = spark.createDataFrame([(0, "text dddddddd of many words")], "item_id long, text string")
+    assert decontaminate.contained(docs, items).count() == 18 and decontaminate.clean(docs, items).count() == 72
+    assert pii.masked(docs).count() == 90
