@@ -296,6 +296,7 @@ def lexical_match(t):
     return t.documents.select("doc_id", F.coalesce(match(F.col("text"), F.lit("The")), F.lit(False)).alias("m"))
 
 
-@query("""SELECT event_type, CAST(sum(CASE WHEN abs(round("value", 2) - "value") < 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM events GROUP BY 1""")
+@query("""SELECT event_id, CAST(round(CAST("value" AS DECIMAL(18, 4)), 1) AS DOUBLE) AS tenths, CAST(round(CAST("value" AS DECIMAL(18, 4)), 0) AS DOUBLE) AS whole FROM events""")
 def rounded_values(t):
-    return t.events.groupBy("event_type").agg(F.sum(F.when(F.abs(N.rounded(F.col("value"), 2) - F.col("value")) < 1e-9, 1).otherwise(0)).alias("n"))
+    """Half up on the decimal rendering: a double's own binary value may lie on the other side."""
+    return t.events.select("event_id", N.rounded(F.col("value"), 1).alias("tenths"), N.rounded(F.col("value"), 0).alias("whole"))
