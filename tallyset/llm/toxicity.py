@@ -16,7 +16,6 @@ columns that clash with a new one the new one stays. No rows: no rows.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -199,29 +198,46 @@ class Model:
         return np.clip(np.interp(self.trees.margin(x), *self.knots), 0.0, 1.0).tolist()
 
 
-def learn_words(texts: list[str], toxic: list[int], most: int = 200, least: int = 6) -> Words:
-    """Words and stems that go with toxicity: in `least` toxic texts or more, each with most of its five-word runs new (copies
-    count once), and over 30 times as often as in others; a stem of which a shorter one is known adds nothing. And lexicon
-    words that do not: as often in other texts."""
-    yes, no, seen = Counter(), Counter(), set()
-    n_yes, n_no = 1, 1
-    for t, v in zip(texts, toxic, strict=True):
-        low = _WORDS.findall(t.lower())
-        runs = {hash(tuple(low[i : i + 5])) for i in range(max(1, len(low) - 4))}
-        if len(runs & seen) * 2 > len(runs):
-            continue
-        seen |= runs
-        n_yes, n_no = n_yes + v, n_no + 1 - v
-        kinds = set(low)
-        (yes if v else no).update(kinds | {f"{w[:k]}*" for w in kinds for k in STEMS if len(w) > k})
-    lift = {w: (c / n_yes) / ((no[w] + 1) / n_no) for w, c in yes.items() if c >= max(least, 0.01 * n_yes)}
-    good = sorted((w for w, v in lift.items() if v > 30 and len(w) > 2), key=lambda w: (-yes[w], -lift[w], w))[:most]
+class Terms:
+    """The words and stems (with a star) of texts, each text's once, by number; and which texts are no copies: those with most of
+    their five-word runs new."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.number: dict[str, int] = {}
+        self.of: list[np.ndarray] = []
+        fresh, seen = [], set()
+        for t in texts:
+            low = _WORDS.findall(t.lower())
+            runs = {hash(tuple(low[i : i + 5])) for i in range(max(1, len(low) - 4))}
+            fresh.append(len(runs & seen) * 2 <= len(runs))
+            seen |= runs
+            kinds = set(low)
+            kinds |= {f"{w[:k]}*" for w in kinds for k in STEMS if len(w) > k}
+            self.of.append(np.fromiter((self.number.setdefault(w, len(self.number)) for w in kinds), np.int64, len(kinds)))
+        self.fresh, self.names = np.array(fresh, dtype=bool), list(self.number)
+
+    def counts(self, rows: np.ndarray) -> np.ndarray:
+        """In how many of these texts each stands."""
+        return np.bincount(np.concatenate([self.of[i] for i in rows]), minlength=len(self.names)) if len(rows) else np.zeros(len(self.names), np.int64)
+
+
+def learn_words(terms: Terms, toxic: np.ndarray, rows: np.ndarray, most: int = 200, least: int = 6) -> Words:
+    """Words and stems that go with toxicity among these rows: in `least` toxic texts or more, copies counting once, and over 30
+    times as often as in others; a stem of which a shorter one is known adds nothing. And lexicon words that do not: as often in
+    other texts."""
+    rows = rows[terms.fresh[rows]]
+    yes, no = terms.counts(rows[toxic[rows] == 1]), terms.counts(rows[toxic[rows] == 0])
+    n_yes, n_no = 1 + int((toxic[rows] == 1).sum()), 1 + int((toxic[rows] == 0).sum())
+    lift = (yes / n_yes) / ((no + 1) / n_no)
+    found = [(terms.names[i], int(yes[i]), float(lift[i])) for i in np.flatnonzero((yes >= max(least, 0.01 * n_yes)) & (lift > 30))]
+    good = sorted((x for x in found if len(x[0]) > 2), key=lambda x: (-x[1], -x[2], x[0]))[:most]
     stems: set[str] = set()
-    for s in sorted((w[:-1] for w in good if w[-1] == "*"), key=len):
+    for s in sorted((w[:-1] for w, *_ in good if w[-1] == "*"), key=lambda s: (len(s), s)):
         if not any(s[:k] in stems for k in STEMS):
             stems.add(s)
-    words = frozenset(w for w in good if w[-1] != "*")
-    return Words(words, frozenset(stems), frozenset(w for w in LEXICON if no[w] >= 3 and no[w] / n_no > 0.2 * yes[w] / n_yes))
+    at = {w: terms.number[w] for w in LEXICON if w in terms.number}
+    dropped = frozenset(w for w, i in at.items() if no[i] >= 3 and no[i] / n_no > 0.2 * yes[i] / n_yes)
+    return Words(frozenset(w for w, *_ in good if w[-1] != "*"), frozenset(stems), dropped)
 
 
 def fit(texts: list[str], toxic: list[int], seed: int = 42, folds: int = 4) -> Model:
@@ -232,15 +248,14 @@ def fit(texts: list[str], toxic: list[int], seed: int = 42, folds: int = 4) -> M
     fold, held = rng.integers(0, folds, len(y)), rng.random(len(y)) < 0.3
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(y), dtype=bool)
-    x = np.zeros((len(y), len(NAMES)))
+    x, terms = np.zeros((len(y), len(NAMES))), Terms(texts)
     for k in range(folds):
-        others = np.flatnonzero(fold != k)
-        words = learn_words([texts[i] for i in others], y[others].tolist())
+        words = learn_words(terms, y, np.flatnonzero(fold != k))
         for i in np.flatnonzero(fold == k):
             x[i] = features(texts[i], words)
     trees = Trees().fit(x[~held], y[~held])
     part = held if held.any() else ~held
-    return Model(learn_words(texts, toxic), trees, isotonic(trees.margin(x[part]), y[part]), float(y.mean()))
+    return Model(learn_words(terms, y, np.arange(len(y))), trees, isotonic(trees.margin(x[part]), y[part]), float(y.mean()))
 
 
 def train(docs: DataFrame, labels: DataFrame, n_rows: int = 6000, most_chars: int = 64_000_000) -> Model:
