@@ -12,7 +12,7 @@ number of pairs that agree in a partition, scaled for more differing bits by the
 its own value of each partition and to its variants within half of t_p bits, rounded up, so that two rows that differ in t_p
 bits meet half-way. Buckets are verified block by block with numpy; a bucket gives back a spanning forest of its links, never
 its pairs. A bucket of more than `block` rows is cut into blocks, and each pair of blocks is a task of its own, so no pair is
-lost and no task has it whole. Links are then contracted by alternating stars, each round written to the shared folder.
+lost and no task has it whole. Rows go out in rounds, whose shuffle files are freed one by one. Links are then contracted by alternating stars, each round written to the shared folder.
 
 Null or empty text: no shingles, fingerprint zero, linked like any other. Fewer than 4 words: the whole sequence is
 the one shingle. Rows with equal doc_id and text are one document, rows with equal doc_id and other texts are not; a component
@@ -22,13 +22,14 @@ rows: no rows.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -235,18 +236,38 @@ def forest(a: np.ndarray, b: np.ndarray | None, threshold: int, tile: int = 1024
     """Positions in a (and b, shifted by len(a)), and bits, that form a spanning forest of the fewest bits of the links within a,
     or between a and b: that of all tiles' forests. A row has a fingerprint's words."""
     both = a if b is None else np.concatenate([a, b])
-    edges: list[tuple[int, int, int]] = []
+    edges: list[np.ndarray] = []
     starts = [(i, j) for i in range(0, len(a), tile) for j in (range(i, len(a), tile) if b is None else range(len(a), len(both), tile))]
     for i, j in starts:
         x, y = both[i : min(i + tile, len(a))], both[j : j + tile]
-        bits = distance(x[:, None], y[None, :])
-        bits[bits > threshold] = FAR
-        if i == j and b is None:
-            np.fill_diagonal(bits, FAR)
-            edges += [(i + r, i + c, d) for r, c, d in tile_forest(bits, np.arange(len(x)), np.arange(len(x)))]
-        else:
-            edges += [(i + r, j + c, d) for r, c, d in tile_forest(bits, np.arange(len(x)), len(x) + np.arange(len(y)))]
-    return spanning(np.array(edges, dtype=np.int64)).tolist() if edges else []
+        own = i == j and b is None
+        links = few_links(x, y, threshold, 4 * tile)
+        if links is None:
+            bits = distance(x[:, None], y[None, :])
+            bits[bits > threshold] = FAR
+            if own:
+                np.fill_diagonal(bits, FAR)
+            links = np.array(tile_forest(bits, np.arange(len(x)), np.arange(len(y)) + (0 if own else len(x))), dtype=np.int64).reshape(-1, 3)
+        elif own:
+            links = links[links[:, 0] < links[:, 1]]
+        edges.append(links + (i, j, 0))
+    return spanning(np.concatenate(edges)).tolist() if edges else []
+
+
+def few_links(x: np.ndarray, y: np.ndarray, threshold: int, most: int) -> np.ndarray | None:
+    """All links (row of x, row of y, bits), unless they are more than `most`: two words tell most pairs apart, the others by all."""
+    bits = popcount(x[:, None, 0] ^ y[None, :, 0])
+    if x.shape[1] > 1:
+        bits += popcount(x[:, None, 1] ^ y[None, :, 1])
+    close = bits <= threshold
+    if np.count_nonzero(close) > max(most, bits.size // 16):
+        return None
+    r, c = np.nonzero(close)
+    d = bits[r, c].astype(np.int64)
+    if x.shape[1] > 2:
+        d += distance(x[r, 2:], y[c, 2:])
+    on = d <= threshold
+    return np.column_stack([r, c, d])[on] if np.count_nonzero(on) <= most else None
 
 
 #: More than any distance.
@@ -271,33 +292,44 @@ def tile_forest(bits: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list
         bits[label[rows][:, None] == label[columns][None, :]] = FAR
 
 
-def links(nodes: DataFrame, threshold: int, block: int = 8192, max_parts: int = 5, within: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, threshold: int, block: int = 16384, max_parts: int = 5, within: int | None = None, at_once: int = 28, least: int = 1 << 20) -> DataFrame:
     """nodes (fp, id; id distinct) -> edges (a, b) of ids that connect all nodes within threshold bits. More columns are more
     words of the fingerprint: the nodes so found link if they differ in at most `within` bits of all words. Of a bucket's links
-    come those of a spanning forest of the fewest bits."""
+    come those of a spanning forest of the fewest bits.
+
+    Rows go out in rounds of about `at_once` for each node (or `least` in all); a round's links are written to the shared
+    folder and its shuffle files freed before the next, so the disk in use does not follow the rows that go out in all."""
     words = [c for c in nodes.columns if c not in ("fp", "id")]
     limit = threshold if within is None else within
     n, ones, pairs = moments(nodes)
     options = {m: group_bits(n, ones, pairs, m) for m in range(2, min(max_parts, threshold + 1) + 1)}
     groups, taus = choose(n, ones, agreements(nodes, options), options, threshold)
-    sent = []
-    for k, (bits, tau) in enumerate(zip(groups, taus, strict=True)):
-        own = nodes.select(F.lit(k).alias("k"), F.col("fp").bitwiseAND(signed(mask(bits))).alias("v"), F.lit(0).alias("probe"), "fp", "id", *words)
-        sent.append(own)
-        half = (tau + 1) // 2
-        for d in range(1, half + 1):  # of an odd threshold, two rows that are both half-way need not be compared
-            flipped = F.transform(F.lit(flips(bits, d)), lambda x: x.bitwiseXOR(F.col("v")))
-            sent.append(own.withColumn("v", F.explode(flipped)).withColumn("probe", F.lit(int(tau % 2 and d == half))))
-    rows = sent[0]
-    for more in sent[1:]:
-        rows = rows.unionByName(more)
+    value = [F.col("fp").bitwiseAND(signed(mask(bits))).alias("v") for bits in groups]
+    masks = [[x for d in range((tau + 1) // 2 + 1) for x in flips(bits, d)] for bits, tau in zip(groups, taus, strict=True)]
+
+    def to(k: int) -> Column:
+        return F.transform(F.lit(masks[k]), lambda x: x.bitwiseXOR(F.col("v")))
+
     # buckets larger than a block are cut by a hash, and their pairs of blocks are dealt out
-    cuts = rows.groupBy("k", "v").agg(F.ceil(F.count("*") / block).cast("int").alias("cuts"), F.count("*").alias("n")).filter("n > 1").select("k", "v", "cuts")
-    rows = rows.join(cuts, ["k", "v"])
-    mine = F.pmod(F.xxhash64("fp", "probe"), "cuts").cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    rows = rows.select("k", "v", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "probe", "fp", "id", *words)
-    dealt = rows.repartition(F.col("k"), F.col("v"), F.col("x"), F.col("y")).sortWithinPartitions("k", "v", "x", "y")
+    counts = [nodes.groupBy(v).count().select(F.lit(k).alias("k"), F.explode(to(k)).alias("v"), "count") for k, v in enumerate(value)]
+    large = staged(functools.reduce(DataFrame.unionByName, counts).groupBy("k", "v").agg(F.sum("count").alias("n")).filter(F.col("n") > block).withColumn("cuts", F.ceil(F.col("n") / block).cast("int")))
+    more = {r.k: (r.n, r.rows) for r in large.groupBy("k").agg(F.count("*").alias("n"), F.sum(F.col("n") * (F.col("cuts") - 1)).alias("rows")).collect()}
+    n_rows = [n * len(masks[k]) + more.get(k, (0, 0))[1] for k in range(len(groups))]
+    cuts = large.select("k", "v", "cuts")
+    if sum(x for x, _ in more.values()) <= MOST_CUTS:
+        cuts = F.broadcast(cuts)
+
+    def sent(k: int, part: int, parts: int) -> DataFrame:
+        """The rows of partition k that go out in this of its parts."""
+        half, tau = (taus[k] + 1) // 2, taus[k]
+        inner = len(masks[k]) - (math.comb(len(groups[k]), half) if tau % 2 else 0)  # of an odd threshold, two rows that are both half-way need not be compared
+        rows = nodes.select(value[k], "fp", "id", *words).select(F.lit(k).alias("k"), F.posexplode(to(k)).alias("at", "v"), "fp", "id", *words)
+        rows = rows.withColumn("probe", (F.col("at") >= inner).cast("int"))
+        rows = rows.join(cuts, ["k", "v"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1))) if k in more else rows.withColumn("cuts", F.lit(1))
+        mine = F.pmod(F.xxhash64("fp", "probe"), "cuts").cast("int")
+        rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        rows = rows.select("k", "v", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "probe", "fp", "id", *words)
+        return rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("v", "x", "y"), F.lit(parts)) == part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -313,7 +345,34 @@ def links(nodes: DataFrame, threshold: int, block: int = 8192, max_parts: int =
         if held and len(held[0]):
             yield bucket_links(held[0], limit)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    def found(parts: list[tuple[int, int, int]]) -> DataFrame:
+        rows = functools.reduce(DataFrame.unionByName, [sent(*x) for x in parts])
+        dealt = rows.repartition(F.col("k"), F.col("v"), F.col("x"), F.col("y")).sortWithinPartitions("k", "v", "x", "y")
+        return dealt.mapInArrow(run, "a long, b long")
+
+    all_parts = rounds(n_rows, max(at_once * n, least))
+    if len(all_parts) == 1:
+        return found(all_parts[0])
+    return functools.reduce(DataFrame.unionByName, [staged(found(parts)) for parts in all_parts])
+
+
+#: Cut buckets that are broadcast at most; more are joined by a shuffle.
+MOST_CUTS = 1 << 17
+
+
+def rounds(n_rows: list[int], most: int) -> list[list[tuple[int, int, int]]]:
+    """Lists of (k, part, parts) that cover all parts of each k once; those of a list have about `most` rows together at most.
+    n_rows: the rows of each k."""
+    out, room = [], 0
+    for k, rows in enumerate(n_rows):
+        parts = max(1, -(-rows // most))
+        for part in range(parts):
+            if not out or parts > 1 or rows > room:
+                out.append([])
+                room = most
+            out[-1].append((k, part, parts))
+            room = 0 if parts > 1 else room - rows
+    return out
 
 
 def bucket_links(t: np.ndarray, threshold: int) -> pa.RecordBatch:

@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
+#: Whether the shuffle files of a query go with its end.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,7 +35,16 @@ def new_path(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: cuts lineage, outlives lost executors, runs once."""
-    path = new_path(df.sparkSession)
-    df.write.parquet(path)
+    """df written as Parquet to the shared folder and read back: cuts lineage, outlives lost executors, runs once. The shuffle
+    files of the write go with its end; else they stay until the driver happens to collect its garbage."""
+    path, conf = new_path(df.sparkSession), df.sparkSession.conf
+    before = conf.get(_FREE, None)
+    conf.set(_FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            conf.unset(_FREE)
+        else:
+            conf.set(_FREE, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
