@@ -292,7 +292,7 @@ def tile_forest(bits: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list
         bits[label[rows][:, None] == label[columns][None, :]] = FAR
 
 
-def links(nodes: DataFrame, threshold: int, block: int = 16384, max_parts: int = 5, within: int | None = None, at_once: int = 28, least: int = 1 << 20) -> DataFrame:
+def links(nodes: DataFrame, threshold: int, block: int = 8192, max_parts: int = 5, within: int | None = None, at_once: int = 28, least: int = 1 << 20) -> DataFrame:
     """nodes (fp, id; id distinct) -> edges (a, b) of ids that connect all nodes within threshold bits. More columns are more
     words of the fingerprint: the nodes so found link if they differ in at most `within` bits of all words. Of a bucket's links
     come those of a spanning forest of the fewest bits.
